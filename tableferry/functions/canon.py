@@ -34,7 +34,9 @@ def canon_number(text: Column) -> Column:
 
 def number_text(value: Column) -> Column:
     """Canonical text of a decimal: no trailing fraction zeros, `0.` kept, no exponent."""
-    return F.regexp_replace(value.cast("string"), r"\.0*$|(\.[0-9]*[1-9])0+$", "$1")
+    text = value.cast("string")
+    trimmed = F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+    return F.when(F.contains(text, F.lit(".")), trimmed).otherwise(text)
 
 
 def date_text(value: Column) -> Column:
@@ -73,12 +75,14 @@ def canon_timestamp(year, month, day, hour, minute, second, nanosecond) -> Colum
 
 def integer_digits(text: Column) -> Column:
     """Significant integer digits of a canonical number; a lone `0` counts as none."""
-    whole = F.regexp_extract(text, r"^-?([0-9]+)", 1)
+    whole = F.ltrim(F.substring_index(text, ".", 1), F.lit("-"))
     return F.when(whole == "0", 0).otherwise(F.char_length(whole))
 
 
 def fraction_digits(text: Column) -> Column:
-    return F.char_length(F.regexp_extract(text, r"\.([0-9]+)$", 1))
+    """Fraction digits of a canonical number."""
+    point = F.instr(text, ".")
+    return F.when(point == 0, 0).otherwise(F.char_length(text) - point)
 
 
 def fits_decimal(text: Column, precision: Column | int, scale: Column | int) -> Column:

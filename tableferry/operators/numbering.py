@@ -23,8 +23,13 @@ BYTE_BUDGET = 16 * 1024 * 1024
 
 
 def _ranged(df: DataFrame, order: Sequence[Column], partitions: int | None) -> DataFrame:
-    """Rows in ranges of the total order. A hash of the row breaks ties, so rows that share a
-    hot order value still spread over several ranges, in an order that a retry repeats."""
+    """Rows in ranges of the total order; without an order they stay where the scan left them.
+
+    A hash of the row breaks ties, so rows that share a hot order value still spread over
+    several ranges, in an order that a retry repeats.
+    """
+    if not order:
+        return df
     total = [*order, F.xxhash64(*df.columns).asc()]
     if partitions is None:
         ranged = df.repartitionByRange(*total)
@@ -42,7 +47,10 @@ def _shifts(sizes: DataFrame, size: str) -> DataFrame:
 def number_rows(
     df: DataFrame, order: Sequence[Column], name: str = "rn", partitions: int | None = None
 ) -> DataFrame:
-    """Add `name`, the 1-based ROW_NUMBER over `order`, to every row."""
+    """Add `name`, the 1-based ROW_NUMBER over `order`, to every row.
+
+    With an empty order the rows are numbered as scanned, without a shuffle.
+    """
     low_bits = (1 << 33) - 1
     position = F.monotonically_increasing_id()
     kept = write_scratch(
@@ -148,7 +156,8 @@ def assign_batches(
     """Add ``batch_no, row_no, row_bytes``: batches within both limits, numbered from 1 with no gap.
 
     A batch never spans two ranges, so with one partition the cut is the plain greedy one over
-    the whole order, and with many it only adds at most one short batch per range.
+    the whole order, and with many it only adds at most one short batch per range. A task
+    without ORDER BY passes no order, and its rows are cut in scan order without any shuffle.
     """
     cells = canonical_cells(df) if cells is None else cells
     sized = _ranged(df.withColumn("_bytes", F.octet_length(F.to_json(cells)).cast("bigint")), order, partitions)

@@ -19,20 +19,19 @@ def _largest(order: Column, text: Column) -> Column:
     return F.max(F.when(text.isNotNull(), F.struct(order.alias("o"), text.alias("v"))))["v"]
 
 
-def _numeric_parts(value: Column) -> list[tuple[str, Column]]:
-    text = canon.number_text(value)
-    broken = F.when(value != F.floor(value), text)
+def _numeric_parts(value: Column, text: Column) -> list[tuple[str, Column]]:
+    fraction = canon.fraction_digits(text)
     return [
         ("max_len_val", _largest(F.char_length(text), text)),
         ("min_val", canon.number_text(F.min(value))),
         ("max_val", canon.number_text(F.max(value))),
-        ("max_scale_val", _largest(canon.fraction_digits(text), broken)),
+        ("max_scale_val", _largest(fraction, F.when(fraction > 0, text))),
         ("zero_cnt", F.count_if(value == 0).cast("string")),
         ("null_cnt", F.count_if(value.isNull()).cast("string")),
     ]
 
 
-def _time_parts(value: Column) -> list[tuple[str, Column]]:
+def _time_parts(value: Column, text: Column) -> list[tuple[str, Column]]:
     midnight = F.date_trunc("day", value).cast("timestamp_ntz")
     return [
         ("min_val", canon.timestamp_text(F.min(value))),
@@ -42,7 +41,7 @@ def _time_parts(value: Column) -> list[tuple[str, Column]]:
     ]
 
 
-def _text_parts(value: Column) -> list[tuple[str, Column]]:
+def _text_parts(value: Column, text: Column) -> list[tuple[str, Column]]:
     return [
         ("max_len_val", _largest(F.char_length(value), value)),
         ("multibyte_val", F.max(F.when(F.octet_length(value) > F.char_length(value), value))),
@@ -50,10 +49,14 @@ def _text_parts(value: Column) -> list[tuple[str, Column]]:
     ]
 
 
-def _profile(df: DataFrame, columns: Sequence[str], parts_of) -> DataFrame:
+def _profile(df: DataFrame, columns: Sequence[str], parts_of, text_of=None) -> DataFrame:
+    # Texts are made once per value, below the aggregation that uses them several times.
+    made = [] if text_of is None else [text_of(F.col(c)).alias(f"_text_{i}") for i, c in enumerate(columns)]
+    values = df.select(*[F.col(c).alias(f"_value_{i}") for i, c in enumerate(columns)], *made)
     aggregates, rows = [], []
     for i, name in enumerate(columns):
-        for kind, value in parts_of(F.col(name)):
+        text = F.col(f"_value_{i}" if text_of is None else f"_text_{i}")
+        for kind, value in parts_of(F.col(f"_value_{i}"), text):
             alias = f"{kind}_{i}"
             aggregates.append(value.alias(alias))
             rows.append(
@@ -65,12 +68,12 @@ def _profile(df: DataFrame, columns: Sequence[str], parts_of) -> DataFrame:
                     F.coalesce(F.char_length(alias), F.lit(0)).alias("value_len"),
                 )
             )
-    return df.agg(*aggregates).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return values.agg(*aggregates).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def profile_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Longest value, extremes, value of highest scale, zeros and NULLs of decimal columns."""
-    return _profile(df, columns, _numeric_parts)
+    return _profile(df, columns, _numeric_parts, canon.number_text)
 
 
 def profile_time(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -71,54 +71,52 @@ def range_audit(df: DataFrame, checks: Sequence[RangeCheck]) -> DataFrame:
 
 @dataclass(frozen=True)
 class CellRule:
-    """One way a cell can be refused: `broken` is true, and `shown` is the original value."""
+    """Why a cell of `column` is refused: `reason` is NULL for a good one; `shown` is its value."""
 
     column: str
-    reason: str
-    broken: Column
+    reason: Column
     shown: Column
 
 
 def canonical_rules(df: DataFrame, columns: Sequence[str]) -> list[CellRule]:
-    """Source-side rules of the given text or time columns."""
+    """Source-side rules of number texts and time columns."""
     rules = []
     for name in columns:
         kind, value = df.schema[name].dataType, F.col(name)
         if isinstance(kind, T.StringType):
-            rules.append(CellRule(name, "NUMBER_NOT_CANONICAL", ~canon.is_canonical_number(value), value))
+            reason = F.when(~canon.is_canonical_number(value), "NUMBER_NOT_CANONICAL")
+            rules.append(CellRule(name, reason, value))
         elif isinstance(kind, (T.TimestampNTZType, T.TimestampType, T.DateType)):
-            bad_year = ~F.year(value).between(1, 9999)
-            rules.append(CellRule(name, "YEAR_OUT_OF_RANGE", bad_year, value.cast("string")))
+            reason = F.when(~F.year(value).between(1, 9999), "YEAR_OUT_OF_RANGE")
+            rules.append(CellRule(name, reason, value.cast("string")))
     return rules
 
 
-def decimal_target_rules(name: str, precision: int, scale: int) -> list[CellRule]:
+def decimal_target_rule(name: str, precision: int, scale: int) -> CellRule:
     """A canonical text on its way to DECIMAL(p,s): not a number, overflow, silent rounding."""
     value = F.col(name)
-    number = canon.is_canonical_number(value)
-    overflow = canon.integer_digits(value) > precision - scale
-    return [
-        CellRule(name, "NOT_A_NUMBER", ~number, value),
-        CellRule(name, "OUT_OF_RANGE", number & overflow, value),
-        CellRule(name, "WOULD_ROUND", number & ~overflow & (canon.fraction_digits(value) > scale), value),
-    ]
+    reason = (
+        F.when(~canon.is_canonical_number(value), "NOT_A_NUMBER")
+        .when(canon.integer_digits(value) > precision - scale, "OUT_OF_RANGE")
+        .when(canon.fraction_digits(value) > scale, "WOULD_ROUND")
+    )
+    return CellRule(name, reason, value)
 
 
-def datetime_target_rules(name: str, fraction: bool = False) -> list[CellRule]:
+def datetime_target_rule(name: str, fraction: bool = False) -> CellRule:
     """Canonical time text on its way to DATETIME(0) or DATETIME(6)."""
     value = F.col(name)
     form = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}" + (r"\.[0-9]{6}\z" if fraction else r"\z")
     parsed = value.try_cast("timestamp_ntz")
     bad = ~value.rlike(form) | parsed.isNull() | (F.year(parsed) < 1)
-    return [CellRule(name, "BAD_DATETIME", bad, value)]
+    return CellRule(name, F.when(bad, "BAD_DATETIME"), value)
 
 
-def varchar_target_rules(name: str, length: int) -> list[CellRule]:
+def varchar_target_rule(name: str, length: int) -> CellRule:
+    """Text on its way to VARCHAR(n) in utf8mb4."""
     value = F.col(name)
-    return [
-        CellRule(name, "BAD_CHARSET", ~F.is_valid_utf8(value), value),
-        CellRule(name, "TOO_LONG", F.char_length(value) > length, value),
-    ]
+    reason = F.when(~F.is_valid_utf8(value), "BAD_CHARSET").when(F.char_length(value) > length, "TOO_LONG")
+    return CellRule(name, reason, value)
 
 
 # The target database's code for each refusal.
@@ -142,15 +140,13 @@ def reject_rows(df: DataFrame, key: Sequence[str], rules: Sequence[CellRule]) ->
 
     A narrow pass: rows without a refused cell are dropped before they leave their partition.
     """
-    issues = [
-        F.when(
-            F.col(r.column).isNotNull() & F.coalesce(r.broken, F.lit(True)),
-            F.struct(
-                F.lit(r.column).alias("column_name"),
-                r.shown.alias("value"),
-                F.lit(r.reason).alias("reason"),
-            ),
+    judged = [
+        F.struct(
+            F.lit(r.column).alias("column_name"),
+            r.shown.alias("value"),
+            F.when(F.col(r.column).isNotNull(), r.reason).alias("reason"),
         )
         for r in rules
     ]
-    return df.select(*key, F.explode(F.array_compact(F.array(*issues))).alias("i")).select(*key, "i.*")
+    refused = F.filter(F.array(*judged), lambda c: c["reason"].isNotNull())
+    return df.select(*key, F.explode(refused).alias("c")).select(*key, "c.*")

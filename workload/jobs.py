@@ -302,10 +302,10 @@ def target_rejects(spark, sf):
         F.col("props").alias("note"),
     )
     rules = [
-        *range_audit.decimal_target_rules("amount", 4, 2),
-        *range_audit.decimal_target_rules("number", 5, 0),
-        *range_audit.datetime_target_rules("moment"),
-        *range_audit.varchar_target_rules("note", 8),
+        range_audit.decimal_target_rule("amount", 4, 2),
+        range_audit.decimal_target_rule("number", 5, 0),
+        range_audit.datetime_target_rule("moment"),
+        range_audit.varchar_target_rule("note", 8),
     ]
     found = range_audit.reject_rows(rows, ["event_id"], rules)
     return found.withColumn("code", range_audit.target_code(F.col("reason")))
@@ -316,7 +316,7 @@ def silent_rounding(spark, sf):
     rows = fixture(spark, sf, "lineitem_base").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", canon.number_text(F.col("l_discount")).alias("discount")
     )
-    rules = range_audit.decimal_target_rules("discount", 2, 1)
+    rules = [range_audit.decimal_target_rule("discount", 2, 1)]
     return range_audit.reject_rows(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], rules)
 
 
