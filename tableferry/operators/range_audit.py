@@ -33,7 +33,9 @@ def loses_value(df: DataFrame, check: RangeCheck) -> Column:
     if not isinstance(kind, T.DecimalType):
         raise TypeError(f"{check.column}: range checks need a decimal, integer or canonical text")
     whole = check.precision - check.scale
-    rounded = value != F.round(value, check.scale) if check.scale < kind.scale else F.lit(False)
+    # Compared in the value's own type: Spark's common type of both sides may drop a digit.
+    kept = F.round(value, check.scale).try_cast(kind)
+    rounded = ~value.eqNullSafe(kept) if check.scale < kind.scale else F.lit(False)
     # A type with no more integer digits than the target cannot overflow it; otherwise the
     # bound is an exact decimal literal that fits the value's own type.
     if whole >= kind.precision - kind.scale:

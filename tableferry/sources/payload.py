@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PAYLOAD_SCHEMA = "seq bigint, rows array<array<string>>"
+PAYLOAD_SCHEMA = "array<struct<seq: bigint, rows: array<array<string>>>>"
 # The JSON shapes a payload may have. VOID stands for a list without any text.
 PAYLOAD_SHAPES = tuple(
-    f"OBJECT<rows: {rows}, seq: BIGINT>"
+    f"ARRAY<OBJECT<rows: {rows}, seq: BIGINT>>"
     for rows in ("ARRAY<ARRAY<STRING>>", "ARRAY<ARRAY<VOID>>", "ARRAY<VOID>")
 )
 
@@ -35,10 +35,16 @@ def parse_payloads(lines: DataFrame, expected_columns: int, column: str = "value
     the JSON is checked first: BAD_SHAPE covers broken JSON, other fields, cells that are
     neither text nor null, and a seq that is no whole number. Then every row must be as wide
     as the column list (BAD_WIDTH).
+
+    Spark's JSON readers stop after the first value, so the line is read inside a list, and once
+    more inside an object: what follows the value breaks at least one of the two.
     """
-    shape = F.schema_of_variant(F.try_parse_json(F.col(column)))
-    shaped = F.coalesce(shape.isin(*PAYLOAD_SHAPES), F.lit(False))
-    parsed = F.when(shaped, F.from_json(F.col(column), PAYLOAD_SCHEMA))
+    line = F.col(column)
+    listed = F.concat(F.lit("["), line, F.lit("]"))
+    alone = F.json_object_keys(F.concat(F.lit('{"p":'), line, F.lit("}"))) == F.array(F.lit("p"))
+    shape = F.schema_of_variant(F.try_parse_json(listed))
+    shaped = F.coalesce(shape.isin(*PAYLOAD_SHAPES) & alone, F.lit(False))
+    parsed = F.when(shaped, F.try_element_at(F.from_json(listed, PAYLOAD_SCHEMA), F.lit(1)))
     rows = F.col("_p.rows")
     has_null_row = F.exists(rows, lambda r: r.isNull())
     wrong_width = F.exists(rows, lambda r: F.size(r) != expected_columns)

@@ -19,13 +19,7 @@ def stage_run(df: DataFrame, path: str, run_id: str) -> int:
     """
     seen = Observation()
     observed = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    (
-        observed.withColumn("run_id", F.lit(run_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id")
-        .parquet(path)
-    )
+    observed.write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
     return int(seen.get["rows"])
 
 
