@@ -1,12 +1,13 @@
 """Target shape of a source column, and how both sides are shown in an issue.
 
-A source column is one metadata row: ``type_name, precision, scale, length, fsp``. The
-derived shape is one struct column, so every rule that needs it reads the same expression.
+A source column is one metadata row with ``type_name, precision, scale, length, fsp``; the
+expressions here read those columns by name. The derived shape is one struct column, so every
+rule that needs it reads the same value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Source type names accepted as text, and the limits of the target DECIMAL.
@@ -26,7 +27,6 @@ REJECTIONS = (
     ("TYPE_NOT_LISTED", "the source type is not one of the nine supported shapes", "add a CAST to a supported type"),
 )
 
-_LONG_MAX = 9223372036854775807
 
 
 def is_decimal_shape(precision: Column, scale: Column) -> Column:
@@ -34,99 +34,83 @@ def is_decimal_shape(precision: Column, scale: Column) -> Column:
     return precision.between(1, MAX_PRECISION) & scale.between(0, MAX_SCALE) & (scale <= precision)
 
 
-def derive_shape(
-    type_name: Column, precision: Column, scale: Column, length: Column, fsp: Column
-) -> Column:
-    """STRUCT<support, family, precision, scale, length, fsp, rejection> of a source column.
-
-    ``support`` is ``ok``, ``needs_precision`` (a bare NUMBER, whose shape the task must
-    declare) or ``unsupported``; ``rejection`` holds the reason code of the last.
+_IS_TEXT = f"upper(type_name) IN {TEXT_TYPES}"
+_BARE = "(upper(type_name) = 'NUMBER' AND precision IS NULL AND scale IS NULL)"
+# Metadata may carry any 64-bit value, so a negative scale widens by a sum that saturates.
+_WIDENED = (
+    "coalesce(try_add(CAST(precision AS BIGINT), coalesce(try_subtract(0L, CAST(scale AS BIGINT)), "
+    "9223372036854775807L)), 9223372036854775807L)"
+)
+_NUMBER_SHAPE = f"""named_struct(
+    'p', CASE WHEN scale < 0 THEN {_WIDENED} WHEN scale > precision THEN CAST(scale AS BIGINT)
+              ELSE CAST(precision AS BIGINT) END,
+    's', CASE WHEN scale < 0 THEN 0L ELSE CAST(scale AS BIGINT) END)"""
+_REJECTION = f"""CASE
+    WHEN {_BARE} THEN NULL
+    WHEN upper(type_name) = 'NUMBER' AND (precision IS NULL OR scale IS NULL) THEN 'NUMBER_HALF_DECLARED'
+    WHEN upper(type_name) = 'NUMBER' AND NOT (_number.p BETWEEN 1 AND {MAX_PRECISION}
+         AND _number.s BETWEEN 0 AND {MAX_SCALE} AND _number.s <= _number.p) THEN 'DECIMAL_UNREPRESENTABLE'
+    WHEN upper(type_name) = 'NUMBER' THEN NULL
+    WHEN {_IS_TEXT} AND length IS NULL THEN 'LENGTH_MISSING'
+    WHEN {_IS_TEXT} OR upper(type_name) = 'DATE' THEN NULL
+    WHEN upper(type_name) = 'TIMESTAMP' AND fsp IS NULL THEN 'FSP_MISSING'
+    WHEN upper(type_name) = 'TIMESTAMP' AND fsp > {MAX_FSP} THEN 'FSP_TOO_PRECISE'
+    WHEN upper(type_name) = 'TIMESTAMP' THEN NULL
+    ELSE 'TYPE_NOT_LISTED' END"""
+_SHAPE = f"""named_struct(
+    'support', CASE WHEN _rejection IS NOT NULL THEN 'unsupported' WHEN {_BARE} THEN 'needs_precision' ELSE 'ok' END,
+    'family', CASE WHEN _rejection IS NOT NULL OR {_BARE} THEN NULL WHEN upper(type_name) = 'NUMBER' THEN 'decimal'
+                   WHEN {_IS_TEXT} THEN 'varchar' ELSE 'datetime' END,
+    'precision', _number.p,
+    'scale', _number.s,
+    'length', CASE WHEN _rejection IS NULL AND {_IS_TEXT} THEN CAST(length AS BIGINT) END,
+    'fsp', CASE WHEN _rejection IS NOT NULL THEN NULL WHEN upper(type_name) = 'DATE' THEN 0L
+                WHEN upper(type_name) = 'TIMESTAMP' THEN {MAX_FSP}L END,
+    'rejection', _rejection)"""
+_SOURCE_TEXT = f"""CASE
+    WHEN upper(type_name) = 'NUMBER' THEN coalesce('NUMBER(' || precision || ',' || scale || ')', 'NUMBER(?,?)')
+    WHEN {_IS_TEXT} THEN upper(type_name) || '(' || coalesce(CAST(length AS STRING), '?') || ')'
+    WHEN upper(type_name) = 'DATE' THEN 'DATE'
+    WHEN upper(type_name) = 'TIMESTAMP' THEN 'TIMESTAMP(' || coalesce(CAST(fsp AS STRING), '?') || ')'
+    ELSE type_name END"""
+
+
+def with_shape(columns: DataFrame) -> DataFrame:
+    """Add ``shape`` and ``source`` (display text, `?` for a part the metadata does not give).
+
+    ``shape`` is STRUCT<support, family, precision, scale, length, fsp, rejection>; support is
+    ``ok``, ``needs_precision`` (a bare NUMBER, whose shape the task must declare) or
+    ``unsupported``, and rejection holds the reason code of the last.
     """
-    kind = F.upper(type_name)
-    precision, scale = precision.cast("bigint"), scale.cast("bigint")
-    is_number, is_text = kind == "NUMBER", kind.isin(*TEXT_TYPES)
-    is_date, is_stamp = kind == "DATE", kind == "TIMESTAMP"
-    both = precision.isNotNull() & scale.isNotNull()
-    neither = precision.isNull() & scale.isNull()
-
-    # Metadata may carry any 64-bit value, so the sum saturates instead of failing the job.
-    negated = F.coalesce(F.try_subtract(F.lit(0).cast("bigint"), scale), F.lit(_LONG_MAX))
-    widened = F.coalesce(F.try_add(precision, negated), F.lit(_LONG_MAX))
-    p = F.when(scale < 0, widened).when(scale > precision, scale).otherwise(precision)
-    s = F.when(scale < 0, F.lit(0).cast("bigint")).otherwise(scale)
-    representable = is_decimal_shape(p, s)
-
-    rejection = (
-        F.when(is_number & neither, F.lit(None))
-        .when(is_number & ~both, "NUMBER_HALF_DECLARED")
-        .when(is_number & ~representable, "DECIMAL_UNREPRESENTABLE")
-        .when(is_number, F.lit(None))
-        .when(is_text & length.isNull(), "LENGTH_MISSING")
-        .when(is_text | is_date, F.lit(None))
-        .when(is_stamp & fsp.isNull(), "FSP_MISSING")
-        .when(is_stamp & (fsp > MAX_FSP), "FSP_TOO_PRECISE")
-        .when(is_stamp, F.lit(None))
-        .otherwise("TYPE_NOT_LISTED")
-    )
-    bare = is_number & neither
-    support = (
-        F.when(bare, "needs_precision").when(rejection.isNull(), "ok").otherwise("unsupported")
-    )
-    ok = rejection.isNull() & ~bare
-    family = F.when(ok & is_number, "decimal").when(ok & is_text, "varchar").when(ok, "datetime")
-    return F.struct(
-        support.alias("support"),
-        family.alias("family"),
-        F.when(is_number & both, p).alias("precision"),
-        F.when(is_number & both, s).alias("scale"),
-        F.when(ok & is_text, length.cast("bigint")).alias("length"),
-        F.when(ok & is_date, 0).when(ok & is_stamp, MAX_FSP).cast("bigint").alias("fsp"),
-        rejection.alias("rejection"),
+    return (
+        columns.withColumn("_number", F.expr(_NUMBER_SHAPE))
+        .withColumn("_rejection", F.expr(_REJECTION))
+        .withColumns({"shape": F.expr(_SHAPE), "source": F.expr(_SOURCE_TEXT)})
+        .drop("_number", "_rejection")
     )
 
 
-def decimal_text(precision: Column, scale: Column) -> Column:
-    return F.concat(
-        F.lit("DECIMAL("), precision.cast("string"), F.lit(","), scale.cast("string"), F.lit(")")
-    )
+# Text of the struct column `shape`; NULL when no shape was derived.
+SHAPE_TEXT = """CASE shape.family
+    WHEN 'decimal' THEN 'DECIMAL(' || shape.precision || ',' || shape.scale || ')'
+    WHEN 'varchar' THEN 'VARCHAR(' || shape.length || ')'
+    WHEN 'datetime' THEN 'DATETIME(' || shape.fsp || ')' END"""
 
 
-def shape_text(shape: Column) -> Column:
-    """`DECIMAL(p,s)`, `VARCHAR(n)` or `DATETIME(f)`; NULL when no shape was derived."""
-    return (
-        F.when(shape["family"] == "decimal", decimal_text(shape["precision"], shape["scale"]))
-        .when(
-            shape["family"] == "varchar",
-            F.concat(F.lit("VARCHAR("), shape["length"].cast("string"), F.lit(")")),
-        )
-        .when(
-            shape["family"] == "datetime",
-            F.concat(F.lit("DATETIME("), shape["fsp"].cast("string"), F.lit(")")),
-        )
-    )
+def shape_text() -> Column:
+    """`DECIMAL(p,s)`, `VARCHAR(n)` or `DATETIME(f)` of the column ``shape``."""
+    return F.expr(SHAPE_TEXT)
 
 
-def source_text(
-    type_name: Column, precision: Column, scale: Column, length: Column, fsp: Column
-) -> Column:
-    """How a source column is shown; `?` stands for a part the metadata does not give."""
-    kind = F.upper(type_name)
+def lookup(code: str, position: int) -> str:
+    """SQL text that looks up the message (1) or suggestion (2) of a rejection code."""
+    arms = " ".join(f"WHEN '{row[0]}' THEN '{row[position]}'" for row in REJECTIONS)
+    return f"CASE {code} {arms} END"
 
-    def sized(size: Column) -> Column:
-        return F.concat(kind, F.lit("("), F.coalesce(size.cast("string"), F.lit("?")), F.lit(")"))
 
-    return (
-        F.when(
-            (kind == "NUMBER") & precision.isNotNull() & scale.isNotNull(),
-            F.concat(
-                F.lit("NUMBER("), precision.cast("string"), F.lit(","), scale.cast("string"), F.lit(")")
-            ),
-        )
-        .when(kind == "NUMBER", "NUMBER(?,?)")
-        .when(kind.isin(*TEXT_TYPES), sized(length))
-        .when(kind == "DATE", "DATE")
-        .when(kind == "TIMESTAMP", sized(fsp))
-        .otherwise(type_name)
+def decimal_text(precision: Column, scale: Column) -> Column:
+    return F.concat(
+        F.lit("DECIMAL("), precision.cast("string"), F.lit(","), scale.cast("string"), F.lit(")")
     )
 
 
@@ -134,11 +118,3 @@ def may_filter_by_date(type_name: Column, fsp: Column) -> Column:
     """Whether a column can carry a date condition: DATE or TIMESTAMP(0..6)."""
     kind = F.upper(type_name)
     return F.coalesce((kind == "DATE") | ((kind == "TIMESTAMP") & (fsp <= MAX_FSP)), F.lit(False))
-
-
-def lookup_text(code: Column, rows, position: int) -> Column:
-    """Constant lookup of a message or suggestion by its code."""
-    chain = F.lit(None).cast("string")
-    for row in rows:
-        chain = F.when(code == row[0], row[position]).otherwise(chain)
-    return chain

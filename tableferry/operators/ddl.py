@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableferry.functions import shapes
-from tableferry.operators.mapping_audit import with_shape
 
 
 def quoted(name: Column) -> Column:
@@ -32,14 +31,14 @@ def target_ddl(tasks: DataFrame, source_columns: DataFrame) -> DataFrame:
     hinted = F.col("hint_precision").isNotNull() & F.col("hint_scale").isNotNull()
     hint_text = shapes.decimal_text(F.col("hint_precision"), F.col("hint_scale"))
     hint_ok = shapes.is_decimal_shape(F.col("hint_precision"), F.col("hint_scale"))
-    type_text = F.when(~bare, shapes.shape_text(shape)).when(~hinted, "DECIMAL(<p>,<s>)").otherwise(hint_text)
+    type_text = F.when(~bare, shapes.shape_text()).when(~hinted, "DECIMAL(<p>,<s>)").otherwise(hint_text)
     error = F.when(
-        shape["rejection"].isNotNull(), shapes.lookup_text(shape["rejection"], shapes.REJECTIONS, 1)
+        shape["rejection"].isNotNull(), F.expr(shapes.lookup("shape.rejection", 1))
     ).when(bare & hinted & ~hint_ok, F.concat(F.lit("the declared "), hint_text, F.lit(" exceeds DECIMAL(65,30)")))
 
     keys = F.transform("key_columns", F.upper)
     rows = (
-        with_shape(source_columns)
+        shapes.with_shape(source_columns)
         .join(tasks.select("task", "target_table", "key_columns"), "task")
         .withColumn("is_key", F.array_contains(keys, F.upper("column_name")))
         .select(

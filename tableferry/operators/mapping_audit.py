@@ -23,26 +23,6 @@ ISSUE_COLUMNS = ("task", "column_name", "source", "target", "rule", "detail", "s
 _ALIGN = ["task", "name_key"]
 
 
-def with_shape(columns: DataFrame) -> DataFrame:
-    """Add ``shape`` (derived target shape) and ``source`` (display text) to source metadata."""
-    parts = [F.col(c) for c in ("type_name", "precision", "scale", "length", "fsp")]
-    return columns.withColumn("shape", shapes.derive_shape(*parts)).withColumn(
-        "source", shapes.source_text(*parts)
-    )
-
-
-def _issue(broken: Column, rule: str | Column, detail: Column, suggestion: Column) -> Column:
-    rule = F.lit(rule) if isinstance(rule, str) else rule
-    return F.when(
-        broken,
-        F.struct(rule.alias("rule"), detail.alias("detail"), suggestion.alias("suggestion")),
-    )
-
-
-def _say(*parts) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-
 def _key_columns(tasks: DataFrame) -> DataFrame:
     return (
         tasks.select("task", F.explode("key_columns").alias("key_column"))
@@ -74,109 +54,106 @@ def unmapped_targets(source_columns: DataFrame, target_columns: DataFrame) -> Da
     )
 
 
-def _decimal_issues() -> list[Column]:
-    """Lower bound of a declared NUMBER: the target keeps the scale and the integer digits."""
-    s, t = F.col("shape"), F.col("t")
-    applies = (s["family"] == "decimal") & t.isNotNull()
-    is_decimal = F.lower(t["data_type"]) == "decimal"
-    fix = _say("change to ", shapes.shape_text(s))
-    undeclared = t["precision"].isNull() | t["scale"].isNull()
-    need = s["precision"] - s["scale"]
-    have = F.greatest(t["precision"] - t["scale"], F.lit(0))
-    scale_short = t["scale"] < s["scale"]
-    integer_short = (t["precision"] < t["scale"]) | (t["precision"] - t["scale"] < need)
-    scale_text = _say("scale ", t["scale"], " < ", s["scale"])
-    integer_text = _say("integer digits ", have, " < ", need)
-    declared = applies & is_decimal & ~undeclared
-    return [
-        _issue(applies & ~is_decimal, "NUMBER_TARGET_NOT_DECIMAL", F.lit("a NUMBER needs a DECIMAL target"), fix),
-        _issue(applies & is_decimal & undeclared, "DECIMAL_UNDECLARED", F.lit("the target DECIMAL gives no precision and scale"), fix),
-        _issue(declared & scale_short & integer_short, "SCALE_AND_INTEGER_SHORT", F.concat_ws("; ", scale_text, integer_text), fix),
-        _issue(declared & scale_short & ~integer_short, "SCALE_SHORT", _say(scale_text, ", values would be rounded silently"), fix),
-        _issue(declared & ~scale_short & integer_short, "INTEGER_SHORT", integer_text, fix),
-    ]
-
-
-def _bare_number_issues() -> list[Column]:
-    """A NUMBER without precision takes its shape from the target DECIMAL."""
-    s, t = F.col("shape"), F.col("t")
-    applies = s["support"] == "needs_precision"
-    is_decimal = F.lower(t["data_type"]) == "decimal"
-    valid = F.coalesce(shapes.is_decimal_shape(t["precision"], t["scale"]), F.lit(False))
-    return [
-        _issue(applies & t.isNull(), "NUMBER_SHAPE_UNKNOWN", F.lit("a bare NUMBER needs a target DECIMAL shape"), F.lit("declare (p,s) for this column and add the DECIMAL column")),
-        _issue(applies & t.isNotNull() & ~is_decimal, "NUMBER_TARGET_NOT_DECIMAL", F.lit("a NUMBER needs a DECIMAL target"), F.lit("declare (p,s) for this column and change the target to that DECIMAL")),
-        _issue(applies & t.isNotNull() & is_decimal & ~valid, "DECIMAL_SHAPE_INVALID", F.lit("the target DECIMAL of a bare NUMBER has no valid precision and scale"), F.lit("give the target DECIMAL a valid (p,s)")),
-    ]
-
-
-def _text_issues() -> list[Column]:
-    s, t = F.col("shape"), F.col("t")
-    applies = (s["family"] == "varchar") & t.isNotNull()
-    is_varchar = F.lower(t["data_type"]) == "varchar"
-    short = t["length"].isNull() | (t["length"] < s["length"])
-    fix = _say("change to ", shapes.shape_text(s))
-    charset_ok = t["character_set"].eqNullSafe("utf8mb4")
-    return [
-        _issue(applies & ~is_varchar, "TEXT_TARGET_NOT_VARCHAR", F.lit("a character column needs a VARCHAR target"), fix),
-        _issue(applies & is_varchar & short, "TEXT_TOO_SHORT", F.lit("the target VARCHAR is shorter than the source length (bytes or characters as the source declares)"), fix),
-        _issue(applies & ~charset_ok, "TEXT_CHARSET", F.lit("the target VARCHAR must use utf8mb4"), F.lit("change to utf8mb4")),
-    ]
-
-
-def _time_issues() -> list[Column]:
-    s, t = F.col("shape"), F.col("t")
-    applies = (s["family"] == "datetime") & t.isNotNull()
-    is_datetime = F.lower(t["data_type"]) == "datetime"
-    family = F.when(s["fsp"] == 0, "DATE").otherwise("TIMESTAMP")
-    fix = _say("change to ", shapes.shape_text(s))
-    return [
-        _issue(applies & ~is_datetime, "TIME_TARGET_NOT_DATETIME", _say(family, " needs a DATETIME target"), fix),
-        _issue(applies & is_datetime & ~t["datetime_precision"].eqNullSafe(s["fsp"]), "TIME_FRACTION", _say(family, " needs exactly ", s["fsp"], " fraction digits"), fix),
-    ]
-
-
-def missing_target_suggestion(shape: Column) -> Column:
-    return (
-        F.when(shape["support"] == "ok", _say("add the target column ", shapes.shape_text(shape), " NULL"))
-        .when(
-            (shape["support"] == "needs_precision") | (shape["rejection"] == "NUMBER_HALF_DECLARED"),
-            "declare (p,s) for this column and add the DECIMAL column",
-        )
-        .when(
-            shape["rejection"].isin("DECIMAL_UNREPRESENTABLE", "LENGTH_MISSING"),
-            shapes.lookup_text(shape["rejection"], shapes.REJECTIONS, 2),
-        )
-        .otherwise("drop the column from the task, or add a compatible target column")
-    )
+_FIX = f"'change to ' || {shapes.SHAPE_TEXT}"
+_DECLARE_AND_ADD = "'declare (p,s) for this column and add the DECIMAL column'"
+_TARGET_FIX = f"""CASE
+    WHEN shape.support = 'ok' THEN 'add the target column ' || {shapes.SHAPE_TEXT} || ' NULL'
+    WHEN shape.support = 'needs_precision' OR shape.rejection = 'NUMBER_HALF_DECLARED' THEN {_DECLARE_AND_ADD}
+    WHEN shape.rejection IN ('DECIMAL_UNREPRESENTABLE', 'LENGTH_MISSING') THEN {shapes.lookup('shape.rejection', 2)}
+    ELSE 'drop the column from the task, or add a compatible target column' END"""
+# A declared NUMBER needs a target that keeps its scale and its integer digits.
+_DECIMAL = "shape.family = 'decimal' AND lower(t.data_type) = 'decimal'"
+_SCALE_SHORT = "t.scale < shape.scale"
+_WHOLE_SHORT = "(t.precision < t.scale OR t.precision - t.scale < shape.precision - shape.scale)"
+_SCALE_TEXT = "'scale ' || t.scale || ' < ' || shape.scale"
+_WHOLE_TEXT = "'integer digits ' || greatest(t.precision - t.scale, 0) || ' < ' || (shape.precision - shape.scale)"
+_BARE = "shape.support = 'needs_precision' AND t IS NOT NULL"
+_VALID = "coalesce(t.precision BETWEEN 1 AND 65 AND t.scale BETWEEN 0 AND 30 AND t.scale <= t.precision, false)"
+_TEXT = "shape.family = 'varchar' AND t IS NOT NULL"
+_TIME = "shape.family = 'datetime' AND t IS NOT NULL"
+_TIME_NAME = "if(shape.fsp = 0, 'DATE', 'TIMESTAMP')"
+
+# Rules over one aligned column: condition, rule, detail and suggestion, all SQL texts.
+COLUMN_RULES = (
+    ("repeated", "'SOURCE_REPEATED'", "'the source column name is not unique'", "'give every source column its own name'"),
+    ("t IS NULL", "'TARGET_MISSING'", "'the target has no column of this name'", _TARGET_FIX),
+    (
+        "shape.rejection IS NOT NULL",
+        "shape.rejection",
+        shapes.lookup("shape.rejection", 1),
+        shapes.lookup("shape.rejection", 2),
+    ),
+    (
+        "shape.family = 'decimal' AND lower(t.data_type) <> 'decimal'",
+        "'NUMBER_TARGET_NOT_DECIMAL'",
+        "'a NUMBER needs a DECIMAL target'",
+        _FIX,
+    ),
+    (
+        f"{_DECIMAL} AND (t.precision IS NULL OR t.scale IS NULL)",
+        "'DECIMAL_UNDECLARED'",
+        "'the target DECIMAL gives no precision and scale'",
+        _FIX,
+    ),
+    (f"{_DECIMAL} AND {_SCALE_SHORT} AND {_WHOLE_SHORT}", "'SCALE_AND_INTEGER_SHORT'", f"{_SCALE_TEXT} || '; ' || {_WHOLE_TEXT}", _FIX),
+    (f"{_DECIMAL} AND {_SCALE_SHORT} AND NOT {_WHOLE_SHORT}", "'SCALE_SHORT'", f"{_SCALE_TEXT} || ', values would be rounded silently'", _FIX),
+    (f"{_DECIMAL} AND NOT {_SCALE_SHORT} AND {_WHOLE_SHORT}", "'INTEGER_SHORT'", _WHOLE_TEXT, _FIX),
+    # A bare NUMBER takes its shape from the target DECIMAL.
+    (
+        "shape.support = 'needs_precision' AND t IS NULL",
+        "'NUMBER_SHAPE_UNKNOWN'",
+        "'a bare NUMBER needs a target DECIMAL shape'",
+        _DECLARE_AND_ADD,
+    ),
+    (
+        f"{_BARE} AND lower(t.data_type) <> 'decimal'",
+        "'NUMBER_TARGET_NOT_DECIMAL'",
+        "'a NUMBER needs a DECIMAL target'",
+        "'declare (p,s) for this column and change the target to that DECIMAL'",
+    ),
+    (
+        f"{_BARE} AND lower(t.data_type) = 'decimal' AND NOT {_VALID}",
+        "'DECIMAL_SHAPE_INVALID'",
+        "'the target DECIMAL of a bare NUMBER has no valid precision and scale'",
+        "'give the target DECIMAL a valid (p,s)'",
+    ),
+    (f"{_TEXT} AND lower(t.data_type) <> 'varchar'", "'TEXT_TARGET_NOT_VARCHAR'", "'a character column needs a VARCHAR target'", _FIX),
+    (
+        f"{_TEXT} AND lower(t.data_type) = 'varchar' AND (t.length IS NULL OR t.length < shape.length)",
+        "'TEXT_TOO_SHORT'",
+        "'the target VARCHAR is shorter than the source length (bytes or characters as the source declares)'",
+        _FIX,
+    ),
+    (f"{_TEXT} AND NOT t.character_set <=> 'utf8mb4'", "'TEXT_CHARSET'", "'the target VARCHAR must use utf8mb4'", "'change to utf8mb4'"),
+    (f"{_TIME} AND lower(t.data_type) <> 'datetime'", "'TIME_TARGET_NOT_DATETIME'", f"{_TIME_NAME} || ' needs a DATETIME target'", _FIX),
+    (
+        f"{_TIME} AND lower(t.data_type) = 'datetime' AND NOT t.datetime_precision <=> shape.fsp",
+        "'TIME_FRACTION'",
+        f"{_TIME_NAME} || ' needs exactly ' || shape.fsp || ' fraction digits'",
+        _FIX,
+    ),
+    ("NOT t.nullable AND is_key IS NULL", "'TARGET_NOT_NULLABLE'", "'the target column must accept NULL'", "'change to NULL'"),
+)
 
 
 def _column_issues(source: DataFrame, target: DataFrame, keys: DataFrame) -> DataFrame:
     first = Window.partitionBy(*_ALIGN).orderBy("ordinal")
     rows = (
-        align_columns(with_shape(source), target)
+        align_columns(shapes.with_shape(source), target)
         .join(keys.withColumn("is_key", F.lit(True)), _ALIGN, "left")
         .withColumn("repeated", F.row_number().over(first) > 1)
     )
-    s, t = F.col("shape"), F.col("t")
-    rejection = s["rejection"]
-    issues = [
-        _issue(F.col("repeated"), "SOURCE_REPEATED", F.lit("the source column name is not unique"), F.lit("give every source column its own name")),
-        _issue(t.isNull(), "TARGET_MISSING", F.lit("the target has no column of this name"), missing_target_suggestion(s)),
-        _issue(rejection.isNotNull(), rejection, shapes.lookup_text(rejection, shapes.REJECTIONS, 1), shapes.lookup_text(rejection, shapes.REJECTIONS, 2)),
-        *_decimal_issues(),
-        *_bare_number_issues(),
-        *_text_issues(),
-        *_time_issues(),
-        _issue(t.isNotNull() & ~t["nullable"] & F.col("is_key").isNull(), "TARGET_NOT_NULLABLE", F.lit("the target column must accept NULL"), F.lit("change to NULL")),
-    ]
-    return rows.select(
+    found = ", ".join(
+        f"if({when}, named_struct('rule', {rule}, 'detail', {detail}, 'suggestion', {fix}), NULL)"
+        for when, rule, detail, fix in COLUMN_RULES
+    )
+    return rows.selectExpr(
         "task",
         "column_name",
         "source",
-        F.when(t.isNotNull(), F.upper(t["column_type"])).otherwise("<missing>").alias("target"),
-        F.explode(F.array_compact(F.array(*issues))).alias("issue"),
-    ).select("task", "column_name", "source", "target", "issue.*")
+        "if(t IS NULL, '<missing>', upper(t.column_type)) AS target",
+        f"inline(array_compact(array({found})))",
+    )
 
 
 def _unmapped_issues(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -300,7 +277,7 @@ def range_check_plan(source_columns: DataFrame, target_columns: DataFrame) -> Da
     """
     t = F.col("t")
     return (
-        align_columns(with_shape(source_columns), target_columns)
+        align_columns(shapes.with_shape(source_columns), target_columns)
         .filter(
             (F.col("shape.support") == "needs_precision")
             & (F.lower(t["data_type"]) == "decimal")

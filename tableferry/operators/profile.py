@@ -106,13 +106,10 @@ def type_census(source_columns: DataFrame) -> DataFrame:
 
 def unsupported_types(source_columns: DataFrame) -> DataFrame:
     """Columns that need attention before a copy: ``task, ordinal, column_name, finding``."""
-    parts = [F.col(c) for c in ("type_name", "precision", "scale", "length", "fsp")]
-    shape = shapes.derive_shape(*parts)
-    finding = (
-        F.when(shape["rejection"] == "TYPE_NOT_LISTED", "TYPE_NOT_LISTED")
-        .when(shape["rejection"] == "FSP_TOO_PRECISE", "FSP_TOO_PRECISE")
-        .when(shape["support"] == "needs_precision", "BARE_NUMBER")
+    finding = """CASE WHEN shape.rejection IN ('TYPE_NOT_LISTED', 'FSP_TOO_PRECISE') THEN shape.rejection
+                      WHEN shape.support = 'needs_precision' THEN 'BARE_NUMBER' END AS finding"""
+    return (
+        shapes.with_shape(source_columns)
+        .selectExpr("task", "ordinal", "column_name", "type_name", finding)
+        .filter(F.col("finding").isNotNull())
     )
-    return source_columns.select(
-        "task", "ordinal", "column_name", "type_name", finding.alias("finding")
-    ).filter(F.col("finding").isNotNull())

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Data that is read back once or twice: dictionaries would cost more time than they save.
+SHORT_LIVED = {"parquet.enable.dictionary": "false", "compression": "zstd"}
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: `spark.checkpoint.dir`, which every executor can reach.
 
@@ -31,7 +35,7 @@ def write_scratch(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once and read it back: later jobs see the same rows, also after lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**SHORT_LIVED).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -43,7 +43,7 @@ def publish(df: DataFrame, table: str, run_id: str, check: Callable[[], None] |
     if previous == run_id:
         raise ValueError(f"run {run_id} is already published")
     try:
-        df.write.mode("overwrite").parquet(version)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(version)
         if check is not None:
             check()
     except BaseException:

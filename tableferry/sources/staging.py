@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tableferry.scratch import SHORT_LIVED
 from tableferry.sources.files import child_names, remove
 
 
@@ -19,7 +20,7 @@ def stage_run(df: DataFrame, path: str, run_id: str) -> int:
     """
     seen = Observation()
     observed = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    observed.write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
+    observed.write.mode("overwrite").options(**SHORT_LIVED).parquet(f"{path}/run_id={run_id}")
     return int(seen.get["rows"])
 
 

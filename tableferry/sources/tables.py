@@ -128,8 +128,7 @@ def describe(df: DataFrame, task: str) -> DataFrame:
         (task, i + 1, f.name, *_source_shape(f.dataType)) for i, f in enumerate(df.schema.fields)
     ]
     out = df.sparkSession.createDataFrame(rows, SOURCE_COLUMN_SCHEMA)
-    parts = [F.col(c) for c in ("type_name", "precision", "scale", "length", "fsp")]
-    return out.withColumn("support", shapes.derive_shape(*parts)["support"])
+    return shapes.with_shape(out).select(*out.columns, F.col("shape.support").alias("support"))
 
 
 def target_columns_of(df: DataFrame, task: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tableferry.functions import shapes
 from tableferry.operators import ddl, mapping_audit
-from tableferry.operators.mapping_audit import with_shape
+from tableferry.functions.shapes import with_shape
 
 SCHEMA = "task string, ordinal bigint, column_name string, type_name string, precision bigint, scale bigint, length bigint, fsp bigint"
 
@@ -48,7 +48,7 @@ def columns(spark, parts):
 
 def test_accepted_shapes(spark):
     df = with_shape(columns(spark, [p for p, _ in ACCEPTED])).orderBy("ordinal")
-    got = df.select(shapes.shape_text(F.col("shape")).alias("s"), "shape.support").collect()
+    got = df.select(shapes.shape_text().alias("s"), "shape.support").collect()
     assert [r["s"] for r in got] == [e for _, e in ACCEPTED]
     assert {r["support"] for r in got} == {"ok"}
 

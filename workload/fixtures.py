@@ -234,14 +234,12 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture (or a driver table) as a DataFrame over the files of `sf_dir`."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = SQL[name]
-    inputs = {
-        other: fixture(spark, sf_dir, other)
-        for other in (*TABLES, *SQL)
-        if other != name and re.search(rf"\b(FROM|JOIN)\s+{other}\b", text)
-    }
-    for other in inputs:
-        text = re.sub(rf"\b(FROM|JOIN)\s+{other}\b", rf"\1 {{{other}}}", text)
+    text = with_fixtures(f"SELECT * FROM {name}")
+    inputs = {}
+    for table in TABLES:
+        text, uses = re.subn(rf"\b(FROM|JOIN)\s+{table}\b", rf"\1 {{{table}}}", text)
+        if uses:
+            inputs[table] = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return spark.sql(text, **inputs)
 
 

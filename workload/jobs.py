@@ -112,17 +112,17 @@ def _unique_keys(spark, sf) -> DataFrame:
 @job
 def derive_shapes(spark, sf):
     shape = F.col("shape")
-    return mapping_audit.with_shape(_source_columns(spark, sf)).select(
+    return shapes.with_shape(_source_columns(spark, sf)).select(
         "task", "ordinal", "column_name", F.col("source").alias("source_text"),
         shape["family"].alias("family"), shape["rejection"].alias("rejection"),
-        shapes.shape_text(shape).alias("shape_text"),
+        shapes.shape_text().alias("shape_text"),
     )
 
 
 @job
 def support_tier(spark, sf):
     return (
-        mapping_audit.with_shape(_source_columns(spark, sf))
+        shapes.with_shape(_source_columns(spark, sf))
         .withColumn("by_date", shapes.may_filter_by_date(F.col("type_name"), F.col("fsp")))
         .groupBy("task", F.col("shape.support").alias("support"))
         .agg(F.count("*").alias("columns"), F.count_if("by_date").alias("date_filter_columns"))
@@ -133,11 +133,11 @@ def support_tier(spark, sf):
 def reject_reasons(spark, sf):
     rejection = F.col("shape.rejection")
     return (
-        mapping_audit.with_shape(_source_columns(spark, sf))
+        shapes.with_shape(_source_columns(spark, sf))
         .filter(rejection.isNotNull())
         .groupBy(rejection.alias("rejection"))
         .agg(F.count("*").alias("columns"))
-        .withColumn("suggestion", shapes.lookup_text(F.col("rejection"), shapes.REJECTIONS, 2))
+        .withColumn("suggestion", F.expr(shapes.lookup("rejection", 2)))
     )
 
 
@@ -180,7 +180,7 @@ def target_ddl(spark, sf):
 def target_ddl_accepted(spark, sf):
     """DDL of the columns that have a target shape or wait for a declared one."""
     columns = _source_columns(spark, sf)
-    accepted = mapping_audit.with_shape(columns).filter(F.col("shape.rejection").isNull()).select(*columns.columns)
+    accepted = shapes.with_shape(columns).filter(F.col("shape.rejection").isNull()).select(*columns.columns)
     tasks = _tasks(spark, sf).withColumn("key_columns", F.array(F.lit("C1")))
     return ddl.target_ddl(tasks, accepted)
 
