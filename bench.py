@@ -22,6 +22,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from tableferry import ColumnMapping, TaskSpec  # noqa: E402
 from tableferry.operators import numbering  # noqa: E402
 from tableferry.plans.copy_run import CopyPlan, run_copy  # noqa: E402
+from tableferry.sources.publish import FolderTarget  # noqa: E402
 from workload.jobs import JOBS  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -101,7 +102,7 @@ def copy_plan(df, root: str, name: str) -> CopyPlan:
     columns = tuple(ColumnMapping(c, c.upper()) for c in df.columns)
     spec = TaskSpec("APP", name.upper(), name.upper(), ("ROW_ID",), columns)
     target = T.StructType([T.StructField(f.name.upper(), f.dataType) for f in df.schema.fields])
-    return CopyPlan(spec, f"{root}/target_{name}", target, f"{root}/staging_{name}")
+    return CopyPlan(spec, FolderTarget(f"{root}/target_{name}", target), f"{root}/staging_{name}")
 
 
 def main() -> None:
@@ -114,7 +115,7 @@ def main() -> None:
     for name, df in copy_sources(spark, root).items():
         plan = copy_plan(df, root, name)
         order = [F.col("row_id")]
-        seconds[f"batches_{name}"] = timed(lambda: run_to_end(numbering.assign_batches(df, order)))
+        seconds[f"batches_{name}"] = timed(lambda: run_to_end(numbering.assign_batches(df, order, unique=True)))
         seconds[f"copy_{name}"] = timed(lambda: run_copy(spark, plan, df))
         seconds[f"upsert_{name}"] = timed(lambda: run_copy(spark, plan, df))
     line = {

@@ -22,15 +22,17 @@ ROW_LIMIT = 5_000
 BYTE_BUDGET = 16 * 1024 * 1024
 
 
-def _ranged(df: DataFrame, order: Sequence[Column], partitions: int | None) -> DataFrame:
+def _ranged(
+    df: DataFrame, order: Sequence[Column], partitions: int | None, unique: bool = False
+) -> DataFrame:
     """Rows in ranges of the total order; without an order they stay where the scan left them.
 
-    A hash of the row breaks ties, so rows that share a hot order value still spread over
-    several ranges, in an order that a retry repeats.
+    Unless the order is unique, a hash of the row breaks ties, so rows that share a hot order
+    value still spread over several ranges, in an order that a retry repeats.
     """
     if not order:
         return df
-    total = [*order, F.xxhash64(*df.columns).asc()]
+    total = list(order) if unique else [*order, F.xxhash64(*df.columns).asc()]
     if partitions is None:
         ranged = df.repartitionByRange(*total)
     else:
@@ -45,16 +47,21 @@ def _shifts(sizes: DataFrame, size: str) -> DataFrame:
 
 
 def number_rows(
-    df: DataFrame, order: Sequence[Column], name: str = "rn", partitions: int | None = None
+    df: DataFrame,
+    order: Sequence[Column],
+    name: str = "rn",
+    partitions: int | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Add `name`, the 1-based ROW_NUMBER over `order`, to every row.
 
-    With an empty order the rows are numbered as scanned, without a shuffle.
+    With an empty order the rows are numbered as scanned, without a shuffle. Say `unique` when
+    no two rows share an order value.
     """
     low_bits = (1 << 33) - 1
     position = F.monotonically_increasing_id()
     kept = write_scratch(
-        _ranged(df, order, partitions).select(
+        _ranged(df, order, partitions, unique).select(
             "*",
             F.shiftright(position, 33).alias("_part"),
             position.bitwiseAND(F.lit(low_bits)).alias("_index"),
@@ -74,11 +81,13 @@ def page(df: DataFrame, order: Sequence[Column], first: int, last: int) -> DataF
     return number_rows(df, order).filter(F.col("rn").between(first, last))
 
 
-def number_batches(df: DataFrame, order: Sequence[Column], row_limit: int = ROW_LIMIT) -> DataFrame:
+def number_batches(
+    df: DataFrame, order: Sequence[Column], row_limit: int = ROW_LIMIT, unique: bool = False
+) -> DataFrame:
     """Add ``batch_no`` and ``row_no`` for batches cut by row count only."""
     zero_based = F.col("rn") - 1
     return (
-        number_rows(df, order)
+        number_rows(df, order, unique=unique)
         .withColumn("batch_no", F.floor(zero_based / row_limit).cast("bigint") + 1)
         .withColumn("row_no", (zero_based % row_limit) + 1)
         .drop("rn")
@@ -152,6 +161,7 @@ def assign_batches(
     row_limit: int = ROW_LIMIT,
     byte_budget: int = BYTE_BUDGET,
     partitions: int | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Add ``batch_no, row_no, row_bytes``: batches within both limits, numbered from 1 with no gap.
 
@@ -160,8 +170,12 @@ def assign_batches(
     without ORDER BY passes no order, and its rows are cut in scan order without any shuffle.
     """
     cells = canonical_cells(df) if cells is None else cells
-    sized = _ranged(df.withColumn("_bytes", F.octet_length(F.to_json(cells)).cast("bigint")), order, partitions)
-    sized = sized.withColumn("_part", F.spark_partition_id().cast("bigint"))
+    # Sizes are taken after the rows are in place, so the range sampling does not compute them.
+    sized = _ranged(df, order, partitions, unique).select(
+        "*",
+        F.octet_length(F.to_json(cells)).cast("bigint").alias("_bytes"),
+        F.spark_partition_id().cast("bigint").alias("_part"),
+    )
     schema = T.StructType(
         [*sized.schema.fields, T.StructField("_local", T.LongType()), T.StructField("row_no", T.LongType())]
     )

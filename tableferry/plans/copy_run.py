@@ -1,7 +1,8 @@
-"""One copy run: audit, check values, stage, gate, publish.
+"""One copy run: audit, stage, check, gate, publish.
 
-Nothing moves before the audit is clean. The Spark jobs are one scan for the range and value
-checks (skipped when no column needs them), one for staging, and one for the merge.
+Nothing moves before the audit is clean. The source is read once, by the staging job (and once
+before it when bare NUMBER columns need their range check). Everything after that looks at the
+staged rows, so what was checked is exactly what is published.
 """
 
 from __future__ import annotations
@@ -13,12 +14,11 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tableferry.operators import upsert as merge
 from tableferry.operators.range_audit import CellRule, RangeCheck, range_audit, reject_rows
-from tableferry.sources import publish as target
 from tableferry.sources import staging
+from tableferry.sources.publish import BucketedTarget, FolderTarget
 from tableferry.spec import OrderTerm, TaskSpec, apply_spec
 
 
@@ -52,8 +52,7 @@ class CopyPlan:
     """
 
     spec: TaskSpec
-    target_path: str
-    target_schema: T.StructType
+    target: FolderTarget | BucketedTarget
     staging_path: str
     checks: Sequence[RangeCheck] = field(default=())
     rules: Sequence[CellRule] = field(default=())
@@ -91,24 +90,31 @@ def run_copy(
     if issues is not None:
         refuse_if(issues, "MAPPING_PRECHECK", "the mapping audit found issues")
     rows = apply_spec(source, plan.spec, params)
-    if plan.checks:
-        bad = range_audit(rows, plan.checks).filter("invalid_rows > 0")
-        refuse_if(bad, "MAPPING_PRECHECK", "values do not fit the declared decimal")
+    _check_ranges(rows, plan)
     key = list(plan.spec.primary_key)
-    if plan.rules:
-        refuse_if(reject_rows(rows, key, plan.rules), "SOURCE_VALUE", "values the target would reject")
     try:
         read = staging.stage_run(rows, plan.staging_path, run_id)
         staged = staging.read_run(spark, plan.staging_path, run_id, rows.schema)
+        # The source may have changed since its range check; the staged rows no longer can.
+        _check_ranges(staged, plan)
+        if plan.rules:
+            refused = reject_rows(staged, key, plan.rules)
+            refuse_if(refused, "SOURCE_VALUE", "values the target would reject")
         report = merge.key_report(staged, key).first()
         _gate(read, report, plan.on_duplicate, staged, key)
         if report["duplicated_keys"]:
             staged = merge.keep_latest(staged, key, _target_order(plan.spec))
-        return _publish(spark, plan, staged, key, run_id, read, report["rows"])
+        return _publish(spark, plan, staged, key, run_id, read, report)
     finally:
         staging.drop_run(spark, plan.staging_path, run_id)
 
 
+def _check_ranges(rows: DataFrame, plan: CopyPlan) -> None:
+    if plan.checks:
+        bad = range_audit(rows, plan.checks).filter("invalid_rows > 0")
+        refuse_if(bad, "MAPPING_PRECHECK", "values do not fit the declared decimal")
+
+
 def _target_order(spec: TaskSpec) -> list[OrderTerm]:
     """The task's order under target names; terms on columns that were not copied drop out."""
     names = {c.source.upper(): c.target for c in spec.columns}
@@ -129,26 +135,21 @@ def _gate(read: int, report, on_duplicate: str, staged: DataFrame, key: list[str
         raise CopyRefused("DATA_REJECTED", f"{report['duplicated_keys']} keys are repeated", some)
 
 
-def _publish(spark, plan: CopyPlan, staged, key, run_id, read, staged_rows) -> CopyResult:
-    current = target.read_current(spark, plan.target_path, plan.target_schema)
-    merged = merge.upsert(current, staged, key, plan.defaults, plan.collation)
+def _publish(spark, plan: CopyPlan, staged, key, run_id, read, report) -> CopyResult:
+    merged = merge.upsert(plan.target.read(spark), staged, key, plan.defaults, plan.collation)
     effects = Observation()
+    names = ("inserted", "updated", "unchanged", "kept")
     counted = merged.observe(
-        effects,
-        *[F.count_if(F.col("_effect") == e).alias(e) for e in ("inserted", "updated", "unchanged", "kept")],
+        effects, *[F.count_if(F.col("_effect") == e).alias(e) for e in names]
     ).drop("_effect")
 
-    expected = staged.count() if plan.on_duplicate == "latest" else staged_rows
-
     def check() -> None:
         n = effects.get
         moved = n["inserted"] + n["updated"] + n["unchanged"]
-        if moved != expected:
-            raise CopyRefused("VERIFY_FAILED", f"{expected} keys staged but {moved} merged")
+        if moved != report["distinct_keys"]:
+            raise CopyRefused("VERIFY_FAILED", f"{report['distinct_keys']} keys staged but {moved} merged")
 
-    target.publish(counted, plan.target_path, run_id, check)
+    plan.target.publish(counted, run_id, check)
     n = effects.get
-    return CopyResult(
-        run_id, read, staged_rows, n["inserted"], n["updated"], n["unchanged"], n["kept"],
-        n["inserted"] + 2 * n["updated"] + n["unchanged"],
-    )
+    affected = n["inserted"] + 2 * n["updated"] + n["unchanged"]
+    return CopyResult(run_id, read, report["rows"], *[n[e] for e in names], affected)

@@ -1,13 +1,15 @@
-"""All-or-nothing publishing of a table: a new version folder, then one pointer rename.
+"""All-or-nothing publishing of a table: write a new version, check it, switch one pointer.
 
-Layout: ``<table>/versions/<run_id>/*.parquet`` and the file ``<table>/CURRENT`` that names the
-version in force. Readers resolve the pointer first, so they see the old table or the new one.
-The pointer also tells whether a run was published when its answer was lost.
+A target is any object with ``read(spark)``, ``publish(df, run_id, check)`` and
+``current(spark)``. Readers resolve the pointer first, so they see the old table or the new one;
+the pointer also tells whether a run was published when its answer was lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -53,3 +55,75 @@ def publish(df: DataFrame, table: str, run_id: str, check: Callable[[], None] |
     for name in child_names(spark, f"{table}/versions"):
         if name not in (run_id, previous):
             remove(spark, f"{table}/versions/{name}")
+
+
+@dataclass(frozen=True)
+class FolderTarget:
+    """Parquet folders: ``<path>/versions/<run_id>/`` and the pointer file ``<path>/CURRENT``."""
+
+    path: str
+    schema: T.StructType
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return read_current(spark, self.path, self.schema)
+
+    def current(self, spark: SparkSession) -> str | None:
+        return current_version(spark, self.path)
+
+    def publish(self, df: DataFrame, run_id: str, check: Callable[[], None] | None = None) -> None:
+        publish(df, self.path, run_id, check)
+
+
+@dataclass(frozen=True)
+class BucketedTarget:
+    """Catalog tables ``<name>__v_<run_id>`` in buckets of the key, behind the view ``<name>``.
+
+    The buckets keep the target where it lies: an upsert shuffles only the staged rows into the
+    target's buckets, and every task of the join writes one bucket of the new version. Choose
+    the number of buckets for the size of the table (some hundred MiB each).
+    """
+
+    name: str
+    schema: T.StructType
+    key: Sequence[str]
+    buckets: int
+
+    def _version(self, run_id: str) -> str:
+        return f"{self.name}__v_{run_id}"
+
+    def current(self, spark: SparkSession) -> str | None:
+        if not spark.catalog.tableExists(self.name):
+            return None
+        text = spark.sql(f"SHOW CREATE TABLE {self.name}").first()[0]
+        return re.search(r"__v_([0-9a-zA-Z_]+)", text).group(1)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        run_id = self.current(spark)
+        if run_id is None:
+            return spark.createDataFrame([], self.schema)
+        return spark.table(self._version(run_id))
+
+    def publish(self, df: DataFrame, run_id: str, check: Callable[[], None] | None = None) -> None:
+        spark, version = df.sparkSession, self._version(run_id)
+        previous = self.current(spark)
+        if previous == run_id:
+            raise ValueError(f"run {run_id} is already published")
+        try:
+            writer = df.write.bucketBy(self.buckets, *self.key).sortBy(*self.key)
+            writer.option("compression", "zstd").mode("overwrite").format("parquet").saveAsTable(version)
+            if check is not None:
+                check()
+        except BaseException:
+            spark.sql(f"DROP TABLE IF EXISTS {version}")
+            raise
+        spark.sql(f"CREATE OR REPLACE VIEW {self.name} AS SELECT * FROM {version}")
+        self._drop_old(spark, keep={run_id, previous})
+
+    def _drop_old(self, spark: SparkSession, keep: set) -> None:
+        database, _, table = self.name.rpartition(".")
+        prefix = f"{table}__v_".lower()
+        for found in spark.catalog.listTables(database or None, f"{table}__v_*"):
+            run_id = found.name[len(prefix):]
+            if found.name.lower().startswith(prefix) and run_id not in keep:
+                owner = f"{database}." if database else ""
+                spark.sql(f"DROP TABLE IF EXISTS {owner}{found.name}")

@@ -8,7 +8,7 @@ again, in the same or a later micro-batch, supersedes the earlier copy: the late
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableferry.functions import runs as run_functions
@@ -18,10 +18,11 @@ from tableferry.scratch import write_scratch
 from tableferry.sources.payload import parse_payloads, payload_rows
 from tableferry.sources.files import exists, remove
 
-_BATCH = ("run_id", "batch_no", "arrived_at", "source_file", "source_line")
+# What tells the copies of a batch apart, in the order that decides which one is in force.
+_COPY = ("arrived_at", "source_file", "source_block", "source_line", "load")
 LEDGER_SCHEMA = (
-    "batch_no bigint, arrived_at timestamp, source_file string, source_line bigint, rows bigint, "
-    "run_id string, load string"
+    "batch_no bigint, arrived_at timestamp, source_file string, source_block bigint, "
+    "source_line bigint, rows bigint, run_id string, load string"
 )
 QUARANTINE_SCHEMA = (
     "run_id string, batch_no bigint, source_file string, source_line bigint, value string, reason string"
@@ -36,6 +37,7 @@ def incoming(spark: SparkSession, folder: str, max_files: int | None = None) ->
     return reader.text(f"{folder}/*").select(
         "value",
         F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("source_block"),
         F.col("_metadata.file_modification_time").alias("arrived_at"),
     )
 
@@ -70,9 +72,10 @@ def write_load(judged: DataFrame, staging_path: str, columns: list[str], load: s
     rows = payload_rows(
         accepted.withColumnRenamed("batch_no", "seq"),
         columns,
-        ("run_id", "arrived_at", "source_file", "source_line"),
+        ("run_id", "arrived_at", "source_file", "source_block", "source_line"),
     )
-    ledger = accepted.select(*_BATCH, F.size("rows").cast("bigint").alias("rows"))
+    place = ("run_id", "batch_no", "arrived_at", "source_file", "source_block", "source_line")
+    ledger = accepted.select(*place, F.size("rows").cast("bigint").alias("rows"))
     refused = judged.filter(F.col("reason").isNotNull()).select(
         "run_id", "batch_no", "source_file", "source_line", "value", "reason"
     )
@@ -132,16 +135,16 @@ def read_quarantine(spark: SparkSession, staging_path: str) -> DataFrame:
     return spark.read.schema(QUARANTINE_SCHEMA).parquet(f"{staging_path}/quarantine")
 
 
-def _ranked(ledger: DataFrame) -> DataFrame:
-    latest = Window.partitionBy("run_id", "batch_no").orderBy(
-        F.col("arrived_at").desc(), F.col("source_file").desc(), F.col("source_line").desc(), F.col("load").desc()
-    )
-    return ledger.withColumn("_rank", F.row_number().over(latest))
-
-
 def received_batches(spark: SparkSession, staging_path: str) -> DataFrame:
-    """The copy in force of every batch: ``run_id, batch_no, rows, ...``."""
-    return _ranked(read_ledger(spark, staging_path)).filter("_rank = 1").drop("_rank")
+    """The copy in force of every batch: ``run_id, batch_no, rows, ...``.
+
+    Picked by an aggregation, so a batch that was sent very often is folded on the map side.
+    """
+    latest = F.max(F.struct(*_COPY, "rows")).alias("copy")
+    return (
+        read_ledger(spark, staging_path).groupBy("run_id", "batch_no").agg(latest)
+        .select("run_id", "batch_no", "copy.*")
+    )
 
 
 def read_staged(spark: SparkSession, staging_path: str, columns: list[str]) -> DataFrame:
@@ -152,12 +155,21 @@ def read_staged(spark: SparkSession, staging_path: str, columns: list[str]) -> D
     """
     cells = ", ".join(f"`{c}` string" for c in columns)
     schema = (
-        "arrived_at timestamp, source_file string, source_line bigint, batch_no bigint, "
+        "arrived_at timestamp, source_file string, source_block bigint, source_line bigint, batch_no bigint, "
         f"row_no bigint, {cells}, run_id string, load string"
     )
     rows = spark.read.schema(schema).parquet(f"{staging_path}/rows")
-    superseded = _ranked(read_ledger(spark, staging_path)).filter("_rank > 1").select(*_BATCH, "load")
-    return rows.join(superseded, [*_BATCH, "load"], "left_anti").select("run_id", "batch_no", "row_no", *columns)
+    in_force = received_batches(spark, staging_path).select(
+        "run_id", "batch_no", F.struct(*_COPY).alias("_in_force")
+    )
+    superseded = (
+        read_ledger(spark, staging_path).join(in_force, ["run_id", "batch_no"])
+        .filter(F.struct(*_COPY) < F.col("_in_force"))
+        .select("run_id", "batch_no", *_COPY)
+    )
+    return rows.join(superseded, ["run_id", "batch_no", *_COPY], "left_anti").select(
+        "run_id", "batch_no", "row_no", *columns
+    )
 
 
 def intake_report(spark: SparkSession, staging_path: str, expected: DataFrame) -> DataFrame:

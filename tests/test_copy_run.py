@@ -35,7 +35,7 @@ def spec(**changes):
 def plan(tmp_path):
     def make(**changes):
         parts = dict(
-            spec=spec(), target_path=str(tmp_path / "target"), target_schema=TARGET,
+            spec=spec(), target=pub.FolderTarget(str(tmp_path / "target"), TARGET),
             staging_path=str(tmp_path / "staging"), defaults={"AUDIT": "copied"},
         )
         return CopyPlan(**{**parts, **changes})
@@ -53,11 +53,11 @@ BASE = [(1, "a", "1.50"), (2, "b  ", "2.00"), (3, None, None)]
 
 
 def current(spark, p):
-    return {int(r["ROW_ID"]): (r["DEST_NAME"], r["DEST_AMOUNT"], r["AUDIT"]) for r in pub.read_current(spark, p.target_path, TARGET).collect()}
+    return {int(r["ROW_ID"]): (r["DEST_NAME"], r["DEST_AMOUNT"], r["AUDIT"]) for r in p.target.read(spark).collect()}
 
 
 def digest(spark, p):
-    return tuple(verify.table_digest(pub.read_current(spark, p.target_path, TARGET)).first())
+    return tuple(verify.table_digest(p.target.read(spark)).first())
 
 
 def test_first_run_then_rerun(spark, plan):
@@ -103,11 +103,11 @@ def test_conditions_of_the_run(spark, plan):
 def test_key_problems_leave_the_target_alone(spark, plan, bad, kind):
     p = plan()
     run_copy(spark, p, rows(spark, *BASE))
-    before, version = digest(spark, p), pub.current_version(spark, p.target_path)
+    before, version = digest(spark, p), p.target.current(spark)
     with pytest.raises(CopyRefused) as error:
         run_copy(spark, p, rows(spark, *BASE, bad))
     assert error.value.kind == kind
-    assert digest(spark, p) == before and pub.current_version(spark, p.target_path) == version
+    assert digest(spark, p) == before and p.target.current(spark) == version
     assert staging.staged_runs(spark, p.staging_path) == []
 
 
@@ -134,14 +134,15 @@ def test_range_check_stops_the_run(spark, plan):
         run_copy(spark, p, rows(spark, (5, "x", "10.00")))
 
 
-def test_refused_cells_stop_the_run_before_staging(spark, plan):
+def test_refused_cells_stop_the_run(spark, plan, tmp_path):
     text = T.StructType([T.StructField("ROW_ID", T.StringType()), T.StructField("DEST_NAME", T.StringType())])
     task = spec(columns=(ColumnMapping("row_id", "ROW_ID"), ColumnMapping("src_name", "DEST_NAME")), order_by=())
-    p = plan(spec=task, target_schema=text, rules=[decimal_target_rule("ROW_ID", 8, 0)], defaults={})
+    p = plan(spec=task, target=pub.FolderTarget(str(tmp_path / "text"), text), rules=[decimal_target_rule("ROW_ID", 8, 0)], defaults={})
     df = spark.createDataFrame([("1", "a"), ("1.5", "b")], "row_id string, src_name string")
     with pytest.raises(CopyRefused) as error:
         run_copy(spark, p, df)
     assert error.value.kind == "SOURCE_VALUE" and error.value.details[0]["value"] == "1.5"
+    assert p.target.current(spark) is None and staging.staged_runs(spark, p.staging_path) == []
 
 
 def test_failed_check_keeps_the_old_version(spark, tmp_path):
@@ -182,3 +183,37 @@ def test_run_id_form():
     import re
 
     assert re.fullmatch(r"[0-9]{14}_[0-9a-f]{6}", new_run_id())
+
+
+@pytest.fixture()
+def bucketed(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS ferry_target")
+    yield pub.BucketedTarget("ferry_target.goods", TARGET, ("ROW_ID",), 4)
+    spark.sql("DROP DATABASE ferry_target CASCADE")
+
+
+def test_bucketed_target(spark, plan, bucketed):
+    p = plan(target=bucketed)
+    run_copy(spark, p, rows(spark, *BASE, (900, "sentinel", "9.00")))
+    result = run_copy(spark, p, rows(spark, (1, "changed", "1.50"), (4, "new", "4.00")))
+    assert (result.inserted, result.updated, result.kept) == (1, 1, 3)
+    assert current(spark, p)[1][0] == "changed" and current(spark, p)[900][0] == "sentinel"
+    seen = spark.table("ferry_target.goods")
+    assert seen.exceptAll(p.target.read(spark)).count() == 0
+    run_copy(spark, p, rows(spark, *BASE))
+    versions = [t.name for t in spark.catalog.listTables("ferry_target") if "__v_" in t.name]
+    assert len(versions) == 2
+    with pytest.raises(CopyRefused):
+        run_copy(spark, p, rows(spark, *BASE, BASE[0]))
+    assert len([t for t in spark.catalog.listTables("ferry_target") if "__v_" in t.name]) == 2
+
+
+def test_bucketed_target_is_not_shuffled(spark, plan, bucketed):
+    from tableferry.operators.upsert import upsert
+
+    run_copy(spark, plan(target=bucketed), rows(spark, *BASE))
+    staged = rows(spark, *BASE).toDF("ROW_ID", "DEST_NAME", "DEST_AMOUNT")
+    merged = upsert(bucketed.read(spark), staged, ["ROW_ID"])
+    text = merged._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" in text and text.count("Exchange hashpartitioning") == 1
+    assert "Bucketed: true" in text and "SelectedBucketsCount: 4 out of 4" in text

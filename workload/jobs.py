@@ -390,7 +390,7 @@ def order_statistic_bytes(spark, sf):
 
 
 def _numbered_batches(spark, sf) -> DataFrame:
-    return numbering.number_batches(fixture(spark, sf, "orders_base"), [F.col("o_orderkey")])
+    return numbering.number_batches(fixture(spark, sf, "orders_base"), [F.col("o_orderkey")], unique=True)
 
 
 @job
@@ -455,7 +455,7 @@ def snapshot_diff(spark, sf):
 
 @job
 def page_rows(spark, sf):
-    numbered = numbering.number_rows(fixture(spark, sf, "orders_base"), [F.col("o_orderdate"), F.col("o_orderkey")])
+    numbered = numbering.number_rows(fixture(spark, sf, "orders_base"), [F.col("o_orderdate"), F.col("o_orderkey")], unique=True)
     return numbered.select("o_orderkey", "rn", (F.floor((F.col("rn") - 1) / 5000).cast("bigint") + 1).alias("page_no"))
 
 
@@ -475,7 +475,7 @@ def batch_limits(spark, sf):
     """Byte-limited batches of the documents, checked against the payload texts themselves."""
     budget = 64 * 1024
     docs = fixture(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars")
-    batched = numbering.assign_batches(docs, [F.col("doc_id")], byte_budget=budget)
+    batched = numbering.assign_batches(docs, [F.col("doc_id")], byte_budget=budget, unique=True)
     cells = numbering.canonical_cells(docs)
     sent = payload.write_payloads(batched.select("batch_no", "row_no", cells.alias("cells")), F.col("cells"))
     return sent.agg(
