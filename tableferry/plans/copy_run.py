@@ -16,10 +16,13 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tableferry.operators import upsert as merge
+from tableferry.operators.numbering import assign_batches
 from tableferry.operators.range_audit import CellRule, RangeCheck, range_audit, reject_rows
+from tableferry.operators.verify import batch_contiguity
+from tableferry.plans.run_log import RunLog
 from tableferry.sources import staging
 from tableferry.sources.publish import BucketedTarget, FolderTarget
-from tableferry.spec import OrderTerm, TaskSpec, apply_spec
+from tableferry.spec import OrderTerm, TaskSpec, apply_spec, order_columns
 
 
 class CopyRefused(RuntimeError):
@@ -48,7 +51,8 @@ class CopyPlan:
 
     ``checks`` are the bare NUMBER columns of the audit's range plan; ``rules`` refuse cells the
     target would reject or change. ``on_duplicate`` is ``fail`` or ``latest`` (the later row in
-    the task's order wins).
+    the task's order wins). ``numbered`` stages the rows in numbered batches and gates on them.
+    ``log_folder`` receives the run's log lines (`sources.runlog`).
     """
 
     spec: TaskSpec
@@ -59,6 +63,8 @@ class CopyPlan:
     defaults: Mapping[str, object] = field(default_factory=dict)
     collation: str | None = None
     on_duplicate: str = "fail"
+    numbered: bool = False
+    log_folder: str | None = None
 
 
 def new_run_id(now: datetime | None = None) -> str:
@@ -81,25 +87,59 @@ def run_copy(
     issues: DataFrame | None = None,
     run_id: str | None = None,
 ) -> CopyResult:
-    """Copy the task's rows from `source` into the published table of the plan.
+    """Copy the task's rows from `source` into the target of the plan.
 
     ``issues`` is the task's mapping audit (`operators.mapping_audit`). A rerun with the same
     rows gives the same target; a failed run leaves the target as it was.
     """
     run_id = run_id or new_run_id()
+    log = RunLog(spark, plan.log_folder, run_id, plan.spec.target_table)
+    log.add("source_started", message="the run started")
+    log.stage("PREPARING")
+    try:
+        result = _move(spark, plan, source, params, issues, run_id, log)
+    except BaseException as error:
+        kind = error.kind if isinstance(error, CopyRefused) else "UNKNOWN"
+        text = str(error).splitlines() or [type(error).__name__]
+        log.finish("FAILED", message=text[0], failure_kind=kind)
+        raise
+    log.stage("SUCCEEDED")
+    log.finish(
+        "SUCCEEDED",
+        message="the run completed",
+        source_rows=result.source_rows,
+        staged_rows=result.staged_rows,
+        sink_reported_rows=result.staged_rows,
+        purged_rows=0,
+    )
+    return result
+
+
+def _move(spark, plan: CopyPlan, source, params, issues, run_id, log: RunLog) -> CopyResult:
     if issues is not None:
+        log.issues(issues)
         refuse_if(issues, "MAPPING_PRECHECK", "the mapping audit found issues")
     rows = apply_spec(source, plan.spec, params)
-    _check_ranges(rows, plan)
+    columns = rows.columns
+    _check_ranges(rows, plan, log)
     key = list(plan.spec.primary_key)
+    if plan.numbered:
+        rows = assign_batches(rows, order_columns(_target_order(plan.spec)))
     try:
+        log.add("run_opened", staging_table=f"{plan.spec.target_table}__stg_{run_id}", columns_checked=len(columns))
+        log.stage("STREAMING")
         read = staging.stage_run(rows, plan.staging_path, run_id)
         staged = staging.read_run(spark, plan.staging_path, run_id, rows.schema)
+        if plan.numbered:
+            log.batches(staged)
+            _gate_batches(staged, run_id)
+            staged = staged.select(*columns)
         # The source may have changed since its range check; the staged rows no longer can.
-        _check_ranges(staged, plan)
+        _check_ranges(staged, plan, log)
         if plan.rules:
             refused = reject_rows(staged, key, plan.rules)
             refuse_if(refused, "SOURCE_VALUE", "values the target would reject")
+        log.stage("COMMITTING")
         report = merge.key_report(staged, key).first()
         _gate(read, report, plan.on_duplicate, staged, key)
         if report["duplicated_keys"]:
@@ -109,10 +149,22 @@ def run_copy(
         staging.drop_run(spark, plan.staging_path, run_id)
 
 
-def _check_ranges(rows: DataFrame, plan: CopyPlan) -> None:
-    if plan.checks:
-        bad = range_audit(rows, plan.checks).filter("invalid_rows > 0")
-        refuse_if(bad, "MAPPING_PRECHECK", "values do not fit the declared decimal")
+def _gate_batches(staged: DataFrame, run_id: str) -> None:
+    """The staged batch numbers must be exactly 1..N."""
+    numbers = staged.select(F.lit(run_id).alias("run_id"), "batch_no")
+    last = numbers.groupBy("run_id").agg(F.max("batch_no").alias("source_batches"))
+    broken = batch_contiguity(numbers, last).filter(~F.col("contiguous"))
+    refuse_if(broken, "VERIFY_FAILED", "batch numbers are missing")
+
+
+def _check_ranges(rows: DataFrame, plan: CopyPlan, log: RunLog) -> None:
+    if not plan.checks:
+        return
+    found = range_audit(rows, plan.checks).collect()
+    log.add("range_check_executed", message=f"{found[0]['scanned_rows']} rows scanned")
+    bad = [row for row in found if row["invalid_rows"]]
+    if bad:
+        raise CopyRefused("MAPPING_PRECHECK", "values do not fit the declared decimal", bad)
 
 
 def _target_order(spec: TaskSpec) -> list[OrderTerm]:

@@ -35,13 +35,15 @@ _LINE_BITS = (1 << 33) - 1
 def read_log(spark: SparkSession, path: str, record_pattern: str = r"([^/]+)\.jsonl$") -> DataFrame:
     """Log lines with ``run_record_id`` (from the file name) and ``pos`` (their place in the file).
 
-    Lines that are no JSON object are skipped. ``pos`` is the offset of the file block a line was
-    read in, then its place among the lines read from it, so large files may be split.
+    Lines that are no JSON object are skipped. ``pos`` is the file, the offset of the block a line
+    was read in, then its place among the lines read from it, so a log may span several files
+    and large files may be split.
     """
     raw = spark.read.text(path).select(
         "value",
         F.regexp_extract("_metadata.file_path", record_pattern, 1).alias("run_record_id"),
         F.struct(
+            F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().bitwiseAND(F.lit(_LINE_BITS)).alias("line"),
         ).alias("pos"),
@@ -67,6 +69,15 @@ def log_lines(events: DataFrame) -> DataFrame:
     )
 
 
+# The record id of logs written by `record_path`.
+RECORD_FOLDER = r"run_record_id=([^/]+)/"
+
+
+def record_path(folder: str, run_record_id: str) -> str:
+    """Where the log of one run record goes; read it with the `RECORD_FOLDER` pattern."""
+    return f"{folder}/run_record_id={run_record_id}"
+
+
 def write_log(events: DataFrame, path: str) -> None:
     """Write events as JSON Lines files."""
     log_lines(events).write.mode("append").text(path)

@@ -217,3 +217,48 @@ def test_bucketed_target_is_not_shuffled(spark, plan, bucketed):
     text = merged._jdf.queryExecution().executedPlan().toString()
     assert "FullOuter" in text and text.count("Exchange hashpartitioning") == 1
     assert "Bucketed: true" in text and "SelectedBucketsCount: 4 out of 4" in text
+
+
+def test_run_log_becomes_history(spark, plan, tmp_path):
+    from tableferry.plans import history
+    from tableferry.sources import runlog
+
+    folder = str(tmp_path / "log")
+    p = plan(numbered=True, log_folder=folder, spec=spec())
+    many = [(i, f"name {i}", "1.00") for i in range(1, 12001)]
+    good = run_copy(spark, p, rows(spark, *many))
+    issues = spark.createDataFrame([("V", "CHAR(3)", "TEXT", "R1", "d", "s"), ("W", "CLOB", "TEXT", "R2", "d", "s")],
+                                   "column_name string, source string, target string, rule string, detail string, suggestion string")
+    with pytest.raises(CopyRefused):
+        run_copy(spark, p, rows(spark, *BASE), issues=issues, run_id="20240102030405_0000aa")
+    with pytest.raises(CopyRefused):
+        run_copy(spark, p, rows(spark, *BASE, BASE[0]), run_id="20240102030405_0000bb")
+    log = runlog.read_log(spark, f"{folder}/*/*", runlog.RECORD_FOLDER)
+    accepted = log.select("run_record_id").distinct().selectExpr("run_record_id", "'t' AS task_id", "map('P', '1') AS run_params", "'' AS source_text", "'2024-01-01T00:00:00.000Z' AS accepted_at")
+    got = {r["run_record_id"]: r for r in history.run_history(log, accepted).collect()}
+    done = got[good.run_id]
+    assert (done["outcome"], done["target_table_effect"], done["stage"]) == ("SUCCEEDED", "SWAPPED", "SUCCEEDED")
+    assert (done["source_rows"], done["rows_pushed"], done["run_id"]) == (12000, 12000, good.run_id)
+    assert done["staging_table"] == f"TGT__stg_{good.run_id}"
+    pushed = log.filter((log.event == "batch_pushed") & (log.run_id == good.run_id)).orderBy("seq").collect()
+    assert [r["seq"] for r in pushed] == list(range(1, len(pushed) + 1)) and max(r["rows"] for r in pushed) <= 5000
+    audit = got["20240102030405_0000aa"]
+    assert (audit["outcome"], audit["mapping_issue_count"], audit["failure_kind"], audit["staging_table"]) == ("FAILED", 2, "MAPPING_PRECHECK", None)
+    assert sorted(r["column"] for r in history.mapping_issue_lines(log).collect()) == ["V", "W"]
+    repeated = got["20240102030405_0000bb"]
+    assert (repeated["failure_kind"], repeated["stage"], repeated["target_table_effect"]) == ("DATA_REJECTED", "COMMITTING", "UNKNOWN")
+
+
+def test_batch_log_bytes_equal_the_payloads(spark, plan, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tableferry.operators.numbering import assign_batches, canonical_cells
+    from tableferry.plans.run_log import RunLog
+    from tableferry.sources import payload, runlog
+
+    df = rows(spark, *[(i, "é" * (i % 50), "1.50") for i in range(300)])
+    batched = assign_batches(df, [F.col("row_id")], row_limit=40, byte_budget=1500)
+    RunLog(spark, str(tmp_path), "r", "t").batches(batched)
+    logged = {r["seq"]: (r["rows"], r["bytes"]) for r in runlog.read_log(spark, f"{tmp_path}/*/*", runlog.RECORD_FOLDER).collect()}
+    sent = payload.write_payloads(batched.select("batch_no", "row_no", canonical_cells(df).alias("c")), F.col("c"))
+    assert logged == {r["batch_no"]: (r["rows"], r["bytes"]) for r in sent.collect()}

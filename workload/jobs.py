@@ -11,8 +11,10 @@ from tableferry import ColumnMapping, Condition, OrderTerm, TaskSpec, apply_spec
 from tableferry.functions import canon, runs, shapes
 from tableferry.operators import ddl, mapping_audit, numbering, profile, range_audit, spec_audit, upsert, verify
 from tableferry.plans import history
+from tableferry.plans.copy_run import CopyPlan, run_copy
 from tableferry.scratch import scratch_path
-from tableferry.sources import payload, runlog, tables
+from tableferry.sources import payload, runlog, staging, tables
+from tableferry.sources.publish import FolderTarget
 from tableferry.streaming import intake, live
 from workload.fixtures import fixture
 
@@ -52,6 +54,63 @@ def copy_orders_mapped(spark, sf):
     return apply_spec(fixture(spark, sf, "orders_base"), ORDERS_TASK, ORDERS_PARAMS)
 
 
+@job
+def copy_run_orders(spark, sf):
+    """A whole run: audit of values, numbered staging, gates, upsert and publish into a target."""
+    root = scratch_path(spark, "copy-run")
+    start = fixture(spark, sf, "orders_target")
+    target = FolderTarget(f"{root}/target", start.schema)
+    target.publish(start, "20231231000000_000000")
+    names = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    spec = TaskSpec(
+        owner="SALES", table="ORDERS", target_table="ORDER_COPY", primary_key=("o_orderkey",),
+        columns=tuple(ColumnMapping(n, n) for n in names),
+        conditions=ORDERS_TASK.conditions, order_by=ORDERS_TASK.order_by,
+    )
+    plan = CopyPlan(
+        spec, target, f"{root}/staging", checks=[range_audit.RangeCheck("o_totalprice", 10, 2)],
+        defaults={"o_note": "new"}, numbered=True, log_folder=f"{root}/log",
+    )
+    run_copy(spark, plan, fixture(spark, sf, "orders_base"), ORDERS_PARAMS, run_id="20240102030405_0a1b2c")
+    return target.read(spark)
+
+
+@job
+def copy_run_log(spark, sf):
+    """The batches that a numbered copy of all orders logs about itself."""
+    root = scratch_path(spark, "copy-log")
+    orders = fixture(spark, sf, "orders_base")
+    spec = TaskSpec("SALES", "ORDERS", "ORDER_COPY", ("o_orderkey",), tuple(ColumnMapping(n, n) for n in orders.columns))
+    plan = CopyPlan(spec, FolderTarget(f"{root}/target", orders.schema), f"{root}/staging", numbered=True, log_folder=f"{root}/log")
+    run_copy(spark, plan, orders, run_id="20240102030405_0a1b2c")
+    lines = runlog.read_log(spark, f"{root}/log/*/*", runlog.RECORD_FOLDER)
+    states = history.combine_states(history.fold_states(lines))
+    return states.select(
+        "run_record_id", "run_id", "outcome", "target_table_effect", "stage", "staging_table", "source_rows", "staged_rows", "rows_pushed"
+    )
+
+
+@job
+def staging_replay(spark, sf):
+    """Batches staged, then some of them sent again: each is there once, in its later form."""
+    path = scratch_path(spark, "staging-replay")
+    rows = _numbered_batches(spark, sf).select(
+        F.lit("20240102030405_0a1b2c").alias("run_id"), "batch_no", "o_orderkey", F.lit("first").alias("sent")
+    )
+    staging.replace_batches(rows, path)
+    late = rows.join(rows.groupBy("run_id").agg(F.max("batch_no").alias("batch_no")), ["run_id", "batch_no"])
+    staging.replace_batches(late.select("run_id", "batch_no", "o_orderkey", F.lit("again").alias("sent")), path)
+    return spark.read.parquet(path).select("run_id", F.col("batch_no").cast("bigint"), "o_orderkey", "sent")
+
+
+@job
+def staged_counts(spark, sf):
+    """Rows and batches per run, counted in one pass over the staged rows."""
+    rows = _numbered_batches(spark, sf).select(F.col("o_orderstatus").alias("run_id"), "batch_no")
+    per_batch = rows.groupBy("run_id", "batch_no").agg(F.count("*").alias("rows"))
+    return per_batch.groupBy("run_id").agg(F.sum("rows").alias("staged_rows"), F.count("*").alias("received_batches"))
+
+
 @job
 def spec_audit_parts(spark, sf):
     return spec_audit.audit_specs(_specs(spark, sf))
@@ -141,6 +200,35 @@ def reject_reasons(spark, sf):
     )
 
 
+@job
+def dictionary_source(spark, sf):
+    """Source metadata from a dictionary view, with TIMESTAMP(n) spelled the dictionary's way."""
+    rows = fixture(spark, sf, "source_columns")
+    kind, fsp = F.upper("type_name"), F.col("fsp")
+    spelled = F.when((kind == "TIMESTAMP") & fsp.isNotNull(), F.concat(F.lit("TIMESTAMP("), fsp.cast("string"), F.lit(")")))
+    dictionary = rows.select(
+        F.lit("APP").alias("owner"), F.col("task").alias("table_name"), F.col("ordinal").alias("column_id"), "column_name",
+        F.coalesce(spelled, kind).alias("data_type"), F.col("precision").alias("data_precision"),
+        F.when(kind == "TIMESTAMP", fsp).otherwise(F.col("scale")).alias("data_scale"),
+        F.col("length").alias("char_length"), F.lit("Y").alias("nullable"),
+    )
+    return tables.dictionary_columns(dictionary)
+
+
+@job
+def dictionary_target(spark, sf):
+    """Target metadata from INFORMATION_SCHEMA.COLUMNS."""
+    c = F.col
+    schema = fixture(spark, sf, "target_columns").select(
+        F.lit("shop").alias("table_schema"), c("task").alias("table_name"), c("ordinal").alias("ordinal_position"), "column_name",
+        "column_type", "data_type", c("precision").alias("numeric_precision"), c("scale").alias("numeric_scale"),
+        c("length").alias("character_maximum_length"), "datetime_precision",
+        F.when(c("nullable"), "YES").otherwise("NO").alias("is_nullable"), c("character_set").alias("character_set_name"),
+        c("default_value").alias("column_default"), F.nullif(c("extra"), F.lit("")).alias("extra"),
+    )
+    return tables.dictionary_target_columns(schema)
+
+
 @job
 def column_alignment(spark, sf):
     aligned = mapping_audit.align_columns(_source_columns(spark, sf), fixture(spark, sf, "target_columns"))
@@ -673,9 +761,10 @@ def batch_intake_stream(spark, sf):
     def states(session):
         return orders.select(_status_run_id().alias("run_id"), (F.col("o_orderstatus") == "P").alias("sealed")).distinct()
 
-    staging = f"{root}/staging"
-    intake.start_intake(spark, f"{root}/incoming", staging, states, STREAM_COLUMNS, f"{root}/checkpoint", max_files=4).awaitTermination()
-    return intake.read_staged(spark, staging, STREAM_COLUMNS)
+    staged = f"{root}/staging"
+    query = intake.start_intake(spark, f"{root}/incoming", staged, states, STREAM_COLUMNS, f"{root}/checkpoint", max_files=4)
+    query.awaitTermination()
+    return intake.read_staged(spark, staged, STREAM_COLUMNS)
 
 
 def _as_incoming(spark, written: str, incoming: str, mark: str) -> None:

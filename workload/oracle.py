@@ -35,6 +35,25 @@ oracle(
         WHERE o_orderstatus = 'F' AND o_totalprice > 1000.50 AND o_orderdate < TIMESTAMP '1999-07-01'""",
 )
 
+oracle(
+    "copy_run_orders",
+    """WITH s AS (SELECT * FROM orders_base WHERE o_orderstatus = 'F' AND o_totalprice > 1000.50 AND o_orderdate < TIMESTAMP '1999-07-01')
+       SELECT COALESCE(t.o_orderkey, s.o_orderkey) AS o_orderkey,
+              CASE WHEN s.o_orderkey IS NULL THEN t.o_custkey ELSE s.o_custkey END AS o_custkey,
+              CASE WHEN s.o_orderkey IS NULL THEN t.o_orderstatus ELSE s.o_orderstatus END AS o_orderstatus,
+              CASE WHEN s.o_orderkey IS NULL THEN t.o_totalprice ELSE s.o_totalprice END AS o_totalprice,
+              CASE WHEN s.o_orderkey IS NULL THEN t.o_orderdate ELSE s.o_orderdate END AS o_orderdate,
+              CASE WHEN s.o_orderkey IS NULL THEN t.o_orderpriority ELSE s.o_orderpriority END AS o_orderpriority,
+              CASE WHEN t.o_orderkey IS NULL THEN 'new' ELSE t.o_note END AS o_note
+         FROM orders_target t FULL JOIN s ON t.o_orderkey = s.o_orderkey""",
+)
+oracle(
+    "copy_run_log",
+    """SELECT '20240102030405_0a1b2c' AS run_record_id, '20240102030405_0a1b2c' AS run_id, 'SUCCEEDED' AS outcome, 'SWAPPED' AS target_table_effect,
+              'SUCCEEDED' AS stage, 'ORDER_COPY__stg_20240102030405_0a1b2c' AS staging_table,
+              COUNT(*) AS source_rows, COUNT(*) AS staged_rows, COUNT(*) AS rows_pushed FROM orders_base""",
+)
+
 # --- task specs ---
 IDENT = "'[A-Za-z][A-Za-z0-9_$#]*'"
 oracle(
@@ -111,6 +130,16 @@ oracle(
     f"""SELECT rejection, COUNT(*) AS columns, {SUGGESTION.format('rejection')} AS suggestion
           FROM shape_texts WHERE rejection IS NOT NULL GROUP BY rejection""",
 )
+oracle(
+    "dictionary_source",
+    """SELECT 'APP.' || task AS task, ordinal, column_name, UPPER(type_name) AS type_name, precision, scale, length, fsp, TRUE AS nullable
+         FROM source_columns""",
+)
+oracle(
+    "dictionary_target",
+    """SELECT 'shop.' || task AS task, ordinal, column_name, column_type, data_type, precision, scale, length, datetime_precision, nullable,
+              character_set, default_value, extra FROM target_columns""",
+)
 oracle(
     "column_alignment",
     """SELECT s.task, s.ordinal, s.column_name, t.column_type AS target_type
@@ -522,6 +551,17 @@ oracle(
 BATCHES = """SELECT *, (ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1) // 5000 + 1 AS batch_no,
              (ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1) % 5000 + 1 AS row_no FROM orders_base"""
 oracle("batch_assign", f"SELECT o_orderkey, batch_no, row_no FROM ({BATCHES}) x")
+oracle(
+    "staging_replay",
+    f"""WITH b AS ({BATCHES})
+        SELECT '20240102030405_0a1b2c' AS run_id, batch_no, o_orderkey,
+               CASE WHEN batch_no = (SELECT MAX(batch_no) FROM b) THEN 'again' ELSE 'first' END AS sent FROM b""",
+)
+oracle(
+    "staged_counts",
+    f"""SELECT o_orderstatus AS run_id, COUNT(*) AS staged_rows, COUNT(DISTINCT batch_no) AS received_batches
+          FROM ({BATCHES}) b GROUP BY o_orderstatus""",
+)
 oracle(
     "batch_running",
     """SELECT run_record_id, seq, rows, CAST(SUM(rows) OVER (PARTITION BY run_record_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS source_rows
