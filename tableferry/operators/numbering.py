@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -162,12 +162,17 @@ def assign_batches(
     byte_budget: int = BYTE_BUDGET,
     partitions: int | None = None,
     unique: bool = False,
+    path: str | None = None,
+    seen: Observation | None = None,
 ) -> DataFrame:
     """Add ``batch_no, row_no, row_bytes``: batches within both limits, numbered from 1 with no gap.
 
     A batch never spans two ranges, so with one partition the cut is the plain greedy one over
     the whole order, and with many it only adds at most one short batch per range. A task
     without ORDER BY passes no order, and its rows are cut in scan order without any shuffle.
+
+    The cut rows are written to `path` (a scratch folder by default); `seen` observes the number
+    of ``rows`` on their way into the cut.
     """
     cells = canonical_cells(df) if cells is None else cells
     # Sizes are taken after the rows are in place, so the range sampling does not compute them.
@@ -176,10 +181,12 @@ def assign_batches(
         F.octet_length(F.to_json(cells)).cast("bigint").alias("_bytes"),
         F.spark_partition_id().cast("bigint").alias("_part"),
     )
+    if seen is not None:
+        sized = sized.observe(seen, F.count(F.lit(1)).alias("rows"))
     schema = T.StructType(
         [*sized.schema.fields, T.StructField("_local", T.LongType()), T.StructField("row_no", T.LongType())]
     )
-    kept = write_scratch(sized.mapInArrow(_cut_batches(row_limit, byte_budget), schema), "batched")
+    kept = write_scratch(sized.mapInArrow(_cut_batches(row_limit, byte_budget), schema), "batched", path)
     sizes = kept.groupBy("_part").agg(F.max("_local").alias("_size"))
     return (
         kept.join(F.broadcast(_shifts(sizes, "_size")), "_part")

@@ -6,11 +6,20 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableferry.scratch import planned_bytes
 from tableferry.spec import OrderTerm
 
 
+def collate_key(df: DataFrame, key: Sequence[str], collation: str | None) -> DataFrame:
+    """`df` with its text key columns under `collation`, for comparing keys as the target does."""
+    if collation is None:
+        return df
+    texts = [k for k in key if isinstance(df.schema[k].dataType, T.StringType)]
+    return df.withColumns({k: F.collate(F.col(k), collation) for k in texts})
+
+
 def null_key(key: Sequence[str]) -> Column:
     broken = F.col(key[0]).isNull()
     for name in key[1:]:
@@ -52,11 +61,11 @@ def keep_latest(staged: DataFrame, key: Sequence[str], order_by: Sequence[OrderT
     return staged.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").drop("_rank")
 
 
-def _same_key(key: Sequence[str], collation: str | None) -> Column:
+def _same_key(target: DataFrame, key: Sequence[str], collation: str | None) -> Column:
     test = None
     for name in key:
         left, right = F.col(f"t.{name}"), F.col(f"s.{name}")
-        if collation is not None:
+        if collation is not None and isinstance(target.schema[name].dataType, T.StringType):
             left, right = F.collate(left, collation), F.collate(right, collation)
         test = (left == right) if test is None else test & (left == right)
     return test
@@ -108,7 +117,7 @@ def upsert(
     t, s = target.withColumn("_t", F.lit(True)).alias("t"), staged.withColumn("_s", F.lit(True)).alias("s")
     has_target, has_staged = F.col("t._t").isNotNull(), F.col("s._s").isNotNull()
     columns = _merged(target, key, mapped, defaults, has_target, has_staged)
-    same_key = _same_key(key, collation)
+    same_key = _same_key(target, key, collation)
     if collation is not None or not _fits_broadcast(staged):
         return t.join(s, same_key, "full_outer").select(*columns)
     old_rows = t.join(s, same_key, "left").select(*columns)

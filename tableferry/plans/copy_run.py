@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tableferry.operators import upsert as merge
-from tableferry.operators.numbering import assign_batches
 from tableferry.operators.range_audit import CellRule, RangeCheck, range_audit, reject_rows
 from tableferry.operators.verify import batch_contiguity
 from tableferry.plans.run_log import RunLog
@@ -123,27 +122,29 @@ def _move(spark, plan: CopyPlan, source, params, issues, run_id, log: RunLog) ->
     columns = rows.columns
     _check_ranges(rows, plan, log)
     key = list(plan.spec.primary_key)
-    if plan.numbered:
-        rows = assign_batches(rows, order_columns(_target_order(plan.spec)))
     try:
         log.add("run_opened", staging_table=f"{plan.spec.target_table}__stg_{run_id}", columns_checked=len(columns))
         log.stage("STREAMING")
-        read = staging.stage_run(rows, plan.staging_path, run_id)
-        staged = staging.read_run(spark, plan.staging_path, run_id, rows.schema)
         if plan.numbered:
+            order = order_columns(_target_order(plan.spec))
+            read, staged = staging.stage_batches(rows, plan.staging_path, run_id, order)
             log.batches(staged)
             _gate_batches(staged, run_id)
             staged = staged.select(*columns)
+        else:
+            read = staging.stage_run(rows, plan.staging_path, run_id)
+            staged = staging.read_run(spark, plan.staging_path, run_id, rows.schema)
         # The source may have changed since its range check; the staged rows no longer can.
         _check_ranges(staged, plan, log)
         if plan.rules:
             refused = reject_rows(staged, key, plan.rules)
             refuse_if(refused, "SOURCE_VALUE", "values the target would reject")
         log.stage("COMMITTING")
-        report = merge.key_report(staged, key).first()
-        _gate(read, report, plan.on_duplicate, staged, key)
+        keyed = merge.collate_key(staged, key, plan.collation)
+        report = merge.key_report(keyed, key).first()
+        _gate(read, report, plan.on_duplicate, keyed, key)
         if report["duplicated_keys"]:
-            staged = merge.keep_latest(staged, key, _target_order(plan.spec))
+            staged = merge.keep_latest(keyed, key, _target_order(plan.spec)).to(staged.schema)
         return _publish(spark, plan, staged, key, run_id, read, report)
     finally:
         staging.drop_run(spark, plan.staging_path, run_id)

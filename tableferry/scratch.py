@@ -31,11 +31,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_folder(spark)}/tableferry/{name}-{uuid.uuid4().hex}"
 
 
-def write_scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once and read it back: later jobs see the same rows, also after lost executors."""
+def write_scratch(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write `df` once and read it back: later jobs see the same rows, also after lost executors.
+
+    A given `path` is replaced; without one the table goes to a new scratch folder.
+    """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.options(**SHORT_LIVED).parquet(path)
+    path = path or scratch_path(spark, name)
+    df.write.mode("overwrite").options(**SHORT_LIVED).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,9 +6,12 @@ A write job commits all or nothing. Writing a run (or a batch) again replaces ex
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tableferry.operators.numbering import assign_batches
 from tableferry.scratch import SHORT_LIVED
 from tableferry.sources.files import child_names, remove
 
@@ -24,6 +27,14 @@ def stage_run(df: DataFrame, path: str, run_id: str) -> int:
     return int(seen.get["rows"])
 
 
+def stage_batches(df: DataFrame, path: str, run_id: str, order: Sequence[Column]) -> tuple[int, DataFrame]:
+    """Like `stage_run`, in numbered batches: the rows read, and the staged rows with
+    ``batch_no, row_no, row_bytes``."""
+    seen = Observation()
+    staged = assign_batches(df, order, path=f"{path}/run_id={run_id}", seen=seen)
+    return int(seen.get["rows"]), staged
+
+
 def replace_batches(df: DataFrame, path: str) -> None:
     """Write rows with ``run_id, batch_no``; each batch present replaces its earlier copy."""
     (

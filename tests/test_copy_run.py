@@ -262,3 +262,22 @@ def test_batch_log_bytes_equal_the_payloads(spark, plan, tmp_path):
     logged = {r["seq"]: (r["rows"], r["bytes"]) for r in runlog.read_log(spark, f"{tmp_path}/*/*", runlog.RECORD_FOLDER).collect()}
     sent = payload.write_payloads(batched.select("batch_no", "row_no", canonical_cells(df).alias("c")), F.col("c"))
     assert logged == {r["batch_no"]: (r["rows"], r["bytes"]) for r in sent.collect()}
+
+
+def test_collated_keys(spark, plan, tmp_path):
+    """Keys that the target's collation does not tell apart count as one."""
+    schema = T.StructType([T.StructField("ROW_ID", T.StringType()), T.StructField("DEST_NAME", T.StringType())])
+    task = spec(columns=(ColumnMapping("row_id", "ROW_ID"), ColumnMapping("src_name", "DEST_NAME")), order_by=(OrderTerm("src_name"),))
+    df = spark.createDataFrame([("A", "1"), ("a", "2"), ("b", "3")], "row_id string, src_name string")
+
+    def make(name, **changes):
+        return plan(spec=task, target=pub.FolderTarget(str(tmp_path / name), schema), defaults={}, **changes)
+
+    assert run_copy(spark, make("plain"), df).inserted == 3
+    with pytest.raises(CopyRefused):
+        run_copy(spark, make("strict", collation="UNICODE_CI_AI"), df)
+    p = make("latest", collation="UNICODE_CI_AI", on_duplicate="latest")
+    assert run_copy(spark, p, df).inserted == 2
+    again = run_copy(spark, p, df.filter("row_id = 'A'"))
+    assert (again.updated, again.kept) == (1, 1)
+    assert sorted(tuple(r) for r in p.target.read(spark).collect()) == [("a", "1"), ("b", "3")]
