@@ -71,26 +71,41 @@ def _same_key(target: DataFrame, key: Sequence[str], collation: str | None) -> C
     return test
 
 
-def _merged(target: DataFrame, key, mapped, defaults, has_target: Column, has_staged: Column):
-    """Columns of the merged row and the effect on it."""
-    types = {f.name: f.dataType for f in target.schema.fields}
-    out, same = [], F.lit(True)
-    for name in target.columns:
-        old, kind = F.col(f"t.{name}"), types[name]
-        if name not in mapped:
-            new = F.when(has_target, old).otherwise(F.lit(defaults.get(name)).cast(kind))
+def _sides(target: DataFrame, staged: DataFrame, key: Sequence[str]):
+    """Both sides as ``key..., _row`` with the mapped columns in one struct of the target's types,
+    and on the target side ``_rest`` with the others. One struct moves and compares as a whole,
+    which keeps the plan small however many columns a table has."""
+    fields = [f for f in target.schema.fields if f.name not in set(key)]
+    changed = [f for f in fields if f.name in set(staged.columns)]
+    rest = [f for f in fields if f.name not in set(staged.columns)]
+    marker = F.lit(True).alias("_present")
+    t = target.select(
+        *key,
+        F.struct(marker, *[F.col(f.name) for f in changed]).alias("_row"),
+        F.struct(marker, *[F.col(f.name) for f in rest]).alias("_rest"),
+    )
+    s = staged.select(*key, F.struct(marker, *[F.col(f.name).cast(f.dataType).alias(f.name) for f in changed]).alias("_row"))
+    return t.alias("t"), s.alias("s"), changed, rest
+
+
+def _merged(target: DataFrame, key, changed, rest, defaults) -> list[Column]:
+    """Columns of the joined row in target order, and the effect on it."""
+    old, new = F.col("t._row"), F.col("s._row")
+    row = F.coalesce(new, old)
+    fresh = [F.lit(defaults.get(f.name)).cast(f.dataType).alias(f.name) for f in rest]
+    kept = F.coalesce(F.col("t._rest"), F.struct(F.lit(True).alias("_present"), *fresh))
+    source = {f.name: row for f in changed} | {f.name: kept for f in rest}
+    out = []
+    for f in target.schema.fields:
+        if f.name in source:
+            out.append(source[f.name][f.name].alias(f.name))
         else:
-            staged = F.col(f"s.{name}").cast(kind)
-            if name in key:
-                new = F.when(has_target, old).otherwise(staged)
-            else:
-                new = F.when(has_staged, staged).otherwise(old)
-                same = same & old.eqNullSafe(staged)
-        out.append(new.alias(name))
+            spelled = F.when(old.isNotNull(), F.col(f"t.{f.name}"))
+            out.append(spelled.otherwise(F.col(f"s.{f.name}").cast(f.dataType)).alias(f.name))
     effect = (
-        F.when(~has_target, "inserted")
-        .when(~has_staged, "kept")
-        .when(same, "unchanged")
+        F.when(old.isNull(), "inserted")
+        .when(new.isNull(), "kept")
+        .when(old.eqNullSafe(new), "unchanged")
         .otherwise("updated")
     )
     return [*out, effect.alias("_effect")]
@@ -113,17 +128,15 @@ def upsert(
     both sides meet in one full outer join on the key.
     """
     defaults = dict(defaults or {})
-    mapped = {c for c in target.columns if c in set(staged.columns)}
-    t, s = target.withColumn("_t", F.lit(True)).alias("t"), staged.withColumn("_s", F.lit(True)).alias("s")
-    has_target, has_staged = F.col("t._t").isNotNull(), F.col("s._s").isNotNull()
-    columns = _merged(target, key, mapped, defaults, has_target, has_staged)
+    t, s, changed, rest = _sides(target, staged, key)
+    columns = _merged(target, key, changed, rest, defaults)
     same_key = _same_key(target, key, collation)
     if collation is not None or not _fits_broadcast(staged):
         return t.join(s, same_key, "full_outer").select(*columns)
     old_rows = t.join(s, same_key, "left").select(*columns)
     matched = target.select(*key).join(staged.select(*key), list(key), "left_semi")
-    new = staged.join(matched, list(key), "left_anti")
-    new_rows = new.select(
+    mapped = set(staged.columns)
+    new_rows = staged.join(matched, list(key), "left_anti").select(
         *[
             (F.col(f.name) if f.name in mapped else F.lit(defaults.get(f.name))).cast(f.dataType).alias(f.name)
             for f in target.schema.fields

@@ -19,6 +19,15 @@ from tableferry.sources.files import child_names, read_text, remove, replace_tex
 POINTER = "CURRENT"
 
 
+# Published files: columns of mostly distinct values give up their dictionary early.
+PUBLISHED = {"compression": "zstd", "parquet.dictionary.page.size": "131072"}
+
+
+def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows, in a form Catalyst knows to be empty: joins against it disappear from the plan."""
+    return spark.createDataFrame([], schema).limit(0)
+
+
 def current_version(spark: SparkSession, table: str) -> str | None:
     """Run id of the published version, None before the first publish."""
     text = read_text(spark, f"{table}/{POINTER}")
@@ -29,7 +38,7 @@ def read_current(spark: SparkSession, table: str, schema: T.StructType) -> DataF
     """The published table; empty with the given schema before the first publish."""
     version = current_version(spark, table)
     if version is None:
-        return spark.createDataFrame([], schema)
+        return empty_table(spark, schema)
     return spark.read.schema(schema).parquet(f"{table}/versions/{version}")
 
 
@@ -45,7 +54,7 @@ def publish(df: DataFrame, table: str, run_id: str, check: Callable[[], None] |
     if previous == run_id:
         raise ValueError(f"run {run_id} is already published")
     try:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(version)
+        df.write.mode("overwrite").options(**PUBLISHED).parquet(version)
         if check is not None:
             check()
     except BaseException:
@@ -100,7 +109,7 @@ class BucketedTarget:
     def read(self, spark: SparkSession) -> DataFrame:
         run_id = self.current(spark)
         if run_id is None:
-            return spark.createDataFrame([], self.schema)
+            return empty_table(spark, self.schema)
         return spark.table(self._version(run_id))
 
     def publish(self, df: DataFrame, run_id: str, check: Callable[[], None] | None = None) -> None:
@@ -110,7 +119,7 @@ class BucketedTarget:
             raise ValueError(f"run {run_id} is already published")
         try:
             writer = df.write.bucketBy(self.buckets, *self.key).sortBy(*self.key)
-            writer.option("compression", "zstd").mode("overwrite").format("parquet").saveAsTable(version)
+            writer.options(**PUBLISHED).mode("overwrite").format("parquet").saveAsTable(version)
             if check is not None:
                 check()
         except BaseException:
