@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 # Fixed value: the grammar of a canonical number (zero, |x| >= 1, |x| < 1).
 NUMBER_GRAMMAR = r"(0|-?[1-9][0-9]*(\.[0-9]*[1-9])?|-?0\.[0-9]*[1-9])"
-# The output formats of DATE and TIMESTAMP.
-DATE_FORMAT = "yyyy-MM-dd HH:mm:ss"
-TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 _MIN_YEAR, _MAX_YEAR = 1, 9999
 
@@ -39,14 +36,20 @@ def number_text(value: Column) -> Column:
     return F.when(F.contains(text, F.lit(".")), trimmed).otherwise(text)
 
 
+def _plain(value: Column) -> Column:
+    # The text of a timestamp_ntz does not pass through the session time zone, as date_format does.
+    return value.cast("timestamp_ntz").cast("string")
+
+
 def date_text(value: Column) -> Column:
-    """Canonical text of a timestamp_ntz that carries a DATE."""
-    return F.date_format(value, DATE_FORMAT)
+    """Canonical text `YYYY-MM-DD HH:MM:SS` of a timestamp_ntz that carries a DATE."""
+    return F.substring(_plain(value), 1, 19)
 
 
 def timestamp_text(value: Column) -> Column:
     """Canonical text of a timestamp_ntz: always six fraction digits."""
-    return F.date_format(value, TIMESTAMP_FORMAT)
+    text = _plain(value)
+    return F.concat(F.substring(text, 1, 19), F.lit("."), F.rpad(F.substring(text, 21, 6), 6, "0"))
 
 
 def _moment(year, month, day, hour, minute, second) -> Column:

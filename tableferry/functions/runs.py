@@ -37,9 +37,10 @@ def is_run_id(text: Column) -> Column:
 
 def run_id_time(run_id: Column) -> Column:
     """The UTC time a run id starts with, NULL when the digits are no moment."""
-    return F.try_to_timestamp(F.substring(run_id, 1, 14), F.lit("yyyyMMddHHmmss")).cast(
-        "timestamp_ntz"
+    spelled = F.regexp_replace(
+        F.substring(run_id, 1, 14), r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3 $4:$5:$6"
     )
+    return spelled.try_cast("timestamp_ntz")
 
 
 def staging_name(target_table: Column, run_id: Column) -> Column:

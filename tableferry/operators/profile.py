@@ -32,7 +32,7 @@ def _numeric_parts(value: Column, text: Column) -> list[tuple[str, Column]]:
 
 
 def _time_parts(value: Column, text: Column) -> list[tuple[str, Column]]:
-    midnight = F.date_trunc("day", value).cast("timestamp_ntz")
+    midnight = value.cast("date").cast("timestamp_ntz")
     return [
         ("min_val", canon.timestamp_text(F.min(value))),
         ("max_val", canon.timestamp_text(F.max(value))),

@@ -122,3 +122,41 @@ def test_time_columns_to_text(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ '0044-03-15 01:02:03.120000' AS t")
     row = df.select(canon.date_text(F.col("t")).alias("d"), canon.timestamp_text(F.col("t")).alias("s")).first()
     assert (row["d"], row["s"]) == ("0044-03-15 01:02:03", "0044-03-15 01:02:03.120000")
+
+
+def test_no_time_zone_anywhere(spark):
+    """A wall-clock time that a session time zone skips stays as it is."""
+    from tableferry.functions import runs
+    from tableferry.operators.profile import profile_time
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("SELECT TIMESTAMP_NTZ '2024-03-10 02:30:00.5' AS t, '20240310023000_0a1b2c' AS r")
+        row = df.select(
+            canon.date_text(F.col("t")).alias("d"), canon.timestamp_text(F.col("t")).alias("s"),
+            canon.date_text(runs.run_id_time(F.col("r"))).alias("r"),
+            canon.canon_date(*[F.lit(v) for v in (2024, 3, 10, 2, 30, 0)]).alias("c"),
+        ).first()
+        assert tuple(row) == ("2024-03-10 02:30:00", "2024-03-10 02:30:00.500000", "2024-03-10 02:30:00", "2024-03-10 02:30:00")
+        kinds = {r["kind"]: r["value"] for r in profile_time(df, ["t"]).collect()}
+        assert kinds == {"min_val": "2024-03-10 02:30:00.500000", "max_val": "2024-03-10 02:30:00.500000", "with_time_cnt": "1", "null_cnt": "0"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_digit_checks_agree_with_decimal_arithmetic(spark):
+    import random
+    from decimal import Decimal
+
+    from tableferry.operators.range_audit import RangeCheck, range_audit
+
+    pick = random.Random(17)
+    values = [Decimal(pick.randrange(-10**pick.randrange(1, 20), 10**pick.randrange(1, 20))).scaleb(-pick.randrange(0, 9)) for _ in range(500)]
+    df = spark.createDataFrame([(str(v.quantize(Decimal(1).scaleb(-8))),) for v in values], "v string").selectExpr("CAST(v AS DECIMAL(38,8)) AS n")
+    texts = df.select("n", canon.number_text(F.col("n")).alias("t"))
+    for precision, scale in ((10, 2), (5, 5), (20, 8), (3, 0), (38, 4)):
+        bound = Decimal(10) ** (precision - scale)
+        expected = sum(1 for v in values if v != v.quantize(Decimal(1).scaleb(-scale)) or abs(v) >= bound)
+        audit = range_audit(texts, [RangeCheck("n", precision, scale), RangeCheck("t", precision, scale)]).collect()
+        assert [r["invalid_rows"] for r in audit] == [expected, expected], (precision, scale)

@@ -316,7 +316,7 @@ def orphan_staging(spark, sf):
 
 
 def _event_run_id():
-    stamp = F.date_format("ts", "yyyyMMddHHmmss")
+    stamp = F.regexp_replace(canon.date_text(F.col("ts")), "[^0-9]", "")
     return F.concat(stamp, F.lit("_"), F.lower(F.lpad(F.hex(F.col("event_id")), 6, "0")))
 
 
