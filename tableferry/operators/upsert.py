@@ -155,8 +155,8 @@ def _fits_broadcast(df: DataFrame) -> bool:
 def effect_counts(merged: DataFrame) -> DataFrame:
     """One row ``inserted, updated, unchanged, kept, staged_rows, affected``.
 
-    ``affected`` counts like the reference target does: insert 1, change 2, unchanged match 1,
-    so it always lies between staged_rows and twice that.
+    ``affected`` counts as the target database does: insert 1, change 2, unchanged match 1, so
+    it always lies between staged_rows and twice that.
     """
     def n(effect):
         return F.count_if(F.col("_effect") == effect)

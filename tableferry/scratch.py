@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tableferry.sources.files import remove
+
 
 # Data that is read back once or twice: dictionaries would cost more time than they save.
 SHORT_LIVED = {"parquet.enable.dictionary": "false", "compression": "zstd"}
@@ -27,8 +29,18 @@ def scratch_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{scratch_folder(spark)}/tableferry/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_folder(spark)}/tableferry/{name}-{uuid.uuid4().hex}"
+    """A new path for one intermediate table of this application."""
+    return f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> bool:
+    """Remove every intermediate table of this application, once nothing reads them any more."""
+    return remove(spark, _application_folder(spark))
 
 
 def write_scratch(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tableferry.functions import runs as run_functions
 from tableferry.operators.numbering import sequence_gaps
 from tableferry.operators.verify import batch_contiguity
-from tableferry.scratch import write_scratch
+from tableferry.scratch import scratch_path, write_scratch
 from tableferry.sources.payload import parse_payloads, payload_rows
 from tableferry.sources.files import exists, remove
 
@@ -110,8 +110,12 @@ def start_intake(
         query = session.sparkContext.getLocalProperty("sql.streaming.queryId")
         # One written copy of the judged lines: three outputs, one parse, and line numbers that
         # the rows and the ledger share.
-        judged = write_scratch(judge_lines(batch, run_states(session), columns), "intake")
-        write_load(judged, staging_path, columns, f"{query}-{epoch:012d}")
+        path = scratch_path(session, "intake")
+        judged = write_scratch(judge_lines(batch, run_states(session), columns), "intake", path)
+        try:
+            write_load(judged, staging_path, columns, f"{query}-{epoch:012d}")
+        finally:
+            remove(session, path)
 
     return (
         incoming(spark, folder, max_files)

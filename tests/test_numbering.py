@@ -25,7 +25,7 @@ def greedy(rows, row_limit, budget):
 @pytest.fixture(scope="module")
 def texts(spark):
     pick = random.Random(7)
-    rows = [(i, pick.choice(["x", "é", '"q"', "甲\n"]) * pick.randrange(0, 60)) for i in range(3000)]
+    rows = [(i, pick.choice(["x", "é", '"q"', "甲\n", "😀", "\x01\t\\", "\x7f/"]) * pick.randrange(0, 60)) for i in range(3000)]
     rows[1500] = (1500, "z" * 5000)
     rows[2999] = (2999, None)
     return rows
@@ -96,3 +96,12 @@ def test_sequence_gaps(spark):
     df = spark.createDataFrame([("a", n) for n in numbers] + [("b", 1), ("b", 2), ("b", 2), ("c", 4)], "run_id string, batch_no bigint")
     got = sorted((r["run_id"], r["expected"], r["got"]) for r in numbering.sequence_gaps(df, chunk=64).collect())
     assert got == [("a", 4, 5), ("a", 7, 64), ("a", 66, 200), ("c", 1, 4)]
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    from tableferry.scratch import drop_scratch, scratch_folder, scratch_path
+
+    numbering.number_rows(spark.range(10), [F.col("id")]).collect()
+    assert scratch_path(spark, "x").startswith(f"{scratch_folder(spark)}/tableferry/{spark.sparkContext.applicationId}/x-")
+    assert drop_scratch(spark) is True
+    assert drop_scratch(spark) is False
