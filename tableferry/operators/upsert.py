@@ -117,6 +117,7 @@ def upsert(
     key: Sequence[str],
     defaults: Mapping[str, object] | None = None,
     collation: str | None = None,
+    keep_buckets: bool = False,
 ) -> DataFrame:
     """The target after the upsert, with ``_effect`` per row: inserted, updated, unchanged, kept.
 
@@ -125,13 +126,15 @@ def upsert(
     unique and not null on both sides (`key_report`).
 
     A staged side small enough for Spark to broadcast leaves the target unshuffled; otherwise
-    both sides meet in one full outer join on the key.
+    both sides meet in one full outer join on the key. ``keep_buckets`` always takes that join:
+    with a target in buckets of the key only the staged rows move, and each task ends up with
+    the rows of one bucket.
     """
     defaults = dict(defaults or {})
     t, s, changed, rest = _sides(target, staged, key)
     columns = _merged(target, key, changed, rest, defaults)
     same_key = _same_key(target, key, collation)
-    if collation is not None or not _fits_broadcast(staged):
+    if keep_buckets or collation is not None or not _fits_broadcast(staged):
         return t.join(s, same_key, "full_outer").select(*columns)
     old_rows = t.join(s, same_key, "left").select(*columns)
     matched = target.select(*key).join(staged.select(*key), list(key), "left_semi")

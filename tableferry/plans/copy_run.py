@@ -189,7 +189,9 @@ def _gate(read: int, report, on_duplicate: str, staged: DataFrame, key: list[str
 
 
 def _publish(spark, plan: CopyPlan, staged, key, run_id, read, report) -> CopyResult:
-    merged = merge.upsert(plan.target.read(spark), staged, key, plan.defaults, plan.collation)
+    merged = merge.upsert(
+        plan.target.read(spark), staged, key, plan.defaults, plan.collation, plan.target.keeps_buckets
+    )
     effects = Observation()
     names = ("inserted", "updated", "unchanged", "kept")
     counted = merged.observe(

@@ -72,6 +72,7 @@ class FolderTarget:
 
     path: str
     schema: T.StructType
+    keeps_buckets = False
 
     def read(self, spark: SparkSession) -> DataFrame:
         return read_current(spark, self.path, self.schema)
@@ -96,6 +97,7 @@ class BucketedTarget:
     schema: T.StructType
     key: Sequence[str]
     buckets: int
+    keeps_buckets = True
 
     def _version(self, run_id: str) -> str:
         return f"{self.name}__v_{run_id}"
@@ -117,6 +119,9 @@ class BucketedTarget:
         previous = self.current(spark)
         if previous == run_id:
             raise ValueError(f"run {run_id} is already published")
+        if previous is None:
+            # The first version comes in any order; later ones come bucket by bucket from the join.
+            df = df.repartition(self.buckets, *self.key)
         try:
             writer = df.write.bucketBy(self.buckets, *self.key).sortBy(*self.key)
             writer.options(**PUBLISHED).mode("overwrite").format("parquet").saveAsTable(version)

@@ -281,3 +281,14 @@ def test_collated_keys(spark, plan, tmp_path):
     again = run_copy(spark, p, df.filter("row_id = 'A'"))
     assert (again.updated, again.kept) == (1, 1)
     assert sorted(tuple(r) for r in p.target.read(spark).collect()) == [("a", "1"), ("b", "3")]
+
+
+def test_bucketed_versions_have_one_file_per_bucket(spark, plan, tmp_path, bucketed):
+    """Small or large, first or later: no task scatters rows over many buckets."""
+    p = plan(target=bucketed)
+    many = [(i, f"name {i}", "1.00") for i in range(2000)]
+    for part in (many, many[:5], many[500:]):
+        result = run_copy(spark, p, rows(spark, *part).repartition(7))
+        files = spark.table(f"ferry_target.goods__v_{result.run_id}").select("_metadata.file_path").distinct().count()
+        assert files <= bucketed.buckets
+    assert p.target.read(spark).count() == 2000
