@@ -5,9 +5,8 @@ import pytest
 
 import __spark_entry__ as contract
 from workload.fixtures import TABLES
-
-QUERIES = contract.queries()
-ORACLE = contract.oracle_sql()
+from workload.jobs import JOBS as QUERIES
+from workload.oracle import ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +25,8 @@ def _normal(rows, columns):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
