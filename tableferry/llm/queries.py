@@ -29,4 +29,41 @@ def op1_simhash_near_dedup(spark, sf_dir):
     )
 
 
+@query
+def op2_language_id(spark, sf_dir):
+    from tableferry.llm import language
+
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
+    model = language.train(documents, ~held_out)
+    return language.label(documents, model, spans=False).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_secret_scan(spark, sf_dir):
+    from tableferry.llm import secrets
+
+    found = secrets.secrets(table(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), "unopened",
+    )
+
+
+@query
+def op10_quality_classifier(spark, sf_dir):
+    from tableferry.llm import quality
+
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(True))
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 ORACLE: dict[str, str] = {}
