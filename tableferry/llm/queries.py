@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tableferry.llm import oracle
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -66,4 +68,19 @@ def op10_quality_classifier(spark, sf_dir):
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-ORACLE: dict[str, str] = {}
+@query
+def op3_mixture(spark, sf_dir):
+    from tableferry.llm import production
+
+    mixed = production.mixed(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", "mix_epoch", "mix_tokens", "mix_taken")
+
+
+@query
+def op5_document_fingerprints(spark, sf_dir):
+    from tableferry.llm import paragraphs
+
+    return paragraphs.compare_versions(table(spark, sf_dir, "documents"))
+
+
+ORACLE: dict[str, str] = {"op3_mixture": oracle.mixture()}
