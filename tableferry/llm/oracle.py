@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tableferry.llm import benchmark as b
 from tableferry.llm import production as p
 
 
@@ -44,3 +45,48 @@ placed AS (SELECT *, sum(n) OVER (PARTITION BY {leaf} ORDER BY md5('{p.MIX_SEED}
 entries AS (SELECT *, unnest(range(epochs)) AS mix_epoch, n AS mix_taken FROM placed
   UNION ALL SELECT *, epochs AS mix_epoch, least(n, rest - (upto - n))::BIGINT AS mix_taken FROM placed WHERE upto - n < rest)
 SELECT {columns} FROM (SELECT doc_id, domain, lang_given AS lang, source_given AS source, mix_epoch, n AS mix_tokens, mix_taken FROM entries)"""
+
+
+def line_dedup() -> str:
+    return """
+WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+starts AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos FROM docs),
+runs AS (SELECT doc_id, pos, 1 << k AS n, len(lines[pos]) >= 40 AS long, md5(array_to_string(lines[pos:pos + (1 << k) - 1], chr(10))) AS run
+  FROM starts CROSS JOIN (SELECT unnest(range(0, 14)) AS k) WHERE pos + (1 << k) - 1 <= len(lines)),
+later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, pos) AS copy FROM runs) WHERE copy > 1),
+removed AS (SELECT doc_id, pos FROM later WHERE n = 1 AND long UNION SELECT doc_id, unnest([pos, pos + 1]) FROM later WHERE n = 2),
+kept AS (SELECT doc_id, pos, lines[pos] AS line, removed.pos IS NOT NULL AS gone FROM starts LEFT JOIN removed USING (doc_id, pos)),
+marked AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS begins FROM kept),
+sums AS (SELECT doc_id, count(*)::INT AS n_lines, sum(gone::INT)::INT AS n_removed, sum(begins::INT)::INT AS n_spans,
+  coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM marked GROUP BY doc_id)
+SELECT doc_id, n_lines, n_removed, n_spans, CASE WHEN n_removed > 0 THEN longest ELSE 0 END::INT AS longest_run, sha256(text) AS kept_sha256
+FROM sums LEFT JOIN (SELECT doc_id, max(n) AS longest FROM later GROUP BY doc_id) USING (doc_id)"""
+
+
+def _template(text: str, values: bool) -> str:
+    keep = r"\2" if values else ""
+    for _ in range(2):
+        text = f"regexp_replace({text}, '{b.NAME_PATTERN}', '\\1{b.NAME}{keep}{b.CLOSE}', 'g')"
+    text = f"regexp_replace({text}, '{b.NUMBER_PATTERN}', '{b.NUMBER}{chr(92) + '1' if values else ''}{b.CLOSE}', 'g')"
+    text = f"regexp_replace({text}, '{b.UNIT_PATTERN}', '\\1{b.UNIT}{keep}{b.CLOSE}\\3', 'g')"
+    return f"regexp_extract_all(lower({text}), '{b.WORD_PATTERN}', 1)"
+
+
+def leaks() -> str:
+    w, slot = b.WINDOW, f"regexp_matches(x, '^[{b.NAME}{b.NUMBER}{b.UNIT}]')"
+    starts = f"unnest(range(1, greatest(len(words) - {w - 1}, 1) + 1))"
+    return f"""
+WITH items AS (SELECT item_id, {_template('text', False)} AS words, {_template('text', True)} AS valued FROM benchmark),
+docs AS (SELECT doc_id, {_template('text', False)} AS words, {_template('text', True)} AS valued FROM documents),
+iw AS (SELECT item_id, off, words[off:off + {w - 1}] AS win FROM (SELECT item_id, words, {starts} AS off FROM items WHERE len(words) > 0)),
+it AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n_windows FROM iw WHERE len([x FOR x IN win IF NOT {slot}]) >= least({b.LEAST_WORDS}, len(win))),
+dw AS (SELECT doc_id, pos, words[pos:pos + {w - 1}] AS win FROM (SELECT doc_id, words, {starts} AS pos FROM docs WHERE len(words) > 0)),
+hits AS (SELECT doc_id, item_id, off, pos, n_windows FROM dw JOIN it USING (win)),
+found AS (SELECT doc_id, item_id, n_windows, count(DISTINCT off) AS n_found FROM hits GROUP BY ALL HAVING count(DISTINCT off) >= {b.SIMILARITY} * n_windows),
+places AS (SELECT DISTINCT doc_id, item_id, off + step AS i, pos + step AS j FROM hits JOIN found USING (doc_id, item_id) CROSS JOIN (SELECT unnest(range(0, {w})) AS step)),
+vals AS (SELECT doc_id, item_id, items.valued[i] AS x, docs.valued[j] AS y FROM places JOIN items USING (item_id) JOIN docs USING (doc_id)
+  WHERE i <= len(items.valued) AND j <= len(docs.valued)),
+byval AS (SELECT doc_id, item_id, x, min(y) AS lo, max(y) AS hi FROM vals WHERE {slot} AND {slot.replace('(x', '(y')} GROUP BY ALL),
+verdict AS (SELECT doc_id, item_id, bool_and(lo = hi) AS consistent, bool_and(lo = x AND hi = x) AS equal, count(*) AS n_slots FROM byval GROUP BY ALL)
+SELECT doc_id, item_id, n_windows, n_found, coalesce(n_slots, 0) AS n_slots, CASE WHEN coalesce(equal, true) THEN 'copy' ELSE 'variant' END AS kind
+FROM found LEFT JOIN verdict USING (doc_id, item_id) WHERE coalesce(consistent, true)"""

@@ -83,4 +83,24 @@ def op5_document_fingerprints(spark, sf_dir):
     return paragraphs.compare_versions(table(spark, sf_dir, "documents"))
 
 
-ORACLE: dict[str, str] = {"op3_mixture": oracle.mixture()}
+@query
+def op6_line_dedup(spark, sf_dir):
+    from tableferry.llm import lines
+
+    found = lines.drop_repeated_lines(table(spark, sf_dir, "documents"), min_lines=2, min_chars=40)
+    return found.select("doc_id", "n_lines", "n_removed", "n_spans", "longest_run", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op9_benchmark_decontamination(spark, sf_dir):
+    from tableferry.llm import benchmark
+
+    found = benchmark.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "n_found", "n_slots", "kind")
+
+
+ORACLE: dict[str, str] = {
+    "op3_mixture": oracle.mixture(),
+    "op6_line_dedup": oracle.line_dedup(),
+    "op9_benchmark_decontamination": oracle.leaks(),
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -57,6 +57,11 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return condition
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, though `body` uses it often or in lambdas of its own."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def kept(df: DataFrame, name: str, *obsolete: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read again; written tables it replaces are removed."""
     written = write_scratch(df, name)
