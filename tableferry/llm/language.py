@@ -129,6 +129,25 @@ class Model:
             self._block(block, ids, result)
         return result
 
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[np.ndarray]]:
+        """Language, score and path of words for each text."""
+        self.trim()
+        langs = self.languages
+        words = [WORD.findall(t.lower()) if langs else [] for t in texts]
+        ids = self.ids(words)
+        paths = self.paths(ids)
+        preds, scores = [], []
+        for own, rows, path in zip(words, ids, paths):
+            weight = np.fromiter(map(len, own), np.int64, len(own)) * (rows > 0)
+            if not weight.any():
+                preds.append("und"), scores.append(0.0)
+                continue
+            share = np.bincount(path, weight * (rows > 1), len(langs))
+            best = int(share.argmax()) if share.any() else self.common
+            preds.append(langs[best])
+            scores.append(float(share[best] / weight.sum()))
+        return preds, scores, paths
+
     def _block(self, block: list[int], ids: list[np.ndarray], result: list[np.ndarray]) -> None:
         longest, n = len(ids[block[0]]), len(block)
         words = np.zeros((longest, n), np.int32)
@@ -220,25 +239,10 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     arrow_span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = sent.value
-        langs = model.languages
         for batch in steps(batches):
-            model.trim()
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            words = [WORD.findall(t.lower()) if langs else [] for t in texts]
-            ids = model.ids(words)
-            paths = model.paths(ids)
-            preds, scores, stretches = [], [], []
-            for text, own, rows, path in zip(texts, words, ids, paths):
-                weight = np.fromiter(map(len, own), np.int64, len(own)) * (rows > 0)
-                if not weight.any():
-                    preds.append("und"), scores.append(0.0), stretches.append([])
-                    continue
-                share = np.bincount(path, weight * (rows > 1), len(langs))
-                best = int(share.argmax()) if share.any() else model.common
-                preds.append(langs[best])
-                scores.append(float(share[best] / weight.sum()))
-                stretches.append(_spans(text, path, langs) if spans else [])
+            preds, scores, paths = sent.value.predict(texts)
+            stretches = [_spans(t, p, sent.value.languages) if spans and s != "und" else [] for t, p, s in zip(texts, paths, preds)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(preds, pa.string()), pa.array(scores, pa.float64()),
                  pa.array(stretches, pa.list_(arrow_span))],
@@ -248,6 +252,26 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return source.mapInArrow(run, schema)
 
 
+def keep(docs: DataFrame, model: Model, min_score: float, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of `docs` in a known language, all columns; a null language is filled in.
+
+    Rejected are texts that are null or have no letter, and those of which less than `min_score` is in one language.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at, lang_at, columns = docs.columns.index(text_col), docs.columns.index(lang_col), len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, at):
+            preds, scores, _ = sent.value.predict([t or "" for t in batch.column(at).to_pylist()])
+            stays = [p != "und" and s >= min_score for p, s in zip(preds, scores)]
+            own = batch.column(lang_at)
+            filled = pa.compute.coalesce(own, pa.array(preds, own.type))
+            arrays = [filled if k == lang_at else batch.column(k) for k in range(columns)]
+            yield pa.RecordBatch.from_arrays(arrays, batch.schema.names).filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _spans(text: str, path: np.ndarray, langs: list[str]) -> list[dict]:
     """Stretches of equal labels; offsets are those of the text as it is, before lower case."""
     at = [m.span() for m in WORD.finditer(text)]

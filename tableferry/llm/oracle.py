@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tableferry.llm import benchmark as b
+from tableferry.llm import chat
 from tableferry.llm import production as p
 
 
@@ -90,3 +91,21 @@ byval AS (SELECT doc_id, item_id, x, min(y) AS lo, max(y) AS hi FROM vals WHERE
 verdict AS (SELECT doc_id, item_id, bool_and(lo = hi) AS consistent, bool_and(lo = x AND hi = x) AS equal, count(*) AS n_slots FROM byval GROUP BY ALL)
 SELECT doc_id, item_id, n_windows, n_found, coalesce(n_slots, 0) AS n_slots, CASE WHEN coalesce(equal, true) THEN 'copy' ELSE 'variant' END AS kind
 FROM found LEFT JOIN verdict USING (doc_id, item_id) WHERE coalesce(consistent, true)"""
+
+
+def perspectives() -> str:
+    end = chat.END.replace("\n", "' || chr(10) || '")
+    name = "trim(regexp_replace(coalesce(role, ''), '[\\n\\r]+', ' ', 'g'), ' ')"
+    return f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(nullif(replace(replace({name}, '<|', '< |'), '|>', '| >'), ''), '{chat.UNKNOWN}') AS speaker,
+  replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, body) - 1 AS place FROM turns),
+people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> '{chat.SYSTEM}'),
+blocks AS (SELECT conv_id, perspective, place // {chat.PART_TURNS} AS part, place, speaker = perspective AS mine, body,
+  CASE WHEN speaker = perspective THEN '<|assistant|>' WHEN speaker = '{chat.SYSTEM}' THEN '<|system|>' ELSE '<|user name=' || speaker || '|>' END || chr(10) AS head
+  FROM placed JOIN people USING (conv_id)),
+sized AS (SELECT *, head || body || '{end}' AS block,
+  sum(len(head) + len(body) + {len(chat.END)}) OVER (PARTITION BY conv_id, perspective, part ORDER BY place) - len(body) - {len(chat.END)} AS start FROM blocks)
+SELECT conv_id, perspective, part::BIGINT AS part, count(*)::INT AS n_turns, sha256(string_agg(block, '' ORDER BY place)) AS text_sha256,
+  coalesce(string_agg(start || '-' || (start + len(body) + {chat.MASKED_END}), ',' ORDER BY place) FILTER (mine), '') AS mask
+FROM sized GROUP BY conv_id, perspective, part"""

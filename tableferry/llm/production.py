@@ -12,6 +12,11 @@ MIX_SHARE_PERCENT, MIX_EPOCHS, MIX_SEED = 60, 2, 17
 DOMAIN_WEIGHTS = {"core": 50, "wide": 30, "rare": 20}
 LANGUAGE_WEIGHTS = {"en": 55, "de": 15, "fr": 15, "es": 15}
 
+#: Least share of a text in one language; what counts as a repeated run; near copies.
+LANGUAGE_LEAST_SCORE = 0.4
+RUN_LINES, RUN_CHARS = 2, 40
+SHINGLE, MAX_BITS = 3, 3
+
 
 def domain():
     """Domain of a source by the number in its name: up to 1 core, up to 12 wide, the rest and names without one rare."""

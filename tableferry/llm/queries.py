@@ -99,8 +99,26 @@ def op9_benchmark_decontamination(spark, sf_dir):
     return found.select("doc_id", "item_id", "n_windows", "n_found", "n_slots", "kind")
 
 
+@query
+def op4_chat_perspectives(spark, sf_dir):
+    from tableferry.llm import chat
+
+    rendered = chat.perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"], m["end"])), ",")
+    return rendered.select("conv_id", "perspective", "part", "n_turns", F.sha2("text", 256).alias("text_sha256"), spans.alias("mask"))
+
+
+@query
+def op8_repeated_substrings(spark, sf_dir):
+    from tableferry.llm import repeats
+
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 ORACLE: dict[str, str] = {
     "op3_mixture": oracle.mixture(),
+    "op4_chat_perspectives": oracle.perspectives(),
     "op6_line_dedup": oracle.line_dedup(),
     "op9_benchmark_decontamination": oracle.leaks(),
 }

@@ -28,7 +28,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+def steps(batches: Iterator[pa.RecordBatch], text: str | int = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of bounded size."""
     for batch in batches:
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
