@@ -102,12 +102,12 @@ def differences(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     as their numbers of keys suggest, then twice as large each time, until none is left over. A pair that is
     equal has no row.
     """
-    by = [*by, "cells"]
+    pair, by = list(by), [*by, "cells"]
     done, left = [], pairs.withColumn("cells", F.lit(PART_CELLS))
     while True:
         # Dealt by pair once: all sums and rounds stay in the partition of their pair.
         marked = F.concat(_signed("left", 1), _signed("right", -1))
-        result = kept(peel(sketch(left.repartition(*by).select(*by, F.inline(marked)), by), by), "peeled")
+        result = kept(peel(sketch(left.repartition(*pair).select(*by, F.inline(marked)), by), by), "peeled")
         done.append(result.filter("undone = 0").select(*by, "only_left", "only_right"))
         if result.filter("undone > 0").isEmpty():
             break
