@@ -275,6 +275,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("c1", "c2") for f in (F.min, F.max)]
     )
     keys = keys.filter("n > 1").select("k", F.expr("min_c1 = max_c1 AND min_c2 = max_c2").alias("uniform"))
+    # Written before the join: neither side then needs a key's rows in one task, so a hot key can be split.
+    keys = kept(keys, "keys")
     several = kept(found.join(keys, F.col("key") == F.col("k")).drop("k"), "several")
     whole = several.filter("uniform").select(*DOC, F.col("start").alias("first"), F.col("end").alias("last"))
     mixed = several.filter("NOT uniform")
