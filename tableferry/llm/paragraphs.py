@@ -154,25 +154,26 @@ def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             (F.col("rn") - F.min("rn").over(_same_rows())).alias("copy"),
         ), "order",
     )
-    follows = order.join(F.broadcast(last)).select(F.col("rn").alias("before"), (F.col("rn") % F.col("last") + 1).alias("rn"), F.col("n_chars").alias("need"))
-    wanted = order.join(follows, "rn").select("doc_id", "mark", "copy", "rn", "before", F.floor(F.col("need") / 4).cast("int").alias("need"))
-    wanted = wanted.join(F.broadcast(last)).withColumn("next", F.col("rn") % F.col("last") + 1).drop("last")
-    wanted = kept(wanted, "wanted")
-    repeated = not wanted.filter("copy > 0").isEmpty()
+    follows = order.join(F.broadcast(last)).select(
+        F.col("doc_id").alias("b_id"), F.col("mark").alias("b_mark"), F.col("copy").alias("b_copy"),
+        F.floor(F.col("n_chars") / 4).cast("int").alias("need"), (F.col("rn") % F.col("last") + 1).alias("rn"),
+    )
+    wanted = order.withColumnsRenamed({"doc_id": "w_id", "mark": "w_mark", "copy": "w_copy"}).join(follows, "rn").join(F.broadcast(last))
+    wanted = kept(wanted.withColumn("next", F.col("rn") % F.col("last") + 1).drop("last", "n_chars"), "wanted")
     texts = source.withColumn("mark", mark)
-    if repeated:
-        number = F.row_number().over(_same_rows().orderBy(F.lit(0))).cast("bigint") - 1
-        texts = texts.withColumn("copy", number)
-    else:
+    if wanted.filter("w_copy > 0").isEmpty():
         texts = texts.withColumn("copy", F.lit(0).cast("bigint"))
-    w = wanted.withColumnsRenamed({"doc_id": "w_id", "mark": "w_mark", "copy": "w_copy"})
-    placed = texts.join(
-        w, texts.doc_id.eqNullSafe(F.col("w_id")) & (texts.mark == F.col("w_mark")) & (texts.copy == F.col("w_copy"))
-    ).select("rn", "next", "before", "need", "doc_id", "text")
-    heads = placed.select(F.col("before").alias("rn"), F.expr("left(text, need)").alias("head"))
-    n, quarter = F.length("text"), F.floor(F.length("text") / 4).cast("int")
+    else:
+        texts = texts.withColumn("copy", F.row_number().over(_same_rows().orderBy(F.lit(0))).cast("bigint") - 1)
+    here = texts.doc_id.eqNullSafe(F.col("w_id")) & (texts.mark == F.col("w_mark")) & (texts.copy == F.col("w_copy"))
+    placed = texts.join(wanted, here)
+    # Each head goes to where its predecessor's text is, so the texts themselves are dealt once.
+    heads = placed.select("b_id", "b_mark", "b_copy", F.expr("left(text, need)").alias("head"))
+    placed = placed.select("rn", "next", "doc_id", "mark", "copy", "text")
+    there = placed.doc_id.eqNullSafe(F.col("b_id")) & (placed.mark == F.col("b_mark")) & (placed.copy == F.col("b_copy"))
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), "head")
-    joined = placed.join(heads, "rn").select("rn", "next", "doc_id", n.cast("bigint").alias("n_chars"), "text", edited.alias("edited_text"))
+    size = F.length("text").cast("bigint").alias("n_chars")
+    joined = placed.join(heads, there).select("rn", "next", "doc_id", size, "text", edited.alias("edited_text"))
     return joined.select(
         "rn", "next", "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
         paragraph_keys(F.col("text")).alias("keys"), paragraph_keys(F.col("edited_text")).alias("edited"),
