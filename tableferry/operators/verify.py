@@ -70,19 +70,26 @@ def row_text(cells: Column) -> Column:
     return F.array_join(marked, "")
 
 
+#: Hexadecimal digits of a row's SHA-256 that make one number: four of 60 bits, one of 16.
+_WORDS = ((1, 15), (16, 15), (31, 15), (46, 15), (61, 4))
+
+
 def table_digest(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row ``rows, hash_sum, hash_xor``: a digest that does not depend on row order.
 
-    Both halves are summed map-side; the sum also tells repeated rows apart, which the
-    exclusive-or alone would cancel.
+    Both are over all 256 bits of every row's hash, in five parts. They are summed map-side; the sum also tells
+    repeated rows apart, which the exclusive-or alone would cancel.
     """
-    hashed = F.sha2(row_text(canonical_cells(df, columns)), 256)
-    number = F.conv(F.substring(hashed, 1, 15), 16, 10).cast("bigint")
-    return df.select(number.alias("h")).agg(
+    hashed = df.select(F.sha2(row_text(canonical_cells(df, columns)), 256).alias("h"))
+    words = hashed.select(*[F.conv(F.substring("h", at, n), 16, 10).cast("bigint").alias(f"w{k}") for k, (at, n) in enumerate(_WORDS)])
+    names = words.columns
+    total = words.agg(
         F.count("*").alias("rows"),
-        F.coalesce(F.sum(F.col("h").cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").alias("hash_sum"),
-        F.coalesce(F.bit_xor("h"), F.lit(0)).alias("hash_xor"),
+        *[F.coalesce(F.sum(F.col(w).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias(f"sum_{w}") for w in names],
+        *[F.coalesce(F.bit_xor(w), F.lit(0)).alias(f"xor_{w}") for w in names],
     )
+    joined = [F.concat_ws(":", *[F.col(f"{kind}_{w}").cast("string") for w in names]).alias(f"hash_{kind}") for kind in ("sum", "xor")]
+    return total.select("rows", *joined)
 
 
 def reconcile(source: DataFrame, target: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -1,7 +1,9 @@
 """One copy run: audit, stage, check, gate, publish.
 
-Nothing moves before the audit is clean. The source is read once, by the staging job (and once
-before it when bare NUMBER columns need their range check). Everything after that looks at the
+Nothing moves before the audit is clean. The mapped names are resolved against the target without regard
+to case, and every column whose type differs from the target's is checked for values that the cast would
+refuse or change. The source is read once, by the staging job (and before it when bare NUMBER columns need
+their range check, or when an order needs its ranges). Everything after that looks at the
 staged rows, so what was checked is exactly what is published.
 """
 
@@ -14,6 +16,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableferry.operators import upsert as merge
 from tableferry.operators.range_audit import CellRule, RangeCheck, range_audit, reject_rows
@@ -25,11 +28,16 @@ from tableferry.spec import OrderTerm, TaskSpec, apply_spec, order_columns
 
 
 class CopyRefused(RuntimeError):
-    """The run stopped before the target changed; `kind` says why and `details` lists what."""
+    """The run stopped before the target changed; `kind` says why.
 
-    def __init__(self, kind: str, message: str, details: Sequence = ()):
-        self.kind, self.details = kind, list(details)
-        super().__init__(f"{kind}: {message}")
+    `details` are the first rows of what was refused. All of it, `found` rows, lies as Parquet under `path`
+    when it came from a table.
+    """
+
+    def __init__(self, kind: str, message: str, details: Sequence = (), path: str | None = None, found: int | None = None):
+        self.kind, self.details, self.path = kind, list(details), path
+        self.found = len(self.details) if found is None else found
+        super().__init__(f"{kind}: {message}" + (f" ({self.found} in {path})" if path else ""))
 
 
 @dataclass(frozen=True)
@@ -51,7 +59,8 @@ class CopyPlan:
     ``checks`` are the bare NUMBER columns of the audit's range plan; ``rules`` refuse cells the
     target would reject or change. ``on_duplicate`` is ``fail`` or ``latest`` (the later row in
     the task's order wins). ``numbered`` stages the rows in numbered batches and gates on them.
-    ``log_folder`` receives the run's log lines (`sources.runlog`).
+    ``log_folder`` receives the run's log lines (`sources.runlog`). What a run refuses is written under
+    ``<staging_path>_refused/run_id=<run>``.
     """
 
     spec: TaskSpec
@@ -71,11 +80,47 @@ def new_run_id(now: datetime | None = None) -> str:
     return f"{now:%Y%m%d%H%M%S}_{uuid.uuid4().hex[:6]}"
 
 
-def refuse_if(issues: DataFrame, kind: str, message: str, shown: int = 100) -> None:
-    """Stop the run when there is any issue; the error carries the first few of them."""
-    found = issues.limit(shown).collect()
-    if found:
-        raise CopyRefused(kind, message, found)
+def refuse_if(issues: DataFrame, kind: str, message: str, path: str, shown: int = 20) -> None:
+    """Stop the run when there is any issue: all are written to `path`, the error carries the first few."""
+    some = issues.limit(shown).collect()
+    if some:
+        issues.write.mode("overwrite").parquet(path)
+        found = issues.sparkSession.read.schema(issues.schema).parquet(path).count()
+        raise CopyRefused(kind, message, some, path, found)
+
+
+def refused_path(plan: CopyPlan, run_id: str, what: str) -> str:
+    return f"{plan.staging_path}_refused/run_id={run_id}/{what}"
+
+
+def resolved_names(rows: DataFrame, plan: CopyPlan) -> dict[str, str]:
+    """The target's spelling of each mapped column; refuses columns that the target lacks or that meet in one."""
+    spelled = {f.name.upper(): f.name for f in plan.target.schema.fields}
+    wrong = [(c, "TARGET_MISSING") for c in rows.columns if c.upper() not in spelled]
+    upper = [c.upper() for c in rows.columns]
+    wrong += [(c, "TARGET_REPEATED") for c in rows.columns if upper.count(c.upper()) > 1]
+    if wrong:
+        raise CopyRefused("MAPPING_PRECHECK", "mapped columns don't fit the target: " + ", ".join(c for c, _ in wrong), wrong)
+    return {c: spelled[c.upper()] for c in rows.columns}
+
+
+def cast_rules(rows: DataFrame, target: T.StructType) -> list[CellRule]:
+    """A rule for each column that would be cast: its values must pass the cast and come back unchanged."""
+    rules = []
+    for field_ in rows.schema.fields:
+        kind = target[field_.name].dataType
+        if field_.dataType == kind or isinstance(kind, T.StringType):
+            continue
+        value = F.col(f"`{field_.name}`")
+        cast = value.try_cast(kind)
+        if isinstance(field_.dataType, T.StringType):
+            # A text may spell a number with zeros at its end; what counts is the number.
+            same = value.try_cast("decimal(38,18)") == cast.try_cast("decimal(38,18)") if isinstance(kind, T.DecimalType) else F.lit(True)
+        else:
+            same = cast.try_cast(field_.dataType) == value
+        reason = F.when(cast.isNull(), "OUT_OF_RANGE").when(~F.coalesce(same, F.lit(False)), "WOULD_ROUND")
+        rules.append(CellRule(field_.name, reason, value.cast("string")))
+    return rules
 
 
 def run_copy(
@@ -100,7 +145,11 @@ def run_copy(
     except BaseException as error:
         kind = error.kind if isinstance(error, CopyRefused) else "UNKNOWN"
         text = str(error).splitlines() or [type(error).__name__]
-        log.finish("FAILED", message=text[0], failure_kind=kind)
+        # The pointer tells whether this run's version was switched to.
+        swapped = plan.target.current(spark) == run_id
+        log.add("commit_diagnosed", terminal="SWAPPED" if swapped else "DISCARDED")
+        fields = {"sink_code": kind} if log.current_stage == "COMMITTING" and isinstance(error, CopyRefused) else {}
+        log.finish("FAILED", message=text[0], failure_kind=kind, **fields)
         raise
     log.stage("SUCCEEDED")
     log.finish(
@@ -117,45 +166,50 @@ def run_copy(
 def _move(spark, plan: CopyPlan, source, params, issues, run_id, log: RunLog) -> CopyResult:
     if issues is not None:
         log.issues(issues)
-        refuse_if(issues, "MAPPING_PRECHECK", "the mapping audit found issues")
+        refuse_if(issues, "MAPPING_PRECHECK", "the mapping audit found issues", refused_path(plan, run_id, "issues"))
     rows = apply_spec(source, plan.spec, params)
+    names = resolved_names(rows, plan)
+    rows = rows.withColumnsRenamed({c: n for c, n in names.items() if c != n})
     columns = rows.columns
+    upper = {c.upper(): c for c in columns}
     _check_ranges(rows, plan, log)
-    key = list(plan.spec.primary_key)
+    key = [upper.get(k.upper(), k) for k in plan.spec.primary_key]
     try:
         log.add("run_opened", staging_table=f"{plan.spec.target_table}__stg_{run_id}", columns_checked=len(columns))
         log.stage("STREAMING")
         if plan.numbered:
-            order = order_columns(_target_order(plan.spec))
+            order = order_columns(_target_order(plan.spec, names))
             read, staged = staging.stage_batches(rows, plan.staging_path, run_id, order)
             log.batches(staged)
-            _gate_batches(staged, run_id)
+            _gate_batches(staged, run_id, plan)
             staged = staged.select(*columns)
         else:
             read = staging.stage_run(rows, plan.staging_path, run_id)
             staged = staging.read_run(spark, plan.staging_path, run_id, rows.schema)
         # The source may have changed since its range check; the staged rows no longer can.
         _check_ranges(staged, plan, log)
-        if plan.rules:
-            refused = reject_rows(staged, key, plan.rules)
-            refuse_if(refused, "SOURCE_VALUE", "values the target would reject")
+        ruled = {r.column for r in plan.rules}
+        rules = [*plan.rules, *[r for r in cast_rules(staged, plan.target.schema) if r.column not in ruled]]
+        if rules:
+            refused = reject_rows(staged, key, rules)
+            refuse_if(refused, "SOURCE_VALUE", "values the target would reject or change", refused_path(plan, run_id, "cells"))
         log.stage("COMMITTING")
         keyed = merge.collate_key(staged, key, plan.collation)
         report = merge.key_report(keyed, key).first()
-        _gate(read, report, plan.on_duplicate, keyed, key)
+        _gate(read, report, plan, keyed, key, run_id)
         if report["duplicated_keys"]:
-            staged = merge.keep_latest(keyed, key, _target_order(plan.spec)).to(staged.schema)
+            staged = merge.keep_latest(keyed, key, _target_order(plan.spec, names)).to(staged.schema)
         return _publish(spark, plan, staged, key, run_id, read, report)
     finally:
         staging.drop_run(spark, plan.staging_path, run_id)
 
 
-def _gate_batches(staged: DataFrame, run_id: str) -> None:
+def _gate_batches(staged: DataFrame, run_id: str, plan: CopyPlan) -> None:
     """The staged batch numbers must be exactly 1..N."""
     numbers = staged.select(F.lit(run_id).alias("run_id"), "batch_no")
     last = numbers.groupBy("run_id").agg(F.max("batch_no").alias("source_batches"))
     broken = batch_contiguity(numbers, last).filter(~F.col("contiguous"))
-    refuse_if(broken, "VERIFY_FAILED", "batch numbers are missing")
+    refuse_if(broken, "VERIFY_FAILED", "batch numbers are missing", refused_path(plan, run_id, "batches"))
 
 
 def _check_ranges(rows: DataFrame, plan: CopyPlan, log: RunLog) -> None:
@@ -168,9 +222,9 @@ def _check_ranges(rows: DataFrame, plan: CopyPlan, log: RunLog) -> None:
         raise CopyRefused("MAPPING_PRECHECK", "values do not fit the declared decimal", bad)
 
 
-def _target_order(spec: TaskSpec) -> list[OrderTerm]:
+def _target_order(spec: TaskSpec, spelled: Mapping[str, str]) -> list[OrderTerm]:
     """The task's order under target names; terms on columns that were not copied drop out."""
-    names = {c.source.upper(): c.target for c in spec.columns}
+    names = {c.source.upper(): spelled[c.target] for c in spec.columns}
     return [
         OrderTerm(names[t.column.upper()], t.direction)
         for t in spec.order_by
@@ -178,17 +232,18 @@ def _target_order(spec: TaskSpec) -> list[OrderTerm]:
     ]
 
 
-def _gate(read: int, report, on_duplicate: str, staged: DataFrame, key: list[str]) -> None:
+def _gate(read: int, report, plan: CopyPlan, staged: DataFrame, key: list[str], run_id: str) -> None:
     if report["rows"] != read:
         raise CopyRefused("VERIFY_FAILED", f"{read} rows read but {report['rows']} staged")
     if report["null_key_rows"]:
         raise CopyRefused("DATA_REJECTED", f"{report['null_key_rows']} rows have a NULL key")
-    if report["duplicated_keys"] and on_duplicate == "fail":
-        some = merge.duplicate_keys(staged, key).limit(100).collect()
-        raise CopyRefused("DATA_REJECTED", f"{report['duplicated_keys']} keys are repeated", some)
+    if report["duplicated_keys"] and plan.on_duplicate == "fail":
+        repeated = merge.duplicate_keys(staged, key)
+        refuse_if(repeated, "DATA_REJECTED", f"{report['duplicated_keys']} keys are repeated", refused_path(plan, run_id, "keys"))
 
 
 def _publish(spark, plan: CopyPlan, staged, key, run_id, read, report) -> CopyResult:
+    based_on = plan.target.current(spark)
     merged = merge.upsert(
         plan.target.read(spark), staged, key, plan.defaults, plan.collation, plan.target.keeps_buckets
     )
@@ -204,7 +259,7 @@ def _publish(spark, plan: CopyPlan, staged, key, run_id, read, report) -> CopyRe
         if moved != report["distinct_keys"]:
             raise CopyRefused("VERIFY_FAILED", f"{report['distinct_keys']} keys staged but {moved} merged")
 
-    plan.target.publish(counted, run_id, check)
+    plan.target.publish(counted, run_id, check, based_on)
     n = effects.get
     affected = n["inserted"] + 2 * n["updated"] + n["unchanged"]
     return CopyResult(run_id, read, report["rows"], *[n[e] for e in names], affected)

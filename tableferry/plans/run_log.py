@@ -64,7 +64,8 @@ class RunLog:
             )
         )
         sent = running_total(per_batch, ["run"], "seq", "rows", "source_rows").drop("run")
-        self._write_rows("batch_pushed", sent)
+        # In order over all files: a reader takes the last line's number for the last batch.
+        self._write_rows("batch_pushed", sent.orderBy("seq"))
 
     def flush(self) -> None:
         if self.path is None or not self.lines:

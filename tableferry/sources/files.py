@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -54,3 +55,19 @@ def replace_text(spark: SparkSession, path: str, text: str, suffix: str) -> None
     options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
     options[0] = hadoop.Options.Rename.OVERWRITE
     context.rename(fresh, hadoop.Path(path), options)
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file unless it exists already; whether this call created it."""
+    handle, fs = _handle(spark, path)
+    if fs.exists(handle):
+        return False
+    try:
+        stream = fs.create(handle, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    stream.write(bytearray(text, "utf-8"))
+    stream.close()
+    return True

@@ -246,7 +246,7 @@ def test_run_log_becomes_history(spark, plan, tmp_path):
     assert (audit["outcome"], audit["mapping_issue_count"], audit["failure_kind"], audit["staging_table"]) == ("FAILED", 2, "MAPPING_PRECHECK", None)
     assert sorted(r["column"] for r in history.mapping_issue_lines(log).collect()) == ["V", "W"]
     repeated = got["20240102030405_0000bb"]
-    assert (repeated["failure_kind"], repeated["stage"], repeated["target_table_effect"]) == ("DATA_REJECTED", "COMMITTING", "UNKNOWN")
+    assert (repeated["failure_kind"], repeated["stage"], repeated["target_table_effect"]) == ("DATA_REJECTED", "COMMITTING", "DISCARDED")
 
 
 def test_batch_log_bytes_equal_the_payloads(spark, plan, tmp_path):
@@ -292,3 +292,44 @@ def test_bucketed_versions_have_one_file_per_bucket(spark, plan, tmp_path, bucke
         files = spark.table(f"ferry_target.goods__v_{result.run_id}").select("_metadata.file_path").distinct().count()
         assert files <= bucketed.buckets
     assert p.target.read(spark).count() == 2000
+
+
+def test_names_meet_the_target_in_any_case(spark, plan):
+    mapping = (ColumnMapping("row_id", "row_id"), ColumnMapping("src_name", "Dest_Name"), ColumnMapping("src_amount", "dest_amount"))
+    p = plan(spec=spec(columns=mapping, primary_key=("row_Id",)))
+    run_copy(spark, p, rows(spark, *BASE))
+    assert current(spark, p)[2][:2] == ("b  ", 2)
+    mapping = (*mapping, ColumnMapping("more", "EXTRA"))
+    with pytest.raises(CopyRefused) as error:
+        run_copy(spark, plan(spec=spec(columns=mapping)), rows(spark, *BASE).selectExpr("*", "1 AS more"))
+    assert error.value.details == [("EXTRA", "TARGET_MISSING")]
+
+
+def test_a_plain_run_neither_rounds_nor_cuts(spark, plan):
+    p = plan()
+    df = spark.createDataFrame([(k, "x", f"{k}.235") for k in range(150)] + [(900, "x", "1.5000")], "row_id int, src_name string, src_amount string")
+    df = df.withColumn("src_amount", df.src_amount.cast("decimal(12,4)"))
+    with pytest.raises(CopyRefused) as error:
+        run_copy(spark, p, df)
+    assert error.value.kind == "SOURCE_VALUE" and error.value.found == 150 and len(error.value.details) == 20
+    assert spark.read.parquet(error.value.path).count() == 150
+    with pytest.raises(CopyRefused):
+        run_copy(spark, p, df.filter("row_id = 900").selectExpr("row_id + 99999999 AS row_id", "src_name", "src_amount"))
+    assert run_copy(spark, p, df.filter("row_id = 900")).inserted == 1
+
+
+@pytest.mark.parametrize("kind", ["folder", "bucketed"])
+def test_overlapping_publishes_lose_nothing(spark, tmp_path, bucketed, kind):
+    target = pub.FolderTarget(str(tmp_path / "busy"), TARGET) if kind == "folder" else bucketed
+    made = lambda n: spark.createDataFrame([(k, "x", None, None) for k in range(n)], "ROW_ID int, DEST_NAME string, DEST_AMOUNT int, AUDIT string").to(TARGET)
+    target.publish(made(1), "r1")
+    # Both runs read r1; the other one publishes while this one has written but not switched.
+    with pytest.raises(pub.TargetBusy):
+        target.publish(made(3), "r3", lambda: target.publish(made(2), "r2", None, "r1"), "r1")
+    assert target.current(spark) == "r2" and target.read(spark).count() == 2
+    # A run that read r1 before r2 was published comes late.
+    with pytest.raises(pub.TargetBusy):
+        target.publish(made(4), "r4", None, "r1")
+    target.publish(made(5), "r5", None, "r2")
+    target.publish(made(6), "r6", None, "r5")
+    assert target.current(spark) == "r6" and target.read(spark).count() == 6

@@ -117,7 +117,7 @@ def test_digest(spark):
     shifted = spark.createDataFrame([(1, None, "a"), (2, "b", "")], "i int, v string, w string")
     twice = df.unionAll(df).unionAll(df)
     assert len({verify.table_digest(d).first() for d in (df, moved, shifted, twice)}) == 4
-    assert tuple(verify.table_digest(df.limit(0)).first()) == (0, 0, 0)
+    assert tuple(verify.table_digest(df.limit(0)).first()) == (0, "0:0:0:0:0", "0:0:0:0:0")
 
 
 def test_reconcile_pads_decimals_and_compares_bytes(spark):

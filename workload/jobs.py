@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableferry import ColumnMapping, Condition, OrderTerm, TaskSpec, apply_spec
 from tableferry.functions import canon, runs, shapes
 from tableferry.operators import ddl, mapping_audit, numbering, profile, range_audit, spec_audit, upsert, verify
 from tableferry.plans import history
-from tableferry.plans.copy_run import CopyPlan, run_copy
+from tableferry.plans.copy_run import CopyPlan, CopyRefused, run_copy
 from tableferry.scratch import scratch_path
 from tableferry.sources import payload, runlog, staging, tables
 from tableferry.sources.publish import FolderTarget
@@ -86,8 +87,41 @@ def copy_run_log(spark, sf):
     lines = runlog.read_log(spark, f"{root}/log/*/*", runlog.RECORD_FOLDER)
     states = history.combine_states(history.fold_states(lines))
     return states.select(
-        "run_record_id", "run_id", "outcome", "target_table_effect", "stage", "staging_table", "source_rows", "staged_rows", "rows_pushed"
-    )
+        "run_record_id", "run_id", "outcome", "target_table_effect", "stage", "staging_table", "source_rows", "staged_rows", "rows_pushed",
+        (F.col("seq") == lines.agg(F.max("seq")).first()[0]).alias("last_is_largest"),
+    )
+
+
+@job
+def copy_run_guarded(spark, sf):
+    """Every cell that a copy of all orders refuses because its target would round it; nothing is published."""
+    root = scratch_path(spark, "copy-guarded")
+    orders = fixture(spark, sf, "orders_base").select("o_orderkey", F.col("o_totalprice").cast("decimal(12,2)").alias("o_totalprice"))
+    target = FolderTarget(f"{root}/target", T.StructType().add("ORDER_ID", orders.schema["o_orderkey"].dataType).add("AMOUNT", "decimal(12,1)"))
+    # The mapping spells the target's columns in another case.
+    spec = TaskSpec("SALES", "ORDERS", "ORDER_COPY", ("order_id",), (ColumnMapping("o_orderkey", "order_id"), ColumnMapping("o_totalprice", "Amount")))
+    try:
+        run_copy(spark, CopyPlan(spec, target, f"{root}/staging"), orders, run_id="20240102030405_0a1b2c")
+    except CopyRefused as refused:
+        assert target.current(spark) is None
+        return spark.read.parquet(refused.path)
+    raise AssertionError("the copy would have changed values")
+
+
+@job
+def copy_run_gate_failed(spark, sf):
+    """History of a run that the gate stopped: customers repeat among the orders, so they are no key."""
+    root = scratch_path(spark, "copy-gate")
+    orders = fixture(spark, sf, "orders_base").select("o_custkey", "o_orderkey")
+    spec = TaskSpec("SALES", "ORDERS", "ORDER_COPY", ("o_custkey",), tuple(ColumnMapping(n, n) for n in orders.columns))
+    plan = CopyPlan(spec, FolderTarget(f"{root}/target", orders.schema), f"{root}/staging", log_folder=f"{root}/log")
+    repeated = spark.range(1).select(F.lit(0).cast("bigint").alias("repeated"))
+    try:
+        run_copy(spark, plan, orders, run_id="20240102030405_0a1b2c")
+    except CopyRefused as refused:
+        repeated = spark.read.parquet(refused.path).agg(F.count("*").alias("repeated"))
+    states = history.combine_states(history.fold_states(runlog.read_log(spark, f"{root}/log/*/*", runlog.RECORD_FOLDER)))
+    return states.select("outcome", "target_table_effect", "stage", "failure_kind", "sink_code").crossJoin(repeated)  # one row each
 
 
 @job

@@ -51,7 +51,18 @@ oracle(
     "copy_run_log",
     """SELECT '20240102030405_0a1b2c' AS run_record_id, '20240102030405_0a1b2c' AS run_id, 'SUCCEEDED' AS outcome, 'SWAPPED' AS target_table_effect,
               'SUCCEEDED' AS stage, 'ORDER_COPY__stg_20240102030405_0a1b2c' AS staging_table,
-              COUNT(*) AS source_rows, COUNT(*) AS staged_rows, COUNT(*) AS rows_pushed FROM orders_base""",
+              COUNT(*) AS source_rows, COUNT(*) AS staged_rows, COUNT(*) AS rows_pushed, true AS last_is_largest FROM orders_base""",
+)
+
+oracle(
+    "copy_run_guarded",
+    """SELECT o_orderkey AS "ORDER_ID", 'AMOUNT' AS column_name, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) AS value, 'WOULD_ROUND' AS reason
+       FROM orders_base WHERE CAST(o_totalprice AS DECIMAL(12,2)) <> ROUND(CAST(o_totalprice AS DECIMAL(12,2)), 1)""",
+)
+oracle(
+    "copy_run_gate_failed",
+    """SELECT 'FAILED' AS outcome, 'DISCARDED' AS target_table_effect, 'COMMITTING' AS stage, 'DATA_REJECTED' AS failure_kind, 'DATA_REJECTED' AS sink_code,
+              COUNT(*) AS repeated FROM (SELECT o_custkey FROM orders_base GROUP BY o_custkey HAVING COUNT(*) > 1)""",
 )
 
 # --- task specs ---
@@ -509,8 +520,11 @@ DIGEST_TEXT = " || ".join(
 
 
 def digest(table: str) -> str:
-    return f"""SELECT COUNT(*) AS rows, CAST(SUM(CAST(h AS HUGEINT)) AS DECIMAL(38,0)) AS hash_sum, bit_xor(h) AS hash_xor
-                 FROM (SELECT CAST('0x' || substr(sha256({DIGEST_TEXT}), 1, 15) AS BIGINT) AS h FROM {table}) x"""
+    words = [f"CAST('0x' || substr(h, {at}, {n}) AS BIGINT)" for at, n in ((1, 15), (16, 15), (31, 15), (46, 15), (61, 4))]
+    sums = ", ".join(f"SUM(CAST({w} AS HUGEINT))" for w in words)
+    xors = ", ".join(f"bit_xor({w})" for w in words)
+    return f"""SELECT COUNT(*) AS rows, concat_ws(':', {sums}) AS hash_sum, concat_ws(':', {xors}) AS hash_xor
+                 FROM (SELECT sha256({DIGEST_TEXT}) AS h FROM {table}) x"""
 
 
 oracle("table_digest", digest("orders_base"))
