@@ -95,29 +95,61 @@ def _signed(keys: str, side: int) -> Column:
     return F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(side).alias("side")))
 
 
-def differences(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, only_left, only_right) for pairs (by, left, right) of key arrays: what their sketches tell.
+def _attempt(versions: DataFrame, by: Sequence[str], pairs: Sequence[tuple[str, str]], cells: Sequence[Column]) -> DataFrame:
+    """One row for each of `by`: (cells, undone, only_left, only_right), numbered by pair; null for equal pairs and null cells.
+
+    `versions` is dealt by `by`, so all sums and rounds stay in the partition of their row.
+    """
+    tried = F.array(*[
+        F.struct(F.lit(p).alias("pair"), cells[p].cast("int").alias("cells"), F.concat(_signed(left, 1), _signed(right, -1)).alias("keys"))
+        for p, (left, right) in enumerate(pairs)
+    ])
+    marked = versions.select(*by, F.inline(F.filter(tried, lambda t: t["cells"].isNotNull())))
+    group = [*by, "pair", "cells"]
+    ends = peel(sketch(marked.select(*group, F.inline("keys")), group), group)
+    return ends.groupBy(*by).agg(*[
+        F.max(F.when(F.col("pair") == p, F.col(c))).alias(f"{c}_{p}") for p in range(len(pairs)) for c in _TOLD
+    ])
+
+
+_TOLD = ("cells", "undone", "only_left", "only_right")
+
+
+def _replaced(found: DataFrame, better: DataFrame, by: Sequence[str], n_pairs: int) -> DataFrame:
+    """`found` with what `better` tells of the same pairs."""
+    newer = better.withColumnsRenamed({f"{c}_{p}": f"new_{c}_{p}" for p in range(n_pairs) for c in _TOLD})
+    told = [F.coalesce(f"new_{c}_{p}", f"{c}_{p}").alias(f"{c}_{p}") for p in range(n_pairs) for c in _TOLD]
+    return found.join(newer, list(by), "left").select(*by, *told)
+
+
+def differences(versions: DataFrame, by: Sequence[str], pairs: Sequence[tuple[str, str]] = (("left", "right"),)) -> DataFrame:
+    """(by, only_left_0, only_right_0, only_left_1, ...): what sketches of pairs of key arrays tell, by names of the arrays.
 
     Sketches of PART_CELLS cells a part come first. Pairs whose difference doesn't come out get larger ones, first
-    as their numbers of keys suggest, then twice as large each time, until none is left over. A pair that is
-    equal has no row.
+    as their numbers of keys suggest, then twice as large each time, until none is left over. An equal pair has nulls;
+    a row of equal pairs only is left out.
     """
-    pair, by = list(by), [*by, "cells"]
-    done, left = [], pairs.withColumn("cells", F.lit(PART_CELLS))
+    arrays = list(dict.fromkeys(c for pair in pairs for c in pair))
+    source = versions.select(*by, *arrays)
+    any_undone = F.greatest(*[F.coalesce(f"undone_{p}", F.lit(0)) for p in range(len(pairs))], F.lit(0)) > 0
+
+    fitting = [F.ceil(RETRY_CELLS * (F.size(left) + F.size(right))) + PART_CELLS for left, right in pairs]
+    last = found = kept(_attempt(source.repartition(*by), by, pairs, [F.lit(PART_CELLS)] * len(pairs)), "peeled")
+    retries = 0
     while True:
-        # Dealt by pair once: all sums and rounds stay in the partition of their pair.
-        marked = F.concat(_signed("left", 1), _signed("right", -1))
-        result = kept(peel(sketch(left.repartition(*pair).select(*by, F.inline(marked)), by), by), "peeled")
-        done.append(result.filter("undone = 0").select(*by, "only_left", "only_right"))
-        if result.filter("undone > 0").isEmpty():
+        wanted = last.filter(any_undone).select(*by, *[f"{c}_{p}" for p in range(len(pairs)) for c in _TOLD[:2]])
+        failed = kept(wanted, "failed")
+        if failed.isEmpty():
             break
-        fitting = F.ceil(RETRY_CELLS * (F.size("left") + F.size("right"))) + PART_CELLS
-        left = left.join(result.filter("undone > 0").select(*by), by, "left_semi")
-        left = kept(left.withColumn("cells", F.greatest(F.col("cells") * 2, fitting).cast("int")), "retry")
-    found = done[0]
-    for more in done[1:]:
-        found = found.unionByName(more)
-    return found.drop("cells")
+        # The first retry is of most rows, so those are dealt and joined there; later ones are few and joined first.
+        again = source.join(failed, list(by)).repartition(*by) if retries else source.repartition(*by).join(failed, list(by))
+        retries += 1
+        sizes = [
+            F.when(F.col(f"undone_{p}") > 0, F.greatest(2 * F.col(f"cells_{p}"), fit)) for p, fit in enumerate(fitting)
+        ]
+        last = kept(_attempt(again, by, pairs, sizes), "peeled")
+        found = _replaced(found, last, by, len(pairs))
+    return found.select(*by, *[f"{c}_{p}" for p in range(len(pairs)) for c in _TOLD[2:]])
 
 
 def written(keys: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -135,12 +167,12 @@ def likeness(only_left: Column, only_right: Column, left: Column, right: Column)
 
 
 def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rn, next, doc_id, n_chars, edited_sha256, keys, edited) of every row, null texts as empty ones.
+    """(rn, doc_id, n_chars, edited_sha256, keys, edited, next_keys) of every row, null texts as empty ones.
 
     The edited text ends with the first floor(n_chars / 4) code points of the next row's text (all, if it
     has fewer) in place of as many of its own. Rows come by id, nulls first, repeated ids by a hash of the
     text; after the last comes the first. Only the heads of texts move to their predecessors, besides one
-    shuffle of the texts that brings each to its number.
+    shuffle of the texts that brings each to its number. The keys of a text travel with its head.
     """
     source = named(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     mark = F.xxhash64("text")
@@ -158,8 +190,8 @@ def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("doc_id").alias("b_id"), F.col("mark").alias("b_mark"), F.col("copy").alias("b_copy"),
         F.floor(F.col("n_chars") / 4).cast("int").alias("need"), (F.col("rn") % F.col("last") + 1).alias("rn"),
     )
-    wanted = order.withColumnsRenamed({"doc_id": "w_id", "mark": "w_mark", "copy": "w_copy"}).join(follows, "rn").join(F.broadcast(last))
-    wanted = kept(wanted.withColumn("next", F.col("rn") % F.col("last") + 1).drop("last", "n_chars"), "wanted")
+    wanted = order.withColumnsRenamed({"doc_id": "w_id", "mark": "w_mark", "copy": "w_copy"}).join(follows, "rn")
+    wanted = kept(wanted.drop("n_chars"), "wanted")
     texts = source.withColumn("mark", mark)
     if wanted.filter("w_copy > 0").isEmpty():
         texts = texts.withColumn("copy", F.lit(0).cast("bigint"))
@@ -168,15 +200,15 @@ def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     here = texts.doc_id.eqNullSafe(F.col("w_id")) & (texts.mark == F.col("w_mark")) & (texts.copy == F.col("w_copy"))
     placed = texts.join(wanted, here)
     # Each head goes to where its predecessor's text is, so the texts themselves are dealt once.
-    heads = placed.select("b_id", "b_mark", "b_copy", F.expr("left(text, need)").alias("head"))
-    placed = placed.select("rn", "next", "doc_id", "mark", "copy", "text")
+    heads = placed.select("b_id", "b_mark", "b_copy", F.expr("left(text, need)").alias("head"), paragraph_keys(F.col("text")).alias("next_keys"))
+    placed = placed.select("rn", "doc_id", "mark", "copy", "text")
     there = placed.doc_id.eqNullSafe(F.col("b_id")) & (placed.mark == F.col("b_mark")) & (placed.copy == F.col("b_copy"))
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), "head")
     size = F.length("text").cast("bigint").alias("n_chars")
-    joined = placed.join(heads, there).select("rn", "next", "doc_id", size, "text", edited.alias("edited_text"))
+    joined = placed.join(heads, there).select("rn", "doc_id", size, "text", edited.alias("edited_text"), "next_keys")
     return joined.select(
-        "rn", "next", "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
-        paragraph_keys(F.col("text")).alias("keys"), paragraph_keys(F.col("edited_text")).alias("edited"),
+        "rn", "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
+        paragraph_keys(F.col("text")).alias("keys"), paragraph_keys(F.col("edited_text")).alias("edited"), "next_keys",
     )
 
 
@@ -193,20 +225,7 @@ def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty one. In a table of one row the next document is the row itself. An empty table gives an empty result.
     """
     base = kept(edited_versions(docs, id_col, text_col), "versions")
-    next_keys = base.select(F.col("rn").alias("next"), F.col("keys").alias("next_keys"))
-    pairs = base.select("rn", "next", "keys", "edited").join(next_keys, "next")
-    compared = pairs.select(
-        "rn",
-        F.inline(F.array(
-            F.struct(F.lit(0).alias("pair"), F.col("keys").alias("left"), F.col("edited").alias("right")),
-            F.struct(F.lit(1).alias("pair"), F.col("keys").alias("left"), F.col("next_keys").alias("right")),
-        )),
-    )
-    compared = kept(compared, "pairs")
-    found = differences(compared, ["rn", "pair"])
-    by_row = found.groupBy("rn").agg(*[
-        F.max(F.when(F.col("pair") == p, F.col(side))).alias(f"{side}_{p}") for p in (0, 1) for side in ("only_left", "only_right")
-    ])
+    found = differences(base, ["rn"], [("keys", "edited"), ("keys", "next_keys")])
     sides = base.select("rn", F.inline(F.array(
         F.struct(F.lit(0).alias("version"), F.col("keys").alias("ks")), F.struct(F.lit(1).alias("version"), F.col("edited").alias("ks"))
     )))
@@ -214,13 +233,13 @@ def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     prints = prints.groupBy("rn").agg(*[
         F.max(F.when(F.col("version") == v, F.col("fingerprint"))).alias(name) for v, name in ((0, "fingerprint"), (1, "edited_fingerprint"))
     ])
-    sizes = compared.groupBy("rn").agg(F.max(F.when(F.col("pair") == 1, F.size("right"))).alias("n_next"))
-    rows = base.select("rn", "doc_id", "n_chars", "edited_sha256", F.size("keys").alias("n_own"), F.size("edited").alias("n_edited"))
-    rows = rows.join(by_row, "rn", "left").join(prints, "rn", "left").join(sizes, "rn")
+    counts = [F.size(c).alias(f"n_{c}") for c in ("keys", "edited", "next_keys")]
+    rows = base.select("rn", "doc_id", "n_chars", "edited_sha256", *counts)
+    rows = rows.join(found, "rn", "left").join(prints, "rn", "left")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256",
         F.coalesce("fingerprint", F.lit("")).alias("fingerprint"),
         F.coalesce("edited_fingerprint", F.lit("")).alias("edited_fingerprint"),
-        likeness(F.col("only_left_0"), F.col("only_right_0"), F.col("n_own"), F.col("n_edited")).alias("near_edited"),
-        likeness(F.col("only_left_1"), F.col("only_right_1"), F.col("n_own"), F.col("n_next")).alias("near_next"),
+        likeness(F.col("only_left_0"), F.col("only_right_0"), F.col("n_keys"), F.col("n_edited")).alias("near_edited"),
+        likeness(F.col("only_left_1"), F.col("only_right_1"), F.col("n_keys"), F.col("n_next_keys")).alias("near_next"),
     )

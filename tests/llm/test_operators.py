@@ -221,7 +221,7 @@ def test_sketches_give_the_difference_of_any_size(spark):
         pairs.append((k, keys[: shared + left], keys[:shared] + keys[shared + left :], left, right))
     df = spark.createDataFrame(pairs, "rn int, left array<bigint>, right array<bigint>, l int, r int")
     keyed = df.select("rn", *[F.transform(c, lambda x: paragraphs._key(x.cast("string"))).alias(c) for c in ("left", "right")])
-    found = {r.rn: (r.only_left, r.only_right) for r in paragraphs.differences(keyed, ["rn"]).collect()}
+    found = {r.rn: (r.only_left_0, r.only_right_0) for r in paragraphs.differences(keyed, ["rn"]).collect()}
     assert found == {p[0]: (p[3], p[4]) for p in pairs if p[3] + p[4]}
 
 
