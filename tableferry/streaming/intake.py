@@ -162,6 +162,8 @@ def read_staged(spark: SparkSession, staging_path: str, columns: list[str]) -> D
         "arrived_at timestamp, source_file string, source_block bigint, source_line bigint, batch_no bigint, "
         f"row_no bigint, {cells}, run_id string, load string"
     )
+    if not exists(spark, f"{staging_path}/rows"):
+        return spark.createDataFrame([], schema).select("run_id", "batch_no", "row_no", *columns)
     rows = spark.read.schema(schema).parquet(f"{staging_path}/rows")
     in_force = received_batches(spark, staging_path).select(
         "run_id", "batch_no", F.struct(*_COPY).alias("_in_force")

@@ -92,6 +92,10 @@ def test_a_second_stream_adds_and_loses_nothing(box):
     assert box.rows() == [(1, 1, "1", "a"), (2, 1, "2", "b")]
 
 
+def test_nothing_staged_yet_is_empty(box):
+    assert box.rows() == [] and box.refused() == []
+
+
 def test_gaps_and_contiguity(box, spark):
     box.put(RUN, "b1", batch(1, ("1", "a")), batch(2, ("2", "b")), batch(4, ("4", "d")))
     box.run()
