@@ -117,7 +117,7 @@ class Model:
         if len(self.table) > 1:
             self.table = [np.concatenate(self.table)]
         order = sorted(range(len(ids)), key=lambda i: len(ids[i]))
-        result: list[np.ndarray] = [np.zeros(0, np.int8)] * len(ids)
+        result: list[np.ndarray] = [np.zeros(0, np.int16)] * len(ids)
         block: list[int] = []
         for i in reversed(order):
             if block and len(ids[block[0]]) * (len(block) + 1) > CELLS:
@@ -155,14 +155,14 @@ class Model:
             words[: len(ids[i]), k] = ids[i]
         scores, pick = self.table[0], np.arange(n)
         stays = np.zeros((longest, n, len(self.languages)), bool)
-        froms = np.zeros((longest, n), np.int8)
+        froms = np.zeros((longest, n), np.int16)
         value = scores[words[0]]
         for t in range(1, longest):
             froms[t] = value.argmax(axis=1)
             switch = value[pick, froms[t]][:, None] - self.penalty
             np.greater_equal(value, switch, out=stays[t])
             value = np.maximum(value, switch) + scores[words[t]]
-        path = np.zeros((longest, n), np.int8)
+        path = np.zeros((longest, n), np.int16)
         state = value.argmax(axis=1)
         for t in range(longest - 1, 0, -1):
             path[t] = state
