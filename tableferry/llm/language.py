@@ -184,7 +184,8 @@ def train(
     source = named(docs, doc_id=id_col, text=text_col, lang=lang_col)
     usable = source.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     usable = usable if learn is None else usable.filter(learn)
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("docs"))
+    # Written first, so the join sees how small it is and the texts stay where they are read.
+    sizes = kept(usable.groupBy("lang").agg(F.count("*").alias("docs")), "languages")
     chance = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) * F.col("docs")
     sample = usable.join(sizes, "lang").filter(chance < docs_per_language * (1 << 30))
     words = kept(
