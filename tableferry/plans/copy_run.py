@@ -136,6 +136,8 @@ def run_copy(
     ``issues`` is the task's mapping audit (`operators.mapping_audit`). A rerun with the same
     rows gives the same target; a failed run leaves the target as it was.
     """
+    if spark.conf.get("spark.sql.ansi.enabled") != "true":
+        raise ValueError("a copy run needs spark.sql.ansi.enabled: without it overflow is NULL and small decimals get an exponent")
     run_id = run_id or new_run_id()
     log = RunLog(spark, plan.log_folder, run_id, plan.spec.target_table)
     log.add("source_started", message="the run started")

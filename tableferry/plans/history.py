@@ -93,7 +93,8 @@ def fold_states(lines: DataFrame) -> DataFrame:
     )
 
 
-_LATEST = ("last_line", "started", "staged", "opened", "pushed", "told", "finished", "refused")
+#: What a fold state keeps of the last line of each kind, each with its `pos`.
+FOLD_MEMBERS = ("last_line", "started", "staged", "opened", "pushed", "told", "finished", "refused")
 _SUMS = ("rows_pushed", "bytes", "ms", "mapping_issue_count")
 
 
@@ -109,7 +110,7 @@ def combine_states(states: DataFrame) -> DataFrame:
         F.col("run_id").isNull() | (F.col("run_id") == F.col("owner_run_id"))
     )
     folded = accepted.groupBy("run_record_id", F.col("owner_run_id").alias("run_id")).agg(
-        *[F.max(c).alias(c) for c in _LATEST],
+        *[F.max(c).alias(c) for c in FOLD_MEMBERS],
         F.min("implied").alias("implied"),
         *[F.sum(c).alias(c) for c in _SUMS],
     )

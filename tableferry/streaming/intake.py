@@ -16,7 +16,7 @@ from tableferry.operators.numbering import sequence_gaps
 from tableferry.operators.verify import batch_contiguity
 from tableferry.scratch import scratch_path, write_scratch
 from tableferry.sources.payload import parse_payloads, payload_rows
-from tableferry.sources.files import exists, remove
+from tableferry.sources.files import child_names, exists, remove
 
 # What tells the copies of a batch apart, in the order that decides which one is in force.
 _COPY = ("arrived_at", "source_file", "source_block", "source_line", "load")
@@ -67,7 +67,7 @@ def judge_lines(lines: DataFrame, run_states: DataFrame, columns: list[str]) ->
 
 
 def write_load(judged: DataFrame, staging_path: str, columns: list[str], load: str) -> None:
-    """Write one load: rows, ledger and quarantine, each replacing this load's own folder."""
+    """Write one load: rows, ledger and quarantine, each replacing all that this load wrote before."""
     accepted = judged.filter(F.col("reason").isNull())
     rows = payload_rows(
         accepted.withColumnRenamed("batch_no", "seq"),
@@ -79,7 +79,13 @@ def write_load(judged: DataFrame, staging_path: str, columns: list[str], load: s
     refused = judged.filter(F.col("reason").isNotNull()).select(
         "run_id", "batch_no", "source_file", "source_line", "value", "reason"
     )
-    refused.write.mode("overwrite").parquet(f"{staging_path}/quarantine/load={load}")
+    spark, quarantine = judged.sparkSession, f"{staging_path}/quarantine/load={load}"
+    if exists(spark, quarantine):
+        # An earlier attempt got this far, and may have staged runs of which this one refuses every row.
+        for name in ("rows", "ledger"):
+            for run in child_names(spark, f"{staging_path}/{name}"):
+                remove(spark, f"{staging_path}/{name}/{run}/load={load}")
+    refused.write.mode("overwrite").parquet(quarantine)
     for name, part in (("rows", rows), ("ledger", ledger)):
         (
             part.withColumn("load", F.lit(load))

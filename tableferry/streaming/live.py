@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tableferry.plans.history import combine_states, fold_states, join_accepted
+from tableferry.plans.history import FOLD_MEMBERS, combine_states, fold_states, join_accepted
 from tableferry.sources.files import exists
 
 
@@ -20,12 +20,14 @@ def log_stream(spark: SparkSession, folder: str, schema, max_files: int | None =
 def start_live_runs(lines: DataFrame, states_path: str, checkpoint: str):
     """Keep the fold state of every (record, run id) and write the ones each micro-batch changed.
 
-    Each epoch writes its own folder, so repeating an epoch replaces it; `live_runs` reads the
-    newest state of each pair.
+    Each epoch of each query writes its own folder, so repeating an epoch replaces it, and a query
+    with a new checkpoint replaces nothing; `live_runs` reads the newest state of each pair.
     """
 
     def save(changed: DataFrame, epoch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{states_path}/epoch={epoch}")
+        query = changed.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        stamped = changed.withColumn("written_at", F.current_timestamp())
+        stamped.write.mode("overwrite").parquet(f"{states_path}/epoch={query}-{epoch:012d}")
 
     return (
         fold_states(lines)
@@ -38,13 +40,19 @@ def start_live_runs(lines: DataFrame, states_path: str, checkpoint: str):
 
 
 def live_states(spark: SparkSession, states_path: str) -> DataFrame:
-    """Newest state of every (record, run id)."""
-    newest = Window.partitionBy("run_record_id", "run_id").orderBy(F.col("epoch").desc())
+    """Newest state of every (record, run id): the one that saw the last line, of equal ones the one written last.
+
+    A query that starts over, and is still behind, doesn't hide what an earlier one found.
+    """
+    seen = F.greatest(*[F.col(f"{member}.pos") for member in FOLD_MEMBERS])
+    newest = Window.partitionBy("run_record_id", "run_id").orderBy(
+        seen.desc_nulls_last(), F.col("written_at").desc(), F.col("epoch").desc()
+    )
     return (
         spark.read.parquet(states_path)
         .withColumn("_rank", F.row_number().over(newest))
         .filter("_rank = 1")
-        .drop("_rank", "epoch")
+        .drop("_rank", "epoch", "written_at")
     )
 
 

@@ -118,6 +118,22 @@ def test_seal_between_micro_batches(box):
     assert box.refused() == [(RUN, "RUN_SEALED")]
 
 
+def test_a_retried_epoch_keeps_only_what_it_accepts_now(box, spark):
+    """The run is sealed between two attempts of one epoch: its rows are refused, not staged as well."""
+    other = "20240102030405_00000d"
+    lines = [(f"{box.root}/incoming/{r}/b1.json", json.dumps(batch(1, (i, "a"))), 0) for r, i in ((RUN, "1"), (other, "2"))]
+    read = spark.createDataFrame(lines, "source_file string, value string, source_block bigint")
+    read = read.withColumn("arrived_at", F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    for sealed in (False, True):
+        box.sealed |= {RUN: sealed, other: False}
+        judged = intake.judge_lines(read, box.states(spark), COLUMNS)
+        intake.write_load(judged, box.staging, COLUMNS, "query-000000000000")
+        assert len(box.rows()) == (1 if sealed else 2)
+    assert box.rows() == [(1, 1, "2", "a")]
+    assert box.refused() == [(RUN, "RUN_SEALED")]
+    assert intake.read_ledger(spark, box.staging).count() == 1
+
+
 def test_abort(box, spark):
     other = "20240102030405_00000d"
     box.sealed[other] = False
@@ -152,3 +168,25 @@ def test_live_table_over_several_micro_batches(spark, sf_dir, tmp_path):
     streamed = live.live_runs(spark, str(tmp_path / "states"), _accepted(spark, sf_dir)).drop("run_params")
     batch_fold = history.run_history(log, _accepted(spark, sf_dir)).drop("run_params")
     assert streamed.exceptAll(batch_fold).count() == 0 and batch_fold.exceptAll(streamed).count() == 0
+
+
+def test_live_table_after_a_new_checkpoint(spark, sf_dir, tmp_path):
+    """A query that starts over reads all lines in one epoch; older states with higher epochs don't hide it."""
+    from workload.jobs import _accepted, _log
+
+    log = _log(spark, sf_dir)
+    names = iter("abcd")
+
+    def live_after(lines, max_files):
+        lines.coalesce(1).write.mode("append").json(str(tmp_path / "log"))
+        stream = live.log_stream(spark, str(tmp_path / "log"), log.schema, max_files=max_files)
+        live.start_live_runs(stream, str(tmp_path / "states"), str(tmp_path / next(names))).awaitTermination()
+        streamed = live.live_runs(spark, str(tmp_path / "states"), _accepted(spark, sf_dir)).drop("run_params")
+        return streamed
+
+    middle = log.approxQuantile("pos", [0.5], 0.01)[0]
+    log.filter(F.col("pos") < middle / 2).coalesce(1).write.json(str(tmp_path / "log"))
+    live_after(log.filter((F.col("pos") >= middle / 2) & (F.col("pos") < middle)), 1)
+    streamed = live_after(log.filter(F.col("pos") >= middle), None)
+    batch_fold = history.run_history(log, _accepted(spark, sf_dir)).drop("run_params")
+    assert streamed.exceptAll(batch_fold).count() == 0 and batch_fold.exceptAll(streamed).count() == 0
