@@ -396,6 +396,17 @@ def test_viterbi_is_the_best_path():
         assert abs(value(path, own) - max(value(p, own) for p in product(range(3), repeat=len(own)))) < 1e-4
 
 
+def test_language_paths_of_very_many_languages():
+    names = [f"l{k:03d}" for k in range(300)]
+    words = [chr(97 + k // 26) + "x" + chr(97 + k % 26) for k in range(300)]
+    logs = np.full((301, 300), -9.0, np.float32)
+    logs[np.arange(300), np.arange(300)] = -1.0
+    grams = {w: k for k, w in enumerate(words)}
+    model = language.Model(names, grams, logs, {"Latin": list(range(300))}, 0, 2.0, 6.0)
+    preds, scores, _ = model.predict([f"{w} {w} {w}" for w in words])
+    assert preds == names and scores == [1.0] * 300
+
+
 def test_language_is_right_on_held_out_documents(spark, sf_dir):
     from tableferry.llm.queries import QUERIES
 
