@@ -60,6 +60,17 @@ def digest(spark, p):
     return tuple(verify.table_digest(p.target.read(spark)).first())
 
 
+def test_a_run_needs_ansi_mode(spark, plan):
+    p = plan()
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(ValueError, match="ansi"):
+            run_copy(spark, p, rows(spark, *BASE))
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+    assert p.target.current(spark) is None
+
+
 def test_first_run_then_rerun(spark, plan):
     p = plan()
     first = run_copy(spark, p, rows(spark, *BASE))
