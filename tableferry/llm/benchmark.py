@@ -3,12 +3,13 @@
 Texts become templates: numbers, units that follow them and names are typed placeholders, all other words
 are themselves in lower case. Windows of five template words are joined by their hashes. An item is in a document
 that has at least 0.8 of its windows, if the placeholders agree: wherever the item has one value, the
-document has one value too, be it another.
+document has one value too, be it another. Where a document's places disagree as a whole, each alignment in it, a
+distance of places in the document from places in the item, is judged by itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableferry.llm.tables import kept, let, named, same
@@ -77,7 +78,7 @@ def leaks(
 
     `n_found` of the item's `n_windows` windows occur in the document. `kind` is `copy` if all aligned
     placeholders have the item's values and `variant` if they have other, consistent ones. `n_slots` counts the values of
-    the item that were compared. Texts that are null or have no words match nothing, nor do items whose windows hold
+    the item that were compared. If the places in the document disagree, all three are those of its best alignment. Texts that are null or have no words match nothing, nor do items whose windows hold
     fewer than two words; a text shorter than a window matches only an equally short one. Rows equal in id
     and text are one document or item; items that share an id but not a text count as one item.
     """
@@ -102,22 +103,81 @@ def leaks(
     doc_words = kept(_slots(doc_words, ["doc_id", "text_hash"]), "document-slots")
     item_words = kept(_slots(named(items, item_id=item_id_col, text=item_text_col).dropDuplicates(), ["item_id"]), "item-slots")
     # One row for each aligned pair of places: windows overlap, so places repeat.
-    places = aligned.select(*keys, "off", "pos", F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1))).alias("step"))
-    places = places.select(*keys, (F.col("off") + F.col("step")).alias("item_at"), (F.col("pos") + F.col("step")).alias("doc_at")).distinct()
-    i = item_words.select(F.col("item_id").alias("i_id"), F.col("at").alias("i_at"), F.col("word").alias("item_value"))
-    d = doc_words.select(F.col("doc_id").alias("d_id"), F.col("text_hash").alias("d_hash"), F.col("at").alias("d_at"), F.col("word").alias("doc_value"))
-    valued = places.join(i, places.item_id.eqNullSafe(F.col("i_id")) & (F.col("item_at") == F.col("i_at")))
-    valued = valued.join(d, valued.doc_id.eqNullSafe(F.col("d_id")) & (valued.text_hash == F.col("d_hash")) & (F.col("doc_at") == F.col("d_at")))
+    places = _places(aligned.select(*keys, "off", "pos"), (*keys,)).drop("off", "pos").distinct()
+    valued = _valued(places, item_words, doc_words)
     by_value = valued.groupBy(*keys, "item_value").agg(F.min("doc_value").alias("least"), F.max("doc_value").alias("most"))
     verdict = by_value.groupBy(*keys).agg(
         F.bool_and(F.col("least") == F.col("most")).alias("consistent"),
         F.bool_and((F.col("least") == F.col("item_value")) & (F.col("most") == F.col("item_value"))).alias("equal"),
         F.count("*").alias("n_slots"),
     )
-    judged = slotted.join(verdict, same(slotted, verdict, *keys), "left").filter(F.coalesce("consistent", F.lit(True)))
+    judged = slotted.join(verdict, same(slotted, verdict, *keys), "left")
+    judged = kept(judged.select(*[slotted[c] for c in keys], "n_windows", "n_found", "consistent", "equal", "n_slots"), "judged")
+    agreeing = judged.filter(F.coalesce("consistent", F.lit(True)))
     kind = F.when(F.coalesce("equal", F.lit(True)), "copy").otherwise("variant")
-    variants = judged.select(*[slotted[c] for c in keys], "n_windows", "n_found", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), kind.alias("kind"))
-    return plain.unionByName(variants)
+    variants = agreeing.select(*keys, "n_windows", "n_found", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), kind.alias("kind"))
+    mixed = judged.filter(~F.col("consistent"))
+    if mixed.isEmpty():
+        return plain.unionByName(variants)
+    pairs = mixed.select(*[F.col(c).alias(f"f_{c}") for c in keys])
+    places = aligned.join(pairs, _match(aligned, keys), "left_semi").select(*keys, "n_windows", "off", (F.col("pos") - F.col("off")).alias("at"))
+    return plain.unionByName(variants).unionByName(_best_alignments(kept(places, "mixed"), item_words, doc_words, keys, similarity))
+
+
+def _places(aligned: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """One row for each pair of places (item_at, doc_at) of each aligned pair of windows (off, pos)."""
+    steps = aligned.select(*by, "off", "pos", F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1))).alias("step"))
+    return steps.select(*by, "off", "pos", (F.col("off") + F.col("step")).alias("item_at"), (F.col("pos") + F.col("step")).alias("doc_at"))
+
+
+def _valued(places: DataFrame, item_words: DataFrame, doc_words: DataFrame) -> DataFrame:
+    """The pairs of places that are placeholders, with `item_value` and `doc_value`."""
+    i = item_words.select(F.col("item_id").alias("i_id"), F.col("at").alias("i_at"), F.col("word").alias("item_value"))
+    d = doc_words.select(F.col("doc_id").alias("d_id"), F.col("text_hash").alias("d_hash"), F.col("at").alias("d_at"), F.col("word").alias("doc_value"))
+    valued = places.join(i, places.item_id.eqNullSafe(F.col("i_id")) & (F.col("item_at") == F.col("i_at")))
+    return valued.join(d, valued.doc_id.eqNullSafe(F.col("d_id")) & (valued.text_hash == F.col("d_hash")) & (F.col("doc_at") == F.col("d_at")))
+
+
+def _best_alignments(
+    placed: DataFrame, item_words: DataFrame, doc_words: DataFrame, keys: tuple[str, ...], similarity: float
+) -> DataFrame:
+    """The rows of `leaks` for pairs (doc, item) whose windows (off, at) disagree, `at` being pos - off.
+
+    Each `at` is a seed. Windows there must agree with each other. Where it has none, as after an inserted or deleted
+    word, the nearest ones before and after it stand in if they agree with what lies nearer; others are left out.
+    """
+    seeds = placed.select(*[F.col(c).alias(f"f_{c}") for c in keys], F.col("at").alias("seed")).distinct()
+    asked = placed.select(*keys, "n_windows", "off").distinct().join(seeds, _match(placed, keys))
+    asked = asked.select(*keys, "n_windows", "off", F.col("seed").alias("at"), "seed", F.lit(None).cast("int").alias("hit"))
+    events = asked.unionByName(placed.select(*keys, "n_windows", "off", "at", F.lit(None).cast("int").alias("seed"), F.col("at").alias("hit")))
+    by_off = Window.partitionBy(*keys, "n_windows", "off").orderBy("at")
+    before = F.last("hit", ignorenulls=True).over(by_off.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first("hit", ignorenulls=True).over(by_off.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    near = events.select(*keys, "n_windows", "off", "seed", before.alias("before"), after.alias("after")).filter("seed IS NOT NULL")
+    near = near.select(*keys, "n_windows", "off", "seed", F.explode(F.array_distinct(F.array("before", "after"))).alias("at")).filter("at IS NOT NULL")
+    chosen = kept(near.withColumn("pos", F.col("at") + F.col("off")).drop("at"), "chosen")
+
+    at = (*keys, "n_windows", "seed")
+    valued = _valued(_places(chosen, at), item_words, doc_words)
+    far = F.abs(F.col("pos") - F.col("off") - F.col("seed"))
+    by_value = Window.partitionBy(*at, "item_value")
+    nearest = F.min(F.struct(far.alias("far"), F.col("doc_value").alias("value"))).over(by_value)["value"]
+    valued = valued.select(*at, "off", "pos", "item_value", (F.col("doc_value") == nearest).alias("agrees"), (F.col("doc_value") == F.col("item_value")).alias("equal"))
+    # Windows without placeholders have no values; one row of each window counts them in.
+    told = valued.unionByName(chosen, allowMissingColumns=True).groupBy(*at, "off", "pos").agg(
+        F.coalesce(F.bool_and("agrees"), F.lit(True)).alias("agrees"), F.bool_and("equal").alias("equal"), F.collect_set("item_value").alias("values")
+    )
+    own = F.col("pos") - F.col("off") == F.col("seed")
+    seen = told.groupBy(*at).agg(
+        F.bool_and(F.col("agrees") | ~own).alias("sound"),
+        F.countDistinct(F.when(F.col("agrees"), F.col("off"))).alias("n_found"),
+        F.coalesce(F.bool_and(F.when(F.col("agrees"), F.col("equal"))), F.lit(True)).alias("equal"),
+        F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("agrees"), F.col("values")))))).cast("bigint").alias("n_slots"),
+    )
+    passed = seen.filter(F.col("sound") & (F.col("n_found") >= F.lit(similarity) * F.col("n_windows")))
+    best = passed.groupBy(*keys, "n_windows").agg(F.max(F.struct("equal", "n_found", "n_slots")).alias("best"))
+    kind = F.when(F.col("best.equal"), "copy").otherwise("variant")
+    return best.select(*keys, "n_windows", F.col("best.n_found"), F.col("best.n_slots"), kind.alias("kind"))
 
 
 def _match(hits: DataFrame, keys: tuple[str, ...]) -> Column:

@@ -282,6 +282,21 @@ def test_leaks_cases(spark, docs, empty):
     assert benchmark.leaks(df, bench.limit(0)).count() == 0 and benchmark.leaks(df.limit(0), bench).count() == 0
 
 
+def test_leaks_are_judged_by_alignment(spark):
+    boxes = "A box holds 3 red balls and a box holds 5 red balls, how many red balls do both boxes hold together?"
+    eggs = "In the morning the farmer Bob sells 4 eggs on the market and keeps 12 eggs for the cake that his sister bakes on every single Sunday."
+    other = eggs.replace("Bob", "Tom").replace("4 eggs", "7 eggs").replace("12", "31")
+    stray = " Elsewhere the farmer Bob sells 9 eggs on the market again."
+    texts = [
+        (1, boxes), (2, "So. " + boxes.replace("3", "8").replace("5", "2")), (3, eggs + " And now. " + other), (4, other + " And now. " + eggs + stray),
+        (5, other + stray), (6, eggs.replace("keeps", "always keeps") + stray), (7, eggs.replace("Bob", "Tom")[:70] + stray),
+        (8, "Twice: a box holds 3 red balls and a box holds 5 red balls, how many red balls do both"),
+    ]
+    df, bench = spark.createDataFrame(texts, "doc_id int, text string"), spark.createDataFrame([(1, boxes), (2, eggs)], "item_id int, text string")
+    found = rows(benchmark.leaks(df, bench), "doc_id", "item_id", "kind")
+    assert found == [(1, 1, "copy"), (2, 1, "variant"), (3, 2, "copy"), (4, 2, "copy"), (5, 2, "variant"), (6, 2, "copy"), (8, 1, "copy")]
+
+
 def test_template_words_of_names_numbers_and_units(spark):
     df = spark.createDataFrame([("The Fox met Anna Maria Lee at 3.5 km. Then 7 dogs ran; 20 Kilos of x3.",)], "text string")
     words = df.select(benchmark.template_words(F.col("text"), values=True).alias("w")).first().w
