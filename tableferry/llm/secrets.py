@@ -1,8 +1,8 @@
 """Secrets in texts, also under nested encodings.
 
 A worklist holds layers of a text: the text itself, and what its URL, Unicode, base64 and compressed
-parts decode to, until nothing new decodes. A layer that was seen before is not opened again, so
-cycles end. Each layer is scanned anew, and what is found is mapped to the span in the text itself.
+parts decode to, until nothing new decodes. A layer that was seen before at the same place is not opened
+again, so cycles end. Each layer is scanned anew, and what is found is mapped to the span in the text itself.
 """
 
 from __future__ import annotations
@@ -110,6 +110,17 @@ class Layer:
         here, there, stop, exact = self.edges[last]
         return begin, (there + end - here if exact else stop)
 
+    def mark(self) -> bytes:
+        """A digest of the characters and where they come from.
+
+        In a layer of several edges these are the starts, and pieces of one encoded part count as one: a part read
+        with and without its padding decodes to the same further layers.
+        """
+        places = [e[1:3] for e in self.edges]
+        if len(self.edges) > 1:
+            places = [e[:2] for k, e in enumerate(self.edges) if not k or e[3] or e[1:] != self.edges[k - 1][1:]]
+        return hashlib.blake2b(f"{places}\0{self.text}".encode("utf-8", "replace"), digest_size=16).digest()
+
     def replaced(self, parts: list[tuple[int, int, str]]) -> Layer:
         """The layer with the given spans decoded; the rest keeps its characters."""
         text, edges, at, size = [], [], 0, 0
@@ -165,16 +176,14 @@ def find(text: str) -> tuple[list[Span], list[Span], int]:
     base = sorted(scan(text))
     every, unopened = set(base), 0
     if text:
-        seen = {hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest()}
         work = [Layer(text, [(0, 0, len(text), True)])]
+        seen = {work[0].mark()}
         while work:
             for inner, large in _layers(work.pop()):
                 if inner is None:
                     unopened += large
                     continue
-                mark = hashlib.blake2b(
-                    f"{inner.edges[0][1:3] if len(inner.edges) == 1 else ''}\0{inner.text}".encode("utf-8", "replace"), digest_size=16
-                ).digest()
+                mark = inner.mark()
                 if mark in seen:
                     continue
                 seen.add(mark)

@@ -354,6 +354,15 @@ def test_nested_secrets_are_mapped(n):
         assert decoded == SECRET
 
 
+def test_equal_encoded_parts_are_opened_at_each_place():
+    for inner in (f"key {SECRET} end".replace("IAA", "IA%41"), f"key {SECRET} end".replace("IAA", "IA\\u0041")):
+        once = base64.b64encode(inner.encode()).decode()
+        twice = base64.b64encode(f"x {once} y {once} z".encode()).decode()
+        text = f"first {once} then {once} and {twice} last {once}."
+        places = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+/=]{16,}", text)]
+        assert secrets.find(text) == ([], [(a, 1, b) for a, b in places], 0) and len(places) == 4
+
+
 def test_base_secrets_and_bombs(spark, docs):
     text = f"Passwd : 'aB3/aB3/aB3_' api-key=short token=tokenpassword=abcdefghijkl {SECRET} AKIA1 0123456789abcdef0 deadbeef ſecret=abcdefghijklmnop"
     base, spans, _ = secrets.find(text)
