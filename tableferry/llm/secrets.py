@@ -8,7 +8,6 @@ again, so cycles end. Each layer is scanned anew, and what is found is mapped to
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -35,6 +34,9 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 _URL = re.compile(r"%[0-7][0-9A-Fa-f]|(?:%[89A-Fa-f][0-9A-Fa-f])+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs broken into lines; each line after the first holds nothing else.
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+(?![^\s=]))+={0,2}")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
 #: The first bytes of compressed data: gzip, zlib, bzip2, xz.
 _UNPACK: tuple[tuple[bytes, Callable[[], object]], ...] = (
     (b"\x1f\x8b", lambda: zlib.decompressobj(31)),
@@ -42,7 +44,7 @@ _UNPACK: tuple[tuple[bytes, Callable[[], object]], ...] = (
     (b"\x78\x9c", zlib.decompressobj), (b"\x78\xda", zlib.decompressobj),
     (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ\x00", lzma.LZMADecompressor),
 )
-#: Compressed data that unpacks to more bytes than this isn't opened but counted as `unopened`.
+#: Compressed data that unpacks to more bytes a member than this isn't opened but counted as `unopened`.
 LAYER_BYTES = 16 << 20
 
 Span = tuple[int, int, int]  # start, number of the kind, end
@@ -57,40 +59,63 @@ def scan(text: str) -> list[Span]:
     return found
 
 
-def _readable(data: bytes) -> str | None:
-    """`data` as text, if it is text: UTF-8 with hardly any control characters."""
+def _views(data: bytes) -> Iterator[str]:
+    """`data` as text: UTF-8 or else Latin-1, which keeps all that is ASCII; without zeros too, for UTF-16."""
     try:
-        text = data.decode("utf-8")
+        yield data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    odd = sum(c < " " and c not in "\t\n\r" or c == "\x7f" for c in text[:4096])
-    return text if text and odd * 20 <= min(len(text), 4096) else None
+        yield data.decode("latin-1")
+    if b"\0" in data:
+        yield data.replace(b"\0", b"").decode("latin-1")
 
 
-def _unpack(data: bytes) -> tuple[str | None, bool]:
-    """Text of compressed or plain bytes, and whether it was too large to open."""
-    for _ in range(64):
-        opener = next((o for magic, o in _UNPACK if data.startswith(magic)), None)
-        if opener is None:
-            break
+def _inflated(data: bytes, at: int) -> tuple[bytes | None, int]:
+    """What the compressed members from `at` on hold and where the last whole one ends; None if the first is too large."""
+    members, left = [], LAYER_BYTES
+    while opener := next((o for magic, o in _UNPACK if data.startswith(magic, at)), None):
+        tool, pos, size, member = opener(), at, 256, []
         try:
-            tool = opener()
-            data = tool.decompress(data, LAYER_BYTES + 1)
+            while pos < len(data) and not tool.eof and left >= 0:
+                piece = data[pos : pos + size]
+                member.append(tool.decompress(piece, left + 1))
+                left -= len(member[-1])
+                pos += len(piece) - len(tool.unused_data)
+                size = min(2 * size, 1 << 16)
         except (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError):
-            return None, False
-        if len(data) > LAYER_BYTES:
-            return None, True
-    return _readable(data), False
+            pass  # Damaged data counts as far as it went.
+        if left < 0:
+            return b"".join(members) if members else None, at
+        members += member
+        if not tool.eof:
+            break
+        at = pos
+    return b"".join(members), at
 
 
-def _decoded(token: str) -> tuple[str | None, bool]:
+def _unpack(data: bytes, depth: int = 64) -> Iterator[tuple[str | None, bool]]:
+    """Texts of plain bytes and of compressed data anywhere in them; None and True for what is too large to open."""
+    at, plain = 0, 0
+    while depth and (m := _MAGIC.search(data, at)):
+        inner, end = _inflated(data, m.start())
+        if inner is None:
+            yield None, True
+        elif inner:
+            yield from _unpack(inner, depth - 1)
+        at = m.start() + 1
+        if end > m.start():
+            # Only whole members are left out of what is read as it is.
+            yield from ((t, False) for t in _views(data[plain : m.start()]))
+            at = plain = end
+    yield from ((t, False) for t in _views(data[plain:]))
+
+
+def _decoded(token: str) -> Iterator[tuple[str | None, bool]]:
+    """What a run of base64 characters holds, wherever in its first four the data begins."""
     core = token.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(core) % 4 == 1:
-        return None, False
-    try:
-        return _unpack(base64.b64decode(core + "=" * (-len(core) % 4), validate=True))
-    except (binascii.Error, ValueError):
-        return None, False
+    for start in range(4):
+        size = len(core) - start
+        part = core[start : len(core) - (size % 4 == 1)]
+        yield from _unpack(base64.b64decode(part + "=" * (-len(part) % 4)))
 
 
 class Layer:
@@ -163,12 +188,14 @@ def _layers(layer: Layer) -> Iterator[tuple[Layer | None, bool]]:
         parts = [(m.start(), m.end(), d) for m in _ESCAPE.finditer(text) if (d := _escaped(m))]
         if parts:
             yield layer.replaced(parts), False
-    for m in _BASE64.finditer(text):
-        inner, large = _decoded(m.group())
-        if inner is not None:
-            yield Layer(inner, [(0, *layer.origin(m.start(), m.end()), False)]), False
-        elif large:
-            yield None, True
+    runs = [(m.start(), m.end(), m.group()) for m in _BASE64.finditer(text)]
+    runs += [(m.start(), m.end(), "".join(m.group().split())) for m in _LINES.finditer(text)]
+    for start, end, token in runs:
+        for inner, large in _decoded(token):
+            if inner:
+                yield Layer(inner, [(0, *layer.origin(start, end), False)]), False
+            elif large:
+                yield None, True
 
 
 def find(text: str) -> tuple[list[Span], list[Span], int]:

@@ -1,8 +1,10 @@
 """The text operations against brute force, and on nulls, empty and repeated rows, and clashing columns."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import zlib
@@ -363,6 +365,25 @@ def test_equal_encoded_parts_are_opened_at_each_place():
         assert secrets.find(text) == ([], [(a, 1, b) for a, b in places], 0) and len(places) == 4
 
 
+def test_members_bytes_lines_and_alignments_are_opened():
+    key = f" key {SECRET} end"
+    b64 = lambda b: base64.b64encode(b).decode()
+    noise = random.Random(3).randbytes(3000)
+    for data in (
+        gzip.compress(b"first member") + gzip.compress(key.encode()), bz2.compress(b"first") + bz2.compress(key.encode()),
+        lzma.compress(b"first") + lzma.compress(key.encode()), gzip.compress(b"first") + key.encode(), b"head" + gzip.compress(key.encode()),
+        f"caf\xe9{key}".encode("latin-1"), key.encode("utf-16"), b"\1\2\3\4" * 50 + key.encode(), noise + key.encode() + noise, b"BZh" + key.encode(),
+        gzip.compress(noise)[:-900] + key.encode(), b"x\x9c" * 2000 + key.encode(),
+    ):
+        for path in ("", "/a", "/cb", "/cb/", "dir/x/"):
+            found = secrets.find(f"see {path}{b64(data)} there")
+            assert found[1:] == ([(4, 1, 4 + len(path) + len(b64(data)))], 0)
+    for width in (61, 64, 76):
+        code = b64(gzip.compress(noise + key.encode()))
+        broken = "\r\n".join(code[k : k + width] for k in range(0, len(code), width))
+        assert (4, 1, 4 + len(broken)) in secrets.find(f"see {broken}\nthe end of it")[1]
+
+
 def test_base_secrets_and_bombs(spark, docs):
     text = f"Passwd : 'aB3/aB3/aB3_' api-key=short token=tokenpassword=abcdefghijkl {SECRET} AKIA1 0123456789abcdef0 deadbeef ſecret=abcdefghijklmnop"
     base, spans, _ = secrets.find(text)
