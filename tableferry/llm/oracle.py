@@ -109,3 +109,55 @@ sized AS (SELECT *, head || body || '{end}' AS block,
 SELECT conv_id, perspective, part::BIGINT AS part, count(*)::INT AS n_turns, sha256(string_agg(block, '' ORDER BY place)) AS text_sha256,
   coalesce(string_agg(start || '-' || (start + len(body) + {chat.MASKED_END}), ',' ORDER BY place) FILTER (mine), '') AS mask
 FROM sized GROUP BY conv_id, perspective, part"""
+
+
+def merkle(documents: str = "documents") -> str:
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def digest(text: str) -> str:
+        values = [f"{c}::VARCHAR" for c in ("doc_id", "source", "lang", "n_chars", text)]
+        return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+    # CRC-32, bit by bit: every byte is mixed in before the first of its eight shifts.
+    shifts = "flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda d: [ascii(d)::UBIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    mixed = "xor(c, s)"
+    crc = f"xor(list_reduce({shifts}, lambda c, s: xor({mixed} >> 1, 3988292384 * ({mixed} & 1)), 4294967295::UBIGINT), 4294967295)"
+    return f"""
+WITH RECURSIVE leaves AS (SELECT doc_id, source, {digest("text")} AS leaf,
+  CASE WHEN {crc} % 5 = 0 THEN {digest(lower)} END AS claim FROM {documents}),
+ranked AS (SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+  count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS grp FROM leaves),
+tree AS (SELECT 0 AS lvl, grp, pos, n, leaf AS digest FROM ranked
+  UNION ALL SELECT lvl + 1, grp, pos // 16, any_value((n + 15) // 16), sha256(string_agg(digest, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY lvl, grp, pos // 16),
+subroots AS (SELECT grp, digest AS subroot FROM tree WHERE n = 1),
+crown AS (SELECT 0 AS lvl, grp AS pos, count(*) OVER () AS n, subroot AS digest FROM subroots
+  UNION ALL SELECT lvl + 1, pos // 16, any_value((n + 15) // 16), sha256(string_agg(digest, '' ORDER BY pos)) FROM crown WHERE n > 1 GROUP BY lvl, pos // 16),
+root AS (SELECT digest AS root FROM crown WHERE n = 1),
+beside AS (SELECT rid, lvl, r.pos // (16 ** lvl)::BIGINT AS own, t.pos, t.digest FROM ranked r JOIN tree t
+    ON t.grp = r.grp AND t.n > 1 AND t.pos // 16 = r.pos // (16 ** (lvl + 1))::BIGINT
+  UNION ALL SELECT rid, 100 + lvl, grp // (16 ** lvl)::BIGINT, c.pos, c.digest FROM ranked r JOIN crown c
+    ON c.n > 1 AND c.pos // 16 = grp // (16 ** (lvl + 1))::BIGINT),
+segments AS (SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY lvl) AS step,
+  coalesce(string_agg(digest, '' ORDER BY pos) FILTER (WHERE pos < own), '') AS l,
+  coalesce(string_agg(digest, '' ORDER BY pos) FILTER (WHERE pos > own), '') AS r FROM beside GROUP BY rid, lvl),
+fold AS (SELECT rid, 0::BIGINT AS step, coalesce(claim, leaf) AS digest FROM ranked
+  UNION ALL SELECT rid, s.step, sha256(l || digest || r) FROM fold JOIN segments s USING (rid) WHERE s.step = fold.step + 1),
+paths AS (SELECT rid, sha256(coalesce(string_agg(l || r, '' ORDER BY step), '')) AS proof_sha256 FROM ranked LEFT JOIN segments USING (rid) GROUP BY rid)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM ranked JOIN subroots USING (grp) CROSS JOIN root JOIN paths USING (rid)
+JOIN (SELECT rid, arg_max(digest, step) AS folded_root FROM fold GROUP BY rid) USING (rid)"""
+
+
+def near_copies(documents: str = "documents") -> str:
+    return f"""
+WITH RECURSIVE split AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM {documents}),
+sets AS (SELECT rid, doc_id, CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles FROM split),
+entries AS (SELECT rid, len(shingles) AS n, unnest(shingles) AS shingle FROM sets),
+links AS (SELECT a.rid AS x, b.rid AS y FROM entries a JOIN entries b USING (shingle) WHERE a.rid <> b.rid
+  GROUP BY a.rid, b.rid HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT rid, rid AS other FROM sets UNION SELECT r.rid, l.y FROM reach r JOIN links l ON l.x = r.other)
+SELECT any_value(s.doc_id) AS doc_id, any_value(len(s.shingles)) AS n_shingles, min(o.doc_id) AS component_id,
+  coalesce(any_value(s.doc_id) = min(o.doc_id), false) AS kept
+FROM reach r JOIN sets s ON s.rid = r.rid JOIN sets o ON o.rid = r.other GROUP BY r.rid"""

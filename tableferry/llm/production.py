@@ -17,6 +17,9 @@ LANGUAGE_LEAST_SCORE = 0.4
 RUN_LINES, RUN_CHARS = 2, 40
 SHINGLE, MAX_BITS = 3, 3
 
+#: Folder of the public vocabulary files, on the driver.
+TOKENIZERS = "/opt/tokenizers"
+
 
 def domain():
     """Domain of a source by the number in its name: up to 1 core, up to 12 wide, the rest and names without one rare."""

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableferry.llm import oracle
+from tableferry.llm import oracle, production
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -70,8 +71,6 @@ def op10_quality_classifier(spark, sf_dir):
 
 @query
 def op3_mixture(spark, sf_dir):
-    from tableferry.llm import production
-
     mixed = production.mixed(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", "mix_epoch", "mix_tokens", "mix_taken")
 
@@ -116,9 +115,45 @@ def op8_repeated_substrings(spark, sf_dir):
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    from tableferry.llm import merkle
+
+    documents, fields = table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = F.translate("text", ascii_uppercase, ascii_lowercase)
+    tampered = merkle.leaf_digest(*[changed if f == "text" else F.col(f) for f in fields])
+    claim = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, tampered)
+    tree = merkle.manifest(documents, "source", "doc_id", fields, doc_id=F.col("doc_id"), claim=claim)
+    found = merkle.proofs(tree)
+    root = F.lit(None if tree.root is None else tree.root.hex())
+    return found.select(
+        "doc_id", merkle.hexed(F.col("digest")).alias("leaf"), merkle.hexed(F.col("subroot")).alias("subroot"), root.alias("root"),
+        F.sha2(merkle.path_text(F.col("path")), 256).alias("proof_sha256"),
+        merkle.folded(F.coalesce("claim", "digest"), F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op12_token_alignment(spark, sf_dir):
+    from tableferry.llm import alignment
+
+    found = alignment.align(table(spark, sf_dir, "documents"), production.TOKENIZERS)
+    columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", F.col("count_sum").cast("bigint"), "groups_sha256", "n_shared"]
+    return found.select(*columns)
+
+
+@query
+def op13_minhash_near_dedup(spark, sf_dir):
+    from tableferry.llm import forest
+
+    return forest.groups(table(spark, sf_dir, "documents"), words=5, percent=85)
+
+
 ORACLE: dict[str, str] = {
     "op3_mixture": oracle.mixture(),
     "op4_chat_perspectives": oracle.perspectives(),
     "op6_line_dedup": oracle.line_dedup(),
     "op9_benchmark_decontamination": oracle.leaks(),
+    "op11_merkle_manifest": oracle.merkle(),
+    "op13_minhash_near_dedup": oracle.near_copies(),
 }

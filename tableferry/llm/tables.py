@@ -28,13 +28,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str | int = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces of bounded size."""
+def steps(batches: Iterator[pa.RecordBatch], text: str | int = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of at most `most` bytes of text; a longer text is a piece by itself."""
     for batch in batches:
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
         first = held = 0
         for i, size in enumerate(sizes):
-            if held and held + size > STEP_BYTES:
+            if held and held + size > most:
                 yield batch.slice(first, i - first)
                 first, held = i, 0
             held += size
