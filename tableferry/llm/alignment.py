@@ -26,9 +26,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tableferry.llm.tables import kept, named, steps, utf8
 
-#: Text bytes whose tokens are held at once, also the unit that gets a table of pair counts;
-#: scalar products of one block of rows.
-CHUNK_BYTES, BLOCK = 4 << 20, 1 << 20
+#: Text bytes whose matrices are held at once; text bytes of a chunk, the unit that gets a table of
+#: pair counts; scalar products of one block of rows.
+STEP_BYTES, CHUNK_BYTES, BLOCK = 1 << 19, 8 << 20, 1 << 18
 #: An id pair is one number; both vocabularies are smaller than this.
 IDS = 1 << 16
 
@@ -250,32 +250,49 @@ def chunks(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = Tokenizers(byte_level, piece_model)
         pack, part = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
-        for number, batch in enumerate(steps(batches, most=CHUNK_BYTES)):
-            ids = [both.encode(t) for t in utf8(batch)]
+        number = held = 0
+        codes, counts = [], []
+
+        def of(columns: dict) -> pa.RecordBatch:
+            arrays = [c if isinstance(c := columns.get(f.name), pa.Array) else pa.array(c, f.type) for f in arrow]
+            return pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
+        def totals() -> pa.RecordBatch:
+            pairs, times = _sorted_counts(codes, counts)
+            packed = {"pairs": [pack.compress(pairs.tobytes())], "pair_counts": [pack.compress(times.tobytes())]}
+            return of({f.name: [None] for f in arrow} | {"chunk": [f"{part}-{number}"]} | packed)
+
+        for batch in steps(batches, most=STEP_BYTES):
+            texts = utf8(batch)
+            ids = [both.encode(t) for t in texts]
             step = Aligned([a for a, _ in ids], [b for _, b in ids], a_lengths, b_lengths)
-            links, codes, counts = np.zeros(len(step.a), np.int64), [], []
+            links = np.zeros(len(step.a), np.int64)
             for row, code in step.codes():
                 links[row[0] : row[-1] + 1] += np.bincount(row - row[0])
                 distinct, times = np.unique(code, return_counts=True)
                 codes.append(distinct)
                 counts.append(times)
-            pairs, times = _sorted_counts(codes, counts)
             link_stops = np.concatenate(([0], np.cumsum(links)))[step.a_stops]
             rows = batch.num_rows
             columns = {
-                "chunk": [f"{part}-{number}"] * (rows + 1),
-                "doc_id": pa.concat_arrays([batch.column(0), pa.nulls(1, batch.column(0).type)]),
-                "groups": [*step.group_texts(), None],
-                "a": [pack.compress(a.tobytes()) for a, _ in ids] + [None],
-                "b": [pack.compress(b.tobytes()) for _, b in ids] + [None],
-                "pairs": [None] * rows + [pack.compress(pairs.tobytes())],
-                "pair_counts": [None] * rows + [pack.compress(times.tobytes())],
+                "chunk": [f"{part}-{number}"] * rows,
+                "doc_id": batch.column(0),
+                "groups": step.group_texts(),
+                "a": [pack.compress(a.tobytes()) for a, _ in ids],
+                "b": [pack.compress(b.tobytes()) for _, b in ids],
+                "pairs": [None] * rows,
+                "pair_counts": [None] * rows,
             }
             for name, stops in zip(LENGTHS, (step.a_stops, step.b_stops, step.n_groups(), link_stops, step.n_shared())):
-                columns[name] = [*_deltas(stops).tolist(), None]
-            yield pa.RecordBatch.from_arrays(
-                [c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in arrow], schema=arrow
-            )
+                columns[name] = _deltas(stops)
+            yield of({k: pa.array(c) if isinstance(c, np.ndarray) else c for k, c in columns.items()})
+            held += sum(map(len, texts))
+            if held > CHUNK_BYTES - STEP_BYTES:
+                yield totals()
+                number, held = number + 1, 0
+                codes, counts = [], []
+        if held:
+            yield totals()
 
     return named(docs, doc_id=id_col, text=text_col).mapInArrow(run, schema)
 
@@ -324,25 +341,39 @@ def align(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
 
     def weigh(left: pa.Table, right: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
-        ids = [[np.frombuffer(unpack.decompress(x), np.uint16) for x in left.column(c).to_pylist()] for c in ("a", "b")]
-        step = Aligned(*ids, a_lengths, b_lengths)
         order = np.argsort(pairs := right.column("pair").to_numpy())
         pairs, links = pairs[order], right.column("links").to_numpy()[order]
         is_best = right.column("best").to_numpy(zero_copy_only=False)[order]
         best, total = np.zeros(left.num_rows, np.int64), [0] * left.num_rows
-        for row, code in step.codes():
-            place = np.searchsorted(pairs, code)
-            doc = np.searchsorted(step.a_stops, row, "right")
-            best += np.bincount(doc[is_best[place]], minlength=left.num_rows)
-            starts = np.flatnonzero(np.diff(doc, prepend=-1))
-            for d, s in zip(doc[starts].tolist(), _exact_sums(links[place], starts)):
-                total[d] += s
+        for first, stop in _pieces(left.column("n_a").to_numpy()):
+            part = left.slice(first, stop - first)
+            ids = [[np.frombuffer(unpack.decompress(x), np.uint16) for x in part.column(c).to_pylist()] for c in ("a", "b")]
+            step = Aligned(*ids, a_lengths, b_lengths)
+            for row, code in step.codes():
+                place = np.searchsorted(pairs, code)
+                doc = np.searchsorted(step.a_stops, row, "right") + first
+                best += np.bincount(doc[is_best[place]], minlength=left.num_rows)
+                starts = np.flatnonzero(np.diff(doc, prepend=-1))
+                for d, s in zip(doc[starts].tolist(), _exact_sums(links[place], starts)):
+                    total[d] += s
         columns = [left.column(f.name) for f in out[:-2]] + [pa.array(best), pa.array(list(map(Decimal, total)), pa.decimal128(38, 0))]
         return pa.table(columns, names=[f.name for f in out])
 
     return rows.groupBy("chunk").cogroup(needed.groupBy("chunk")).applyInArrow(weigh, out)
 
 
+def _pieces(tokens: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about a step's tokens; a longer document is a range by itself."""
+    first = held = 0
+    for i, n in enumerate(tokens.tolist()):
+        if held and held + n > STEP_BYTES // 2:
+            yield first, i
+            first, held = i, 0
+        held += n
+    if first < len(tokens):
+        yield first, len(tokens)
+
+
 def _exact_sums(values: np.ndarray, starts: np.ndarray) -> list[int]:
     """Sums of runs of values without overflow: high and low halves are added apart."""
     if not len(starts):
@@ -363,7 +394,7 @@ def token_links(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = Tokenizers(byte_level, piece_model)
-        for batch in steps(batches, most=CHUNK_BYTES):
+        for batch in steps(batches, most=STEP_BYTES):
             ids = [both.encode(t) for t in utf8(batch)]
             step = Aligned([a for a, _ in ids], [b for _, b in ids], a_lengths, b_lengths)
             for row, column in step.shared() if shared else step.overlaps():

@@ -75,7 +75,9 @@ def docs(spark):
 
 
 def test_alignment_matches_plain_loops(docs, monkeypatch):
+    monkeypatch.setattr(alignment, "STEP_BYTES", 1000)
     monkeypatch.setattr(alignment, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(alignment, "BLOCK", 500)
     texts = [t for _, t, _, _ in CASES + MORE]
     expected = brute(texts)
     counts = Counter((a[x], b[y]) for a, b, _, _, links, _ in expected for x, y in links)
