@@ -5,8 +5,9 @@ hashes under that order's hash functions. Sorted by label, sets with a common pr
 side; a run of equal prefixes is a region, and its members are candidates. The prefix is adapted to
 each region: where a region has many members of several components, these members go on to a
 level of deeper prefixes and more orders. At each level there are so many orders that a pair of the
-least likeness shares no prefix with a chance of less than one in a million. Candidates are
-confirmed on their full sets.
+least likeness shares no prefix with a chance of less than one in a million. Candidates whose first
+level's minima agree too seldom for such a pair, by the same chance, go; the others are confirmed on
+their full sets.
 """
 
 from __future__ import annotations
@@ -35,6 +36,16 @@ def orders_needed(percent: int, depth: int) -> int:
     return math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** depth)))
 
 
+def agreements_needed(percent: int, minima: int) -> int:
+    """Equal minima below which a pair of the least likeness stays with chance MISS at most."""
+    p, below = percent / 100, 0.0
+    for equal in range(minima + 1):
+        below += math.comb(minima, equal) * p**equal * (1 - p) ** (minima - equal)
+        if below > MISS:
+            return equal
+    return minima
+
+
 def shingle_set(text: bytes, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a UTF-8 text, A-Z in lower case.
 
@@ -90,29 +101,19 @@ def _prints(docs: DataFrame, words: int, depth: int, orders: int) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {id_type}, text_hash bigint, key binary, n bigint, labels binary")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(key, shingles) of every row that has words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            sets = [s for t in utf8(batch) if len(s := shingle_set(t, words))]
-            keys = pa.array([_set_key(s) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([keys, pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "shingles"])
-
-    return docs.select("text").mapInArrow(run, "key binary, shingles binary")
-
-
-def _labelled(sets: DataFrame, depth: int, orders: int) -> DataFrame:
-    """(key, n, labels) of sets (key, shingles)."""
+def _deeper(sets: DataFrame, depth: int, orders: int) -> DataFrame:
+    """Entries (ord, label, key, n) of sets (key, shingles), labelled once; the work is dealt by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shingles = [np.frombuffer(s, np.uint64) for s in batch.column("shingles").to_pylist()]
-            found = [labels(s, depth, orders).tobytes() for s in shingles]
-            columns = [batch.column("key"), pa.array([len(s) for s in shingles], pa.int64()), pa.array(found, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "labels"])
+            for key, packed in zip(batch.column("key").to_pylist(), batch.column("shingles").to_pylist()):
+                shingles = np.frombuffer(packed, np.uint64)
+                found = [row.tobytes() for row in labels(shingles, depth, orders)]
+                columns = [pa.array(range(orders), pa.int32()), pa.array(found, pa.binary()), pa.array([key] * orders, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([len(shingles)] * orders, pa.int64())], ["ord", "label", "key", "n"])
 
-    return sets.select("key", "shingles").mapInArrow(run, "key binary, n bigint, labels binary")
+    dealt = sets.select("key", "shingles").repartition("key")
+    return kept(dealt.mapInArrow(run, "ord int, label binary, key binary, n bigint"), "entries")
 
 
 def _side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,20 +152,77 @@ def _side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from decided(held, done, held.num_rows, start, True)
 
 
-def _neighbours(labelled: DataFrame, depth: int, orders: int) -> DataFrame:
+def _entries(classes: DataFrame, depth: int, orders: int) -> DataFrame:
+    """Entries (ord, label, key, n) of classes with labels."""
+    width = 2 * depth
+    return classes.select("key", "n", "labels", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("ord")).select(
+        "ord", F.substring("labels", F.col("ord") * width + 1, F.lit(width)).alias("label"), "key", "n"
+    )
+
+
+def _neighbours(entries: DataFrame) -> DataFrame:
     """Members (ord, label, key, n, prev, prev_n) of the regions: the rows of every sorted order that share a label.
 
     In a region, rows are in another pseudo-random order in each order of the forest.
     """
-    width = 2 * depth
-    entries = labelled.select("key", "n", "labels", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("ord")).select(
-        "ord", F.substring("labels", F.col("ord") * width + 1, F.lit(width)).alias("label"), "key", "n"
-    )
     order = [F.col("ord"), F.col("label"), F.xxhash64("key", "ord")]
     ranged = entries.repartitionByRange(*order).sortWithinPartitions(*order)
     return ranged.mapInArrow(_side_by_side, "ord int, label binary, key binary, n bigint, prev binary, prev_n bigint")
 
 
+def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int, minima: int) -> DataFrame:
+    """Of candidate pairs (a, b) those whose first labels agree often enough."""
+    least = agreements_needed(percent, minima)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, minima) for c in ("a_labels", "b_labels")
+            )
+            likely = (left == right).sum(axis=1) >= least
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(likely))
+
+    left = classes.select(F.col("key").alias("a"), F.col("labels").alias("a_labels"))
+    right = classes.select(F.col("key").alias("b"), F.col("labels").alias("b_labels"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_labels", "b_labels").mapInArrow(run, "a binary, b binary")
+
+
+#: Bits of the filter of text hashes that decides which rows' sets are built again: 8 MB at any size of the tables.
+FILTER_BITS = 26
+
+
+def _read_again(source: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(key, shingles) of the rows (doc_id, text_hash) in `wanted`, each key once.
+
+    Texts stay where they are read: a filter of fixed size over the text hashes picks rows, and
+    only the sets of these move, to meet the exact list.
+    """
+    bit = F.col("text_hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    marks = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")
+    ).toArrow()
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    table[marks.column("word").to_numpy()] = marks.column("bits").to_numpy()
+    id_type = source.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            bits = whole.column("text_hash").to_numpy() & ((1 << FILTER_BITS) - 1)
+            listed = (table[bits >> 6] >> (bits & 63)) & 1
+            for batch in steps(iter([whole.filter(pa.array(listed.astype(bool)))])):
+                sets = [shingle_set(t, words) for t in utf8(batch)]
+                keys = [_set_key(x) if len(x) else None for x in sets]
+                columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(keys, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "text_hash", "key", "shingles"])
+
+    found = source.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        run, f"doc_id {id_type}, text_hash bigint, key binary, shingles binary"
+    )
+    same = found["doc_id"].eqNullSafe(wanted["doc_id"]) & (found["text_hash"] == wanted["text_hash"])
+    exact = found.filter("key IS NOT NULL").join(wanted, same, "left_semi")
+    return exact.groupBy("key").agg(F.any_value("shingles").alias("shingles"))
+
+
 def _alike(percent: int):
     """Sets of these sizes can be alike."""
     return F.expr(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
@@ -242,37 +300,38 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
         F.min(first).alias("first"), F.any_value("n").alias("n"), F.any_value("labels").alias("labels"), F.count("*").alias("copies")
     )
     classes = kept(classes.select("key", "first.doc_id", "first.text_hash", "n", "labels", "copies"), "classes")
-    labelled, sets, links, comps = classes.select("key", "n", "labels"), None, None, None
+    minima = DEPTHS[0] * first_orders
+    entries, sets, links, comps = _entries(classes, DEPTHS[0], first_orders), None, None, None
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Distinct pairs (a, b) that can be alike and lie in different components."""
+        pairs = pairs.filter(_alike(percent)).select("a", "b").distinct()
+        return kept(_agreeing(pairs if comps is None else _apart(pairs, comps), classes, percent, minima), "pairs")
+
     for depth in DEPTHS:
-        members = kept(_neighbours(labelled, depth, orders_needed(percent, depth)), "members")
+        members = kept(_neighbours(entries), "members")
         sizes = members.groupBy("ord", "label").agg(F.count("*").alias("members")).filter("members > 1")
-        pairs = _candidates(members, sizes).filter(_alike(percent)).select("a", "b").distinct()
+        pairs = likely(_candidates(members, sizes))
         if sets is None:
-            shared = members.join(sizes, ["ord", "label"], "left_semi").select("key").distinct()
-            wanted = kept(classes.join(shared, "key", "left_semi").select("doc_id", "text_hash"), "wanted")
-            marked = source.withColumn("text_hash", F.xxhash64("text"))
-            same = marked["doc_id"].eqNullSafe(wanted["doc_id"]) & (marked["text_hash"] == wanted["text_hash"])
-            read = _sets(marked.join(wanted, same, "left_semi"), words)
-            sets = kept(read.groupBy("key").agg(F.any_value("shingles").alias("shingles")), "sets")
-        else:
-            pairs = _apart(pairs, comps)
+            crowd = members.join(sizes.filter(f"members > {CROWD}"), ["ord", "label"], "left_semi").select("key")
+            needed = crowd.unionByName(pairs.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
+            wanted = kept(classes.join(needed, "key", "left_semi").select("doc_id", "text_hash"), "wanted")
+            sets = kept(_read_again(source, wanted, words), "sets")
         found = kept(_confirmed(pairs, sets, percent), "links")
         links = found if links is None else kept(links.unionByName(found), "links", links)
         comps = kept(components(links), "components")
         placed = members.join(comps.withColumnsRenamed({"node": "key", "component": "comp"}), "key", "left")
         placed = placed.withColumn("comp", F.coalesce("comp", "key"))
         regions = placed.groupBy("ord", "label").agg(F.count("*").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        crowded = regions.filter(f"members > {CROWD} AND low < high").select("ord", "label", "members")
+        crowded = kept(regions.filter(f"members > {CROWD} AND low < high").select("ord", "label", "members"), "crowded")
         if crowded.isEmpty():
             break
-        keys = placed.join(crowded, ["ord", "label"], "left_semi").select("key").distinct()
-        labelled = kept(sets.join(keys, "key", "left_semi"), "crowd")
         if depth != DEPTHS[-1]:
+            keys = placed.join(crowded, ["ord", "label"], "left_semi").select("key").distinct()
             deeper = DEPTHS[DEPTHS.index(depth) + 1]
-            labelled = _labelled(labelled, deeper, orders_needed(percent, deeper))
+            entries = _deeper(sets.join(keys, "key", "left_semi"), deeper, orders_needed(percent, deeper))
     else:
-        pairs = _across(placed, crowded).filter(_alike(percent)).select("a", "b").distinct()
-        found = kept(_confirmed(pairs, sets, percent), "links")
+        found = _confirmed(likely(_across(placed, crowded)), sets, percent)
         comps = kept(components(links.unionByName(found)), "components")
     placed = classes.join(comps, classes.key == comps.node, "left").select("key", "doc_id", F.coalesce("component", "key").alias("centre"), "copies", F.col("node").isNotNull().alias("linked"))
     least = placed.groupBy("centre").agg(F.min("doc_id").alias("component_id"))

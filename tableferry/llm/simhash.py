@@ -127,16 +127,26 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row of every component, with all columns of `docs`: the one with the smallest id.
 
     A row with a null id stays only if its component has no other. Among rows that share the id, the
-    one with the smallest text hash stays; of rows equal in id and text, any one.
+    one with the smallest text hash stays; of rows equal in id and text, the one whose columns have
+    the smallest hash.
+
+    What moves are ids and hashes: the list of rows to drop meets the documents where they are, and
+    only the texts of rows repeated in id and text are gathered.
     """
-    all_rows = groups(docs, id_col, text_col, **options)
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    stays = all_rows.groupBy("centre").agg(F.min(first).alias("first")).select("first.doc_id", "first.text_hash")
-    mark = fresh(docs, "text_hash")
+    rows = groups(docs, id_col, text_col, **options).groupBy("centre", "component_id", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = rows.filter(own)
+    least = first.groupBy("centre").agg(F.min("text_hash").alias("least"))
+    repeated = first.join(least, "centre").filter("text_hash > least OR copies > 1").selectExpr("doc_id", "text_hash", "text_hash > least goes")
+    marks = kept(rows.filter(~own).selectExpr("doc_id", "text_hash", "true goes").unionByName(repeated), "dropped")
+    mark, row_hash = fresh(docs, "text_hash"), fresh(docs, "row_hash")
+    listed = marks.select(F.col("doc_id").alias(fresh(docs, "listed_id")), F.col("text_hash").alias(fresh(docs, "listed_hash")), "goes")
     marked = docs.withColumn(mark, F.xxhash64(docs[f"`{text_col}`"]))
-    found = marked.join(
-        stays.withColumnsRenamed({"doc_id": "_stays_id", "text_hash": "_stays_hash"}),
-        marked[f"`{id_col}`"].eqNullSafe(F.col("_stays_id")) & (marked[mark] == F.col("_stays_hash")),
-        "left_semi",
+    same = marked[f"`{id_col}`"].eqNullSafe(listed[listed.columns[0]]) & (marked[mark] == listed[listed.columns[1]])
+    plain = marked.join(listed, same, "left_anti").drop(mark)
+    whole = F.struct(*[marked[f"`{c}`"] for c in docs.columns])
+    again = marked.join(listed.filter("NOT goes"), same, "left_semi").select(
+        marked[f"`{id_col}`"].alias("id"), marked[mark].alias("hash"), whole.alias("whole"), F.xxhash64(whole).alias(row_hash)
     )
-    return found.dropDuplicates([id_col, mark]).drop(mark)
+    one = again.groupBy("id", "hash").agg(F.min_by("whole", row_hash).alias("whole"))
+    return plain.unionByName(one.select(*[F.col("whole")[c].alias(c) for c in docs.columns]))
