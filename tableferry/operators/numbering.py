@@ -164,6 +164,7 @@ def assign_batches(
     unique: bool = False,
     path: str | None = None,
     seen: Observation | None = None,
+    cut: Observation | None = None,
 ) -> DataFrame:
     """Add ``batch_no, row_no, row_bytes``: batches within both limits, numbered from 1 with no gap.
 
@@ -172,7 +173,7 @@ def assign_batches(
     without ORDER BY passes no order, and its rows are cut in scan order without any shuffle.
 
     The cut rows are written to `path` (a scratch folder by default); `seen` observes the number
-    of ``rows`` on their way into the cut.
+    of ``rows`` on their way into the cut, `cut` that of ``rows`` and ``batches`` that come out of it.
     """
     cells = canonical_cells(df) if cells is None else cells
     # Sizes are taken after the rows are in place, so the range sampling does not compute them.
@@ -186,7 +187,10 @@ def assign_batches(
     schema = T.StructType(
         [*sized.schema.fields, T.StructField("_local", T.LongType()), T.StructField("row_no", T.LongType())]
     )
-    kept = write_scratch(sized.mapInArrow(_cut_batches(row_limit, byte_budget), schema), "batched", path)
+    batched = sized.mapInArrow(_cut_batches(row_limit, byte_budget), schema)
+    if cut is not None:
+        batched = batched.observe(cut, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("row_no") == 1).alias("batches"))
+    kept = write_scratch(batched, "batched", path)
     sizes = kept.groupBy("_part").agg(F.max("_local").alias("_size"))
     return (
         kept.join(F.broadcast(_shifts(sizes, "_size")), "_part")

@@ -20,13 +20,18 @@ from pyspark.sql import types as T
 
 from tableferry.operators import upsert as merge
 from tableferry.operators.range_audit import CellRule, RangeCheck, range_audit, reject_rows
-from tableferry.operators.verify import batch_contiguity
+from tableferry.operators.verify import batch_contiguity, verify_gate
 from tableferry.plans.run_log import RunLog
 from tableferry.sources import staging
+from tableferry.sources.manifest import ManifestTarget
 from tableferry.sources.publish import BucketedTarget, FolderTarget
 from tableferry.spec import OrderTerm, TaskSpec, apply_spec, order_columns
 
 
+# The sink's code for a failure kind, where the two differ.
+SINK_CODES = {"TARGET_BUSY": "SWAP_TARGET_BUSY"}
+
+
 class CopyRefused(RuntimeError):
     """The run stopped before the target changed; `kind` says why.
 
@@ -64,7 +69,7 @@ class CopyPlan:
     """
 
     spec: TaskSpec
-    target: FolderTarget | BucketedTarget
+    target: FolderTarget | BucketedTarget | ManifestTarget
     staging_path: str
     checks: Sequence[RangeCheck] = field(default=())
     rules: Sequence[CellRule] = field(default=())
@@ -123,6 +128,15 @@ def cast_rules(rows: DataFrame, target: T.StructType) -> list[CellRule]:
     return rules
 
 
+def all_rules(given: Sequence[CellRule], casts: Sequence[CellRule]) -> list[CellRule]:
+    """The given rules and those of the casts, which no given rule replaces; a cell is refused once, for a column's first reason."""
+    merged: dict[str, CellRule] = {}
+    for rule in [*given, *casts]:
+        first = merged.get(rule.column)
+        merged[rule.column] = rule if first is None else CellRule(rule.column, F.coalesce(first.reason, rule.reason), first.shown)
+    return list(merged.values())
+
+
 def run_copy(
     spark: SparkSession,
     plan: CopyPlan,
@@ -138,6 +152,8 @@ def run_copy(
     """
     if spark.conf.get("spark.sql.ansi.enabled") != "true":
         raise ValueError("a copy run needs spark.sql.ansi.enabled: without it overflow is NULL and small decimals get an exponent")
+    if plan.collation is not None and isinstance(plan.target, ManifestTarget):
+        raise ValueError("the buckets of a manifest hold keys byte by byte; use another target for collated keys")
     run_id = run_id or new_run_id()
     log = RunLog(spark, plan.log_folder, run_id, plan.spec.target_table)
     log.add("source_started", message="the run started")
@@ -145,12 +161,12 @@ def run_copy(
     try:
         result = _move(spark, plan, source, params, issues, run_id, log)
     except BaseException as error:
-        kind = error.kind if isinstance(error, CopyRefused) else "UNKNOWN"
+        kind = getattr(error, "kind", "UNKNOWN")
         text = str(error).splitlines() or [type(error).__name__]
         # The pointer tells whether this run's version was switched to.
         swapped = plan.target.current(spark) == run_id
         log.add("commit_diagnosed", terminal="SWAPPED" if swapped else "DISCARDED")
-        fields = {"sink_code": kind} if log.current_stage == "COMMITTING" and isinstance(error, CopyRefused) else {}
+        fields = {"sink_code": SINK_CODES.get(kind, kind)} if log.current_stage == "COMMITTING" and kind != "UNKNOWN" else {}
         log.finish("FAILED", message=text[0], failure_kind=kind, **fields)
         raise
     log.stage("SUCCEEDED")
@@ -181,37 +197,37 @@ def _move(spark, plan: CopyPlan, source, params, issues, run_id, log: RunLog) ->
         log.stage("STREAMING")
         if plan.numbered:
             order = order_columns(_target_order(plan.spec, names))
-            read, staged = staging.stage_batches(rows, plan.staging_path, run_id, order)
+            sent, staged = staging.stage_batches(rows, plan.staging_path, run_id, order)
             log.batches(staged)
-            _gate_batches(staged, run_id, plan)
+            received = _gate_batches(staged, sent.batches, run_id, plan)
             staged = staged.select(*columns)
         else:
-            read = staging.stage_run(rows, plan.staging_path, run_id)
+            sent, received = staging.stage_run(rows, plan.staging_path, run_id), 0
             staged = staging.read_run(spark, plan.staging_path, run_id, rows.schema)
         # The source may have changed since its range check; the staged rows no longer can.
         _check_ranges(staged, plan, log)
-        ruled = {r.column for r in plan.rules}
-        rules = [*plan.rules, *[r for r in cast_rules(staged, plan.target.schema) if r.column not in ruled]]
+        rules = all_rules(plan.rules, cast_rules(staged, plan.target.schema))
         if rules:
             refused = reject_rows(staged, key, rules)
             refuse_if(refused, "SOURCE_VALUE", "values the target would reject or change", refused_path(plan, run_id, "cells"))
         log.stage("COMMITTING")
         keyed = merge.collate_key(staged, key, plan.collation)
         report = merge.key_report(keyed, key).first()
-        _gate(read, report, plan, keyed, key, run_id)
+        _gate(sent, received, report, plan, keyed, key, run_id)
         if report["duplicated_keys"]:
             staged = merge.keep_latest(keyed, key, _target_order(plan.spec, names)).to(staged.schema)
-        return _publish(spark, plan, staged, key, run_id, read, report)
+        return _publish(spark, plan, staged, key, run_id, sent.rows, report)
     finally:
         staging.drop_run(spark, plan.staging_path, run_id)
 
 
-def _gate_batches(staged: DataFrame, run_id: str, plan: CopyPlan) -> None:
-    """The staged batch numbers must be exactly 1..N."""
+def _gate_batches(staged: DataFrame, sent: int, run_id: str, plan: CopyPlan) -> int:
+    """The staged batch numbers must be exactly 1..N, N counted while the batches were cut; returns how many there are."""
     numbers = staged.select(F.lit(run_id).alias("run_id"), "batch_no")
-    last = numbers.groupBy("run_id").agg(F.max("batch_no").alias("source_batches"))
-    broken = batch_contiguity(numbers, last).filter(~F.col("contiguous"))
-    refuse_if(broken, "VERIFY_FAILED", "batch numbers are missing", refused_path(plan, run_id, "batches"))
+    expected = staged.sparkSession.range(1).select(F.lit(run_id).alias("run_id"), F.lit(sent).cast("bigint").alias("source_batches"))
+    found = batch_contiguity(numbers, expected)
+    refuse_if(found.filter(~F.col("contiguous")), "VERIFY_FAILED", "batch numbers are missing", refused_path(plan, run_id, "batches"))
+    return sent
 
 
 def _check_ranges(rows: DataFrame, plan: CopyPlan, log: RunLog) -> None:
@@ -234,9 +250,16 @@ def _target_order(spec: TaskSpec, spelled: Mapping[str, str]) -> list[OrderTerm]
     ]
 
 
-def _gate(read: int, report, plan: CopyPlan, staged: DataFrame, key: list[str], run_id: str) -> None:
-    if report["rows"] != read:
-        raise CopyRefused("VERIFY_FAILED", f"{read} rows read but {report['rows']} staged")
+def _gate(sent: staging.Sent, received: int, report, plan: CopyPlan, staged: DataFrame, key: list[str], run_id: str) -> None:
+    numbers = {
+        "source_rows": sent.rows, "source_batches": sent.batches, "staged_rows": report["rows"],
+        "sink_reported_rows": sent.written, "received_batches": received,
+    }
+    counts = staged.sparkSession.range(1).select(*[F.lit(n).cast("bigint").alias(name) for name, n in numbers.items()])
+    judged = verify_gate(counts).first()
+    if judged["verdict"] != "PASSED":
+        text = ", ".join(f"{name} {n}" for name, n in numbers.items())
+        raise CopyRefused("VERIFY_FAILED", f"{judged['cause']}: {text}", [judged])
     if report["null_key_rows"]:
         raise CopyRefused("DATA_REJECTED", f"{report['null_key_rows']} rows have a NULL key")
     if report["duplicated_keys"] and plan.on_duplicate == "fail":
@@ -246,9 +269,11 @@ def _gate(read: int, report, plan: CopyPlan, staged: DataFrame, key: list[str],
 
 def _publish(spark, plan: CopyPlan, staged, key, run_id, read, report) -> CopyResult:
     based_on = plan.target.current(spark)
-    merged = merge.upsert(
-        plan.target.read(spark), staged, key, plan.defaults, plan.collation, plan.target.keeps_buckets
-    )
+    old, untouched = plan.target.affected(spark, staged, based_on)
+    if untouched and not report["rows"]:
+        plan.target.publish(old, run_id, None, based_on)
+        return CopyResult(run_id, read, 0, 0, 0, 0, untouched, 0)
+    merged = merge.upsert(old, staged, key, plan.defaults, plan.collation, plan.target.keeps_buckets)
     effects = Observation()
     names = ("inserted", "updated", "unchanged", "kept")
     counted = merged.observe(
@@ -264,4 +289,5 @@ def _publish(spark, plan: CopyPlan, staged, key, run_id, read, report) -> CopyRe
     plan.target.publish(counted, run_id, check, based_on)
     n = effects.get
     affected = n["inserted"] + 2 * n["updated"] + n["unchanged"]
-    return CopyResult(run_id, read, report["rows"], *[n[e] for e in names], affected)
+    counts = {e: n[e] + (untouched if e == "kept" else 0) for e in names}
+    return CopyResult(run_id, read, report["rows"], **counts, affected=affected)

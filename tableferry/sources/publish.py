@@ -1,7 +1,7 @@
 """All-or-nothing publishing of a table: write a new version, check it, switch one pointer.
 
-A target is any object with ``read(spark)``, ``publish(df, run_id, check)`` and
-``current(spark)``. Readers resolve the pointer first, so they see the old table or the new one;
+A target is any object with ``read(spark)``, ``affected(spark, staged, version)``,
+``publish(df, run_id, check, based_on)`` and ``current(spark)``. Readers resolve the pointer first, so they see the old table or the new one;
 the pointer also tells whether a run was published when its answer was lost.
 
 A version follows exactly one other. Before the switch a run claims to follow the version that its rows
@@ -118,6 +118,10 @@ class FolderTarget:
     def read(self, spark: SparkSession) -> DataFrame:
         return read_current(spark, self.path, self.schema)
 
+    def affected(self, spark: SparkSession, staged: DataFrame, version: str | None) -> tuple[DataFrame, int]:
+        """What a publish rewrites, here the whole table, and the number of rows that stay as they lie."""
+        return self.read(spark), 0
+
     def current(self, spark: SparkSession) -> str | None:
         return current_version(spark, self.path)
 
@@ -157,6 +161,10 @@ class BucketedTarget:
             return empty_table(spark, self.schema)
         return spark.table(self._version(run_id))
 
+    def affected(self, spark: SparkSession, staged: DataFrame, version: str | None) -> tuple[DataFrame, int]:
+        """What a publish rewrites, here the whole table, and the number of rows that stay as they lie."""
+        return self.read(spark), 0
+
     def _claim(self, run_id: str | None) -> str:
         return f"{self.name}__after_{run_id or 'nothing'}"
 

@@ -7,6 +7,7 @@ A write job commits all or nothing. Writing a run (or a batch) again replaces ex
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -16,23 +17,32 @@ from tableferry.scratch import SHORT_LIVED
 from tableferry.sources.files import child_names, remove
 
 
-def stage_run(df: DataFrame, path: str, run_id: str) -> int:
-    """Write all rows of a run, replacing an earlier attempt; returns the rows read.
+class Sent(NamedTuple):
+    """What the staging job counted: rows read, rows written, batches cut."""
+
+    rows: int
+    written: int
+    batches: int
+
+
+def stage_run(df: DataFrame, path: str, run_id: str) -> Sent:
+    """Write all rows of a run, replacing an earlier attempt.
 
     The source count comes from the write itself, not from a second scan.
     """
     seen = Observation()
     observed = df.observe(seen, F.count(F.lit(1)).alias("rows"))
     observed.write.mode("overwrite").options(**SHORT_LIVED).parquet(f"{path}/run_id={run_id}")
-    return int(seen.get["rows"])
+    rows = int(seen.get["rows"])
+    return Sent(rows, rows, 0)
 
 
-def stage_batches(df: DataFrame, path: str, run_id: str, order: Sequence[Column]) -> tuple[int, DataFrame]:
-    """Like `stage_run`, in numbered batches: the rows read, and the staged rows with
-    ``batch_no, row_no, row_bytes``."""
-    seen = Observation()
-    staged = assign_batches(df, order, path=f"{path}/run_id={run_id}", seen=seen)
-    return int(seen.get["rows"]), staged
+def stage_batches(df: DataFrame, path: str, run_id: str, order: Sequence[Column]) -> tuple[Sent, DataFrame]:
+    """Like `stage_run`, in numbered batches: what was counted, and the staged rows with
+    ``batch_no, row_no, row_bytes``. The batches are counted as they are cut, by their first rows."""
+    seen, cut = Observation(), Observation()
+    staged = assign_batches(df, order, path=f"{path}/run_id={run_id}", seen=seen, cut=cut)
+    return Sent(int(seen.get["rows"]), int(cut.get["rows"]), int(cut.get["batches"])), staged
 
 
 def replace_batches(df: DataFrame, path: str) -> None:

@@ -9,8 +9,9 @@ from tableferry import ColumnMapping, Condition, OrderTerm, TaskSpec
 from tableferry.operators import verify
 from tableferry.operators.range_audit import RangeCheck, decimal_target_rule
 from tableferry.plans.copy_run import CopyPlan, CopyRefused, new_run_id, run_copy
+from tableferry.plans import history
 from tableferry.sources import publish as pub
-from tableferry.sources import staging
+from tableferry.sources import runlog, staging
 
 TARGET = T.StructType(
     [
@@ -156,6 +157,54 @@ def test_refused_cells_stop_the_run(spark, plan, tmp_path):
     assert p.target.current(spark) is None and staging.staged_runs(spark, p.staging_path) == []
 
 
+def test_own_rules_do_not_replace_the_cast_guard(spark, plan, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tableferry.operators.range_audit import CellRule
+
+    source = spark.createDataFrame([(1, "a", "1.2355"), (2, "b", "-4.00")], "row_id int, src_name string, src_amount string")
+    source = source.withColumn("src_amount", F.col("src_amount").cast("decimal(10,4)"))
+    negative = CellRule("DEST_AMOUNT", F.when(F.col("DEST_AMOUNT") < 0, "NEGATIVE"), F.col("DEST_AMOUNT").cast("string"))
+    p = plan(rules=(negative,), log_folder=str(tmp_path / "log"))
+    with pytest.raises(CopyRefused, match="SOURCE_VALUE") as refused:
+        run_copy(spark, p, source)
+    assert sorted((r["value"], r["reason"]) for r in refused.value.details) == [("-4.0000", "NEGATIVE"), ("1.2355", "WOULD_ROUND")]
+    assert p.target.current(spark) is None
+
+
+def test_a_busy_target_is_logged_as_such(spark, plan, tmp_path):
+    p = plan(log_folder=str(tmp_path / "log"))
+    run_copy(spark, p, rows(spark, *BASE), run_id="20240102030405_00000a")
+    # Another run holds the claim on the version this run starts from.
+    pub.create_once(spark, pub._claim(p.target.path, "20240102030405_00000a"), "20240102030405_00000b")
+    with pytest.raises(pub.TargetBusy):
+        run_copy(spark, p, rows(spark, *BASE), run_id="20240102030405_00000c")
+    states = history.combine_states(history.fold_states(runlog.read_log(spark, f"{tmp_path}/log/*/*", runlog.RECORD_FOLDER)))
+    failed = states.filter("run_id = '20240102030405_00000c'").select("outcome", "failure_kind", "sink_code").first()
+    assert tuple(failed) == ("FAILED", "TARGET_BUSY", "SWAP_TARGET_BUSY")
+
+
+def test_a_lost_last_batch_fails_the_gate(spark, plan, monkeypatch):
+    real = staging.stage_batches
+
+    def losing(*args):
+        sent, staged = real(*args)
+        return sent._replace(batches=sent.batches + 1), staged
+
+    monkeypatch.setattr(staging, "stage_batches", losing)
+    p = plan(numbered=True)
+    with pytest.raises(CopyRefused, match="batch numbers are missing"):
+        run_copy(spark, p, rows(spark, *BASE))
+    assert p.target.current(spark) is None
+
+
+def test_the_gate_gives_its_five_numbers(spark, plan, monkeypatch):
+    real = staging.stage_run
+    monkeypatch.setattr(staging, "stage_run", lambda *args: (s := real(*args))._replace(rows=s.rows + 2, written=s.written + 2))
+    with pytest.raises(CopyRefused, match="LOST_IN_WRITE: source_rows 5, source_batches 0, staged_rows 3, sink_reported_rows 5, received_batches 0"):
+        run_copy(spark, plan(), rows(spark, *BASE))
+
+
 def test_failed_check_keeps_the_old_version(spark, tmp_path):
     table = str(tmp_path / "t")
     df = spark.range(3)

@@ -10,11 +10,12 @@ from pyspark.sql import types as T
 
 from tableferry import ColumnMapping, Condition, OrderTerm, TaskSpec, apply_spec
 from tableferry.functions import canon, runs, shapes
-from tableferry.operators import ddl, mapping_audit, numbering, profile, range_audit, spec_audit, upsert, verify
+from tableferry.operators import batching, ddl, mapping_audit, numbering, profile, range_audit, spec_audit, upsert, verify
 from tableferry.plans import history
 from tableferry.plans.copy_run import CopyPlan, CopyRefused, run_copy
 from tableferry.scratch import scratch_path
 from tableferry.sources import payload, runlog, staging, tables
+from tableferry.sources.manifest import ManifestTarget
 from tableferry.sources.publish import FolderTarget
 from tableferry.streaming import intake, live
 from workload.fixtures import fixture
@@ -108,6 +109,22 @@ def copy_run_guarded(spark, sf):
     raise AssertionError("the copy would have changed values")
 
 
+@job
+def publish_touched_buckets(spark, sf):
+    """The target after a whole copy and a second run of changed and new orders, with the files' own word on
+    which rows lie in buckets that the second run wrote."""
+    root = scratch_path(spark, "touched")
+    orders = fixture(spark, sf, "orders_base").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(12,2)").alias("o_totalprice"))
+    target = ManifestTarget(f"{root}/target", orders.schema, ("o_orderkey",), buckets=64)
+    spec = TaskSpec("SALES", "ORDERS", "ORDER_COPY", ("o_orderkey",), tuple(ColumnMapping(n, n) for n in orders.columns))
+    plan = CopyPlan(spec, target, f"{root}/staging")
+    later = "20240103030405_0a1b2c"
+    run_copy(spark, plan, orders.filter("o_orderkey % 10 <> 3"), run_id="20240102030405_0a1b2c")
+    few = orders.filter("o_orderkey % 1000 IN (3, 8)").withColumn("o_totalprice", (F.col("o_totalprice") + 1).cast("decimal(12,2)"))
+    run_copy(spark, plan, few, run_id=later)
+    return target.read(spark).select("*", F.col("_metadata.file_path").contains(f"run={later}").alias("rewritten"))
+
+
 @job
 def copy_run_gate_failed(spark, sf):
     """History of a run that the gate stopped: customers repeat among the orders, so they are no key."""
@@ -608,6 +625,14 @@ def batch_limits(spark, sf):
     )
 
 
+@job
+def batch_bytes(spark, sf):
+    """The exact greedy cut of all documents, by rows and by payload bytes."""
+    docs = fixture(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars")
+    cut = batching.greedy_batches(docs, [F.col("doc_id")], row_limit=40, byte_budget=64 * 1024, unique=True)
+    return cut.select("doc_id", "row_bytes", "batch_no", "row_no")
+
+
 def _order_payloads(spark, sf) -> DataFrame:
     rows = _numbered_batches(spark, sf)
     cells = numbering.canonical_cells(rows, ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"])

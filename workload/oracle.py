@@ -739,3 +739,23 @@ oracle(
               CAST(o_orderkey AS STRING) AS order_id, o_orderstatus AS status, o_orderpriority AS priority
          FROM orders_base WHERE o_orderstatus <> 'P'""",
 )
+oracle(
+    "publish_touched_buckets",
+    """WITH o AS (SELECT o_orderkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(12,2)) AS o_totalprice, o_orderkey % 1000 IN (3, 8) AS later,
+                      CAST('0x' || substr(md5(CAST(o_orderkey AS STRING)), 1, 12) AS BIGINT) % 64 AS bucket FROM orders_base)
+       SELECT o_orderkey, o_orderstatus, CAST(o_totalprice + CASE WHEN later THEN 1 ELSE 0 END AS DECIMAL(12,2)) AS o_totalprice,
+              bucket IN (SELECT bucket FROM o WHERE later) AS rewritten
+         FROM o WHERE later OR o_orderkey % 10 <> 3""",
+)
+oracle(
+    "batch_bytes",
+    """WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn,
+           strlen(CAST(to_json([CAST(doc_id AS STRING), text, lang, CAST(n_chars AS STRING)]) AS STRING)) AS row_bytes FROM documents),
+       cut AS (SELECT rn, row_bytes, CAST(1 AS BIGINT) AS batch_no, CAST(1 AS BIGINT) AS row_no, row_bytes AS used FROM d WHERE rn = 1
+         UNION ALL
+         SELECT n.rn, n.row_bytes, c.batch_no + CAST(n.fresh AS INT), CASE WHEN n.fresh THEN 1 ELSE c.row_no + 1 END,
+                CASE WHEN n.fresh THEN n.row_bytes ELSE c.used + n.row_bytes END
+           FROM cut c JOIN LATERAL (SELECT d.rn, d.row_bytes, c.row_no = 40 OR
+                18 + strlen(CAST(c.batch_no AS STRING)) + c.used + d.row_bytes + c.row_no > 65536 AS fresh FROM d WHERE d.rn = c.rn + 1) n ON TRUE)
+       SELECT doc_id, d.row_bytes, batch_no, row_no FROM d JOIN cut USING (rn)""",
+)
