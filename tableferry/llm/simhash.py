@@ -139,13 +139,13 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     least = first.groupBy("centre").agg(F.min("text_hash").alias("least"))
     repeated = first.join(least, "centre").filter("text_hash > least OR copies > 1").selectExpr("doc_id", "text_hash", "text_hash > least goes")
     marks = kept(rows.filter(~own).selectExpr("doc_id", "text_hash", "true goes").unionByName(repeated), "dropped")
-    mark, row_hash = fresh(docs, "text_hash"), fresh(docs, "row_hash")
-    listed = marks.select(F.col("doc_id").alias(fresh(docs, "listed_id")), F.col("text_hash").alias(fresh(docs, "listed_hash")), "goes")
+    mark, row_hash, goes = (fresh(docs, name) for name in ("text_hash", "row_hash", "goes"))
+    listed = marks.select(F.col("doc_id").alias(fresh(docs, "listed_id")), F.col("text_hash").alias(fresh(docs, "listed_hash")), F.col("goes").alias(goes))
     marked = docs.withColumn(mark, F.xxhash64(docs[f"`{text_col}`"]))
     same = marked[f"`{id_col}`"].eqNullSafe(listed[listed.columns[0]]) & (marked[mark] == listed[listed.columns[1]])
     plain = marked.join(listed, same, "left_anti").drop(mark)
     whole = F.struct(*[marked[f"`{c}`"] for c in docs.columns])
-    again = marked.join(listed.filter("NOT goes"), same, "left_semi").select(
+    again = marked.join(listed.filter(~F.col(goes)), same, "left_semi").select(
         marked[f"`{id_col}`"].alias("id"), marked[mark].alias("hash"), whole.alias("whole"), F.xxhash64(whole).alias(row_hash)
     )
     one = again.groupBy("id", "hash").agg(F.min_by("whole", row_hash).alias("whole"))
