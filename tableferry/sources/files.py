@@ -71,3 +71,21 @@ def create_once(spark: SparkSession, path: str, text: str) -> bool:
     stream.write(bytearray(text, "utf-8"))
     stream.close()
     return True
+
+
+def create_whole(spark: SparkSession, path: str, text: str, suffix: str) -> bool:
+    """Like `create_once`, but the file appears with its whole text: written beside and renamed, unless it exists."""
+    beside, fs = _handle(spark, f"{path.rpartition('/')[0]}/.{path.rpartition('/')[2]}.{suffix}")
+    stream = fs.create(beside, True)
+    stream.write(bytearray(text, "utf-8"))
+    stream.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    context = hadoop.FileContext.getFileContext(beside.toUri(), spark._jsparkSession.sessionState().newHadoopConf())
+    try:
+        context.rename(beside, hadoop.Path(path), spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))
+    except Py4JJavaError as error:
+        fs.delete(beside, False)
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True

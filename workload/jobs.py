@@ -17,7 +17,9 @@ from tableferry.scratch import scratch_path
 from tableferry.sources import payload, runlog, staging, tables
 from tableferry.sources.manifest import ManifestTarget
 from tableferry.sources.publish import FolderTarget
-from tableferry.streaming import intake, live
+from tableferry.streaming import intake, live, sequence
+from tableferry.streaming.commit import CommitRefused as DiscardedRun
+from tableferry.streaming.commit import IntakeCommit, RunStates
 from workload.fixtures import fixture
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -826,6 +828,72 @@ def batch_intake_stream(spark, sf):
     return intake.read_staged(spark, staged, STREAM_COLUMNS)
 
 
+@job
+def intake_commit(spark, sf):
+    """Three runs of orders, one per status, and an unknown one. F is sent with an older copy of every third batch and
+    committed; O is aborted; P is committed with a batch too few and then sent more. What is in the target, what was
+    refused, and how each run ended."""
+    root = scratch_path(spark, "intake-commit")
+    runs_of = {"F": "20240102030405_00000f", "O": "20240102030405_0000aa", "P": "20240102030405_0000bb"}
+    orders = fixture(spark, sf, "orders_base").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    numbered = numbering.number_rows(orders, [F.col("o_orderstatus"), F.col("o_orderkey")], "n", unique=True)
+    first = numbered.groupBy("o_orderstatus").agg(F.min("n").alias("first"))
+    placed = numbered.join(F.broadcast(first), "o_orderstatus").withColumn("batch_no", F.expr("(n - first) div 50 + 1"))  # three statuses
+    placed = placed.withColumn("row_no", F.expr("(n - first) % 50 + 1")).withColumn("run_id", _status_run_id())
+
+    def send(rows, name, priority, shift=0, run_id=F.col("run_id")):
+        cells = F.array(F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), priority)
+        lists = rows.groupBy(run_id.alias("run_id"), "batch_no").agg(F.array_sort(F.collect_list(F.struct("row_no", cells.alias("cells")))).alias("rows"))
+        line = F.to_json(F.struct((F.col("batch_no") + shift).alias("seq"), F.transform("rows", lambda r: r["cells"]).alias("rows")))
+        lists.select("run_id", line.alias("value")).write.partitionBy("run_id").option("compression", "none").text(f"{root}/{name}")
+        _as_incoming(spark, f"{root}/{name}", f"{root}/incoming", name)
+
+    states, columns = RunStates(spark, f"{root}/states"), ["order_id", "status", "priority"]
+    schema = T.StructType().add("order_id", T.LongType()).add("status", T.StringType()).add("priority", T.StringType())
+    target = ManifestTarget(f"{root}/target", schema, ("order_id",), buckets=16)
+    work = IntakeCommit(spark, states, f"{root}/staging", target, columns, ["order_id"])
+
+    def take():
+        intake.start_intake(spark, f"{root}/incoming", f"{root}/staging", states.table, columns, f"{root}/checkpoint").awaitTermination()
+
+    for run_id in runs_of.values():
+        states.open(run_id)
+    send(placed, "first", F.when((F.col("o_orderstatus") == "F") & (F.col("batch_no") % 3 == 0), "older").otherwise(F.col("o_orderpriority")))
+    send(placed.filter("o_orderstatus = 'P' AND batch_no = 1"), "unknown", F.col("o_orderpriority"), run_id=F.lit("20240102030405_0000ff"))
+    take()
+    size = {r[0]: (r[1], r[2]) for r in placed.groupBy("o_orderstatus").agg(F.count("*"), F.max("batch_no")).collect()}
+    try:
+        work.commit(runs_of["P"], size["P"][0], size["P"][1] + 1)
+    except DiscardedRun as refused:
+        assert refused.kind == "VERIFY_FAILED"
+    send(placed.filter("o_orderstatus = 'F' AND batch_no % 3 = 0 OR o_orderstatus = 'P' AND batch_no % 2 = 0"), "again", F.col("o_orderpriority"))
+    take()
+    work.abort(runs_of["O"])
+    work.commit(runs_of["F"], *size["F"])
+
+    rows = target.read(spark).selectExpr("'row' kind", "CAST(order_id AS STRING) a", "status b", "priority c", "1L n")
+    refused = intake.read_quarantine(spark, f"{root}/staging").groupBy("run_id", "reason").count()
+    ended = spark.createDataFrame(
+        [(run_id, d["state"], d.get("cause"), d.get("received_batches")) for run_id in runs_of.values() for d in [states.last(run_id)[1]]],
+        "run_id string, state string, cause string, received bigint",
+    )
+    return rows.unionByName(refused.selectExpr("'refused' kind", "run_id a", "reason b", "NULL c", "count n")).unionByName(
+        ended.selectExpr("'state' kind", "run_id a", "state b", "cause c", "received n")
+    )
+
+
+@job
+def sequence_gate_stream(spark, sf):
+    """Batch numbers of one run per status with two kinds of gaps, one of which is filled by a second delivery."""
+    root = scratch_path(spark, "sequence-gate")
+    batches = fixture(spark, sf, "orders_base").select(_status_run_id().alias("run_id"), (F.col("o_orderkey") + 1).alias("batch_no"))
+    for part in ("batch_no % 7 NOT IN (3, 5)", "batch_no % 7 = 5 OR batch_no % 14 = 1"):
+        batches.filter(part).write.mode("append").parquet(f"{root}/sent")
+        stream = spark.readStream.schema(batches.schema).parquet(f"{root}/sent")
+        sequence.start_gate(stream, f"{root}/gate", f"{root}/checkpoint").awaitTermination()
+    return sequence.gate_state(spark, f"{root}/gate")
+
+
 def _as_incoming(spark, written: str, incoming: str, mark: str) -> None:
     """Move written text files to ``<incoming>/<run_id>/<mark>-<n>.json``."""
     hadoop = spark._jvm.org.apache.hadoop.fs

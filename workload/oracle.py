@@ -759,3 +759,24 @@ oracle(
                 18 + strlen(CAST(c.batch_no AS STRING)) + c.used + d.row_bytes + c.row_no > 65536 AS fresh FROM d WHERE d.rn = c.rn + 1) n ON TRUE)
        SELECT doc_id, d.row_bytes, batch_no, row_no FROM d JOIN cut USING (rn)""",
 )
+oracle(
+    "intake_commit",
+    """WITH b AS (SELECT *, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 50 + 1 AS batch_no FROM orders_base)
+       SELECT 'row' AS kind, CAST(o_orderkey AS STRING) AS a, o_orderstatus AS b, o_orderpriority AS c, CAST(1 AS BIGINT) AS n FROM b WHERE o_orderstatus = 'F'
+       UNION ALL SELECT 'refused', '20240102030405_0000ff', 'RUN_UNKNOWN', NULL, 1 WHERE EXISTS (SELECT 1 FROM b WHERE o_orderstatus = 'P')
+       UNION ALL SELECT 'refused', '20240102030405_0000bb', 'RUN_SEALED', NULL, COUNT(DISTINCT batch_no) FROM b
+         WHERE o_orderstatus = 'P' AND batch_no % 2 = 0 HAVING COUNT(*) > 0
+       UNION ALL SELECT 'state', '20240102030405_00000f', 'PUBLISHED', NULL, COUNT(DISTINCT batch_no) FROM b WHERE o_orderstatus = 'F'
+       UNION ALL SELECT 'state', '20240102030405_0000aa', 'ABORTED', NULL, NULL
+       UNION ALL SELECT 'state', '20240102030405_0000bb', 'ABORTED', 'BATCH_NOT_DELIVERED', COUNT(DISTINCT batch_no) FROM b WHERE o_orderstatus = 'P'""",
+)
+oracle(
+    "sequence_gate_stream",
+    """WITH s AS (SELECT DISTINCT '20240102030405_' || CASE o_orderstatus WHEN 'F' THEN '00000f' WHEN 'O' THEN '0000aa' ELSE '0000bb' END AS run_id,
+                      o_orderkey + 1 AS batch_no FROM orders_base WHERE (o_orderkey + 1) % 7 <> 3),
+       j AS (SELECT *, coalesce(lag(batch_no) OVER (PARTITION BY run_id ORDER BY batch_no), 0) + 1 AS expected FROM s),
+       i AS (SELECT run_id, COUNT(*) FILTER (WHERE batch_no <> expected OR batch_no = 1) AS intervals,
+                    coalesce(MIN(expected) FILTER (WHERE batch_no <> expected), MAX(batch_no) + 1) AS next FROM j GROUP BY run_id)
+       SELECT run_id, next AS expected, NULL AS got, intervals FROM i
+       UNION ALL SELECT run_id, expected, batch_no, intervals FROM j JOIN i USING (run_id) WHERE batch_no <> expected""",
+)
