@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tableferry import ColumnMapping, Condition, OrderTerm, TaskSpec, apply_spec
 from tableferry.functions import canon, runs, shapes
-from tableferry.operators import batching, ddl, mapping_audit, numbering, profile, range_audit, spec_audit, upsert, verify
+from tableferry.operators import batching, ddl, digest_tree, mapping_audit, numbering, profile, range_audit, spec_audit, upsert, verify
 from tableferry.plans import history
 from tableferry.plans.copy_run import CopyPlan, CopyRefused, run_copy
 from tableferry.scratch import scratch_path
@@ -583,6 +583,20 @@ def reconcile_orders(spark, sf):
     return verify.reconcile(_staged_orders(spark, sf), fixture(spark, sf, "orders_target"), ["o_orderkey"])
 
 
+@job
+def reconcile_tree(spark, sf):
+    """The comparison of reconcile_orders by digests of key ranges; rows are joined only where these differ."""
+    return digest_tree.reconcile_tree(_staged_orders(spark, sf), fixture(spark, sf, "orders_target"), ["o_orderkey"])
+
+
+@job
+def differing_ranges(spark, sf):
+    source = _staged_orders(spark, sf)
+    # A target in which only the largest orders changed: most ranges agree.
+    target = source.withColumn("o_orderpriority", F.when(F.col("o_totalprice") < 450000, F.col("o_orderpriority")))
+    return digest_tree.differing_ranges(source, target, ["o_orderkey"])
+
+
 @job
 def snapshot_diff(spark, sf):
     columns = ["o_orderkey", "o_totalprice"]

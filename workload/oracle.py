@@ -532,9 +532,7 @@ oracle(
     "rerun_digest",
     f"""WITH m AS ({MERGED}), d AS ({digest('m')}) SELECT *, 1 AS copy FROM d UNION ALL SELECT *, 2 FROM d""",
 )
-oracle(
-    "reconcile_orders",
-    """WITH j AS (SELECT s.o_orderkey IS NOT NULL AND t.o_orderkey IS NOT NULL AS both_sides, s.o_orderkey AS sk, t.o_orderkey AS tk,
+RECONCILE = """WITH j AS (SELECT s.o_orderkey IS NOT NULL AND t.o_orderkey IS NOT NULL AS both_sides, s.o_orderkey AS sk, t.o_orderkey AS tk,
               s.o_custkey IS DISTINCT FROM t.o_custkey AS d1, s.o_orderstatus IS DISTINCT FROM t.o_orderstatus AS d2,
               s.o_totalprice IS DISTINCT FROM t.o_totalprice AS d3, s.o_orderdate IS DISTINCT FROM t.o_orderdate AS d4,
               s.o_orderpriority IS DISTINCT FROM t.o_orderpriority AS d5
@@ -546,7 +544,16 @@ oracle(
        UNION ALL SELECT 'o_orderstatus', matched, n2, only_in_source, only_in_target FROM n
        UNION ALL SELECT 'o_totalprice', matched, n3, only_in_source, only_in_target FROM n
        UNION ALL SELECT 'o_orderdate', matched, n4, only_in_source, only_in_target FROM n
-       UNION ALL SELECT 'o_orderpriority', matched, n5, only_in_source, only_in_target FROM n""",
+       UNION ALL SELECT 'o_orderpriority', matched, n5, only_in_source, only_in_target FROM n"""
+oracle("reconcile_orders", RECONCILE)
+oracle("reconcile_tree", RECONCILE)
+oracle(
+    "differing_ranges",
+    """WITH span AS (SELECT MIN(o_orderkey) AS low, MAX(o_orderkey) - MIN(o_orderkey) AS width FROM orders_base),
+       size AS (SELECT low, GREATEST(LENGTH(FORMAT('{:b}', width)) - CASE WHEN width = 0 THEN 1 ELSE 0 END - 12, 0) AS shift FROM span),
+       n AS (SELECT (o_orderkey - low) >> shift AS node, low, shift, COUNT(*) AS rows
+               FROM orders_base, size GROUP BY 1, 2, 3 HAVING COUNT(*) FILTER (o_totalprice >= 450000) > 0)
+       SELECT low + (node << shift) AS first_key, low + ((node + 1) << shift) - 1 AS last_key, rows AS source_rows, rows AS target_rows FROM n""",
 )
 oracle(
     "snapshot_diff",
