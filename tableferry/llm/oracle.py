@@ -51,16 +51,17 @@ SELECT {columns} FROM (SELECT doc_id, domain, lang_given AS lang, source_given A
 def line_dedup() -> str:
     return """
 WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
-starts AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos FROM docs),
-runs AS (SELECT doc_id, pos, 1 << k AS n, len(lines[pos]) >= 40 AS long, md5(array_to_string(lines[pos:pos + (1 << k) - 1], chr(10))) AS run
+starts AS (SELECT doc_id, lines, list_transform(lines, x -> len(trim(x))) AS sizes, unnest(range(1, len(lines) + 1)) AS pos FROM docs),
+runs AS (SELECT doc_id, pos, 1 << k AS n, list_sum(sizes[pos:pos + (1 << k) - 1]) >= 40 AS counts,
+  md5(array_to_string(lines[pos:pos + (1 << k) - 1], chr(10))) AS run
   FROM starts CROSS JOIN (SELECT unnest(range(0, 14)) AS k) WHERE pos + (1 << k) - 1 <= len(lines)),
-later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, pos) AS copy FROM runs) WHERE copy > 1),
-removed AS (SELECT doc_id, pos FROM later WHERE n = 1 AND long UNION SELECT doc_id, unnest([pos, pos + 1]) FROM later WHERE n = 2),
+later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, pos) AS copy FROM runs) WHERE copy > 1 AND counts),
+removed AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS pos FROM later),
 kept AS (SELECT doc_id, pos, lines[pos] AS line, removed.pos IS NOT NULL AS gone FROM starts LEFT JOIN removed USING (doc_id, pos)),
 marked AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS begins FROM kept),
 sums AS (SELECT doc_id, count(*)::INT AS n_lines, sum(gone::INT)::INT AS n_removed, sum(begins::INT)::INT AS n_spans,
   coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM marked GROUP BY doc_id)
-SELECT doc_id, n_lines, n_removed, n_spans, CASE WHEN n_removed > 0 THEN longest ELSE 0 END::INT AS longest_run, sha256(text) AS kept_sha256
+SELECT doc_id, n_lines, n_removed, n_spans, coalesce(longest, 0)::INT AS longest_run, sha256(text) AS kept_sha256
 FROM sums LEFT JOIN (SELECT doc_id, max(n) AS longest FROM later GROUP BY doc_id) USING (doc_id)"""
 
 

@@ -173,24 +173,37 @@ def test_line_dedup_cases(docs, empty):
     assert lines.drop_repeated_lines(empty).count() == 0
 
 
-@pytest.mark.parametrize("min_lines", [1, 2, 3, 5])
-def test_line_runs_are_all_found(spark, min_lines):
+@pytest.mark.parametrize("min_lines, min_chars", [(1, 0), (2, 0), (2, 4), (3, 5), (4, 9), (5, 6)])
+def test_line_runs_are_all_found(spark, min_lines, min_chars):
     rng = random.Random(min_lines)
-    texts = [[rng.choice("abcdefgh") for _ in range(rng.randrange(1, 20))] for _ in range(25)] + [list("abcdefgh" * 3)] * 2
-    first, gone = {}, set()
-    for n in sorted({min_lines, 1}):
+    words = ["a", "b", "c", "d", "", "  ", " ee ", "long line"]
+    texts = [[rng.choice(words) for _ in range(rng.randrange(1, 20))] for _ in range(25)] + [words * 3] * 2
+    first, gone, longest = {}, set(), {}
+    for n in sorted({1, min_lines} | {2**k for k in range(6) if 2**k >= min_lines}):
         for d, t in enumerate(texts):
             for k in range(len(t) - n + 1):
                 run = tuple(t[k : k + n])
-                if (n, run) not in first:
-                    first[n, run] = d, k
-                elif n == min_lines or len(run[0]) >= 40:
+                if first.setdefault((n, run), (d, k)) != (d, k) and sum(len(x.strip(" ")) for x in run) >= min_chars:
                     gone |= {(d, k + j) for j in range(n)}
+                    longest[d] = n
     df = spark.createDataFrame([(d, "\n".join(t)) for d, t in enumerate(texts)], "doc_id int, text string")
-    found = {r.doc_id: (r.text, r.n_removed) for r in lines.drop_repeated_lines(df, min_lines=min_lines).collect()}
+    rows = lines.drop_repeated_lines(df, min_lines=min_lines, min_chars=min_chars).collect()
+    found = {r.doc_id: (r.text, r.n_removed, r.longest_run) for r in rows}
     for d, t in enumerate(texts):
         left = [x for k, x in enumerate(t) if (d, k) not in gone]
-        assert found[d] == ("\n".join(left), len(t) - len(left))
+        assert found[d] == ("\n".join(left), len(t) - len(left), longest.get(d, 0))
+
+
+def test_blank_lines_and_short_headings_are_no_repeated_run(spark):
+    """Two documents that share blank lines and a heading keep them; a menu of short lines goes, as it is long enough as a whole."""
+    head, menu = ["", "", "Introduction", "", "Yes.", "No."], ["Home page of ours", "About us", "Contact us", "Terms of use"]
+    texts = [[f"Title {d}", *head, f"Body of document {d}.", *menu, f"End {d}"] for d in range(3)]
+    df = spark.createDataFrame([(d, "\n".join(t)) for d, t in enumerate(texts)], "doc_id int, text string")
+    found = {r.doc_id: r for r in lines.drop_repeated_lines(df).collect()}
+    assert found[0].text == "\n".join(texts[0])
+    for d in (1, 2):
+        assert found[d].text == "\n".join([f"Title {d}", *head, f"Body of document {d}.", f"End {d}"])
+        assert (found[d].n_removed, found[d].n_spans, found[d].longest_run) == (4, 1, 4)
 
 
 def test_paragraph_versions_cases(docs, empty):
