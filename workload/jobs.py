@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableferry import ColumnMapping, Condition, OrderTerm, TaskSpec, apply_spec
 from tableferry.functions import canon, runs, shapes
-from tableferry.operators import batching, ddl, digest_tree, mapping_audit, numbering, profile, range_audit, spec_audit, upsert, verify
+from tableferry.operators import batching, ddl, ddl_reader, digest_tree, mapping_audit, numbering, profile, range_audit, spec_audit, upsert, verify
 from tableferry.plans import history
 from tableferry.plans.copy_run import CopyPlan, CopyRefused, run_copy
 from tableferry.scratch import scratch_path
@@ -326,6 +326,46 @@ def target_ddl_accepted(spark, sf):
     return ddl.target_ddl(tasks, accepted)
 
 
+@job
+def ddl_round_trip(spark, sf):
+    """DDL made from source columns, read back and audited against them: as made, and with three things changed."""
+    columns = fixture(spark, sf, "source_columns").select(
+        "task", "ordinal", "column_name", "type_name", "precision", "scale", "length", "fsp",
+        F.lit(20).cast("bigint").alias("hint_precision"), F.lit(4).cast("bigint").alias("hint_scale"),
+    )
+    # The first column of a name that has a target shape or gets a declared one.
+    place = Window.partitionBy("task", F.upper("column_name")).orderBy("ordinal")
+    fitting = shapes.with_shape(columns).filter(F.col("shape.rejection").isNull())
+    columns = fitting.withColumn("nth", F.row_number().over(place)).filter("nth = 1").select(*columns.columns)
+    variant = F.explode(F.array(F.lit("made"), F.lit("changed"))).alias("variant")
+    columns = columns.select("*", variant).withColumn("task", F.concat_ws("/", "task", "variant")).drop("variant")
+    tasks = fixture(spark, sf, "task_keys").select("task", variant).select(
+        F.concat_ws("/", "task", "variant").alias("task"), F.concat(F.lit("T_"), "task").alias("target_table"), F.array(F.lit("C1")).alias("key_columns")
+    )
+    changed = F.expr(
+        "replace(replace(regexp_replace(ddl, ',\\\\s*PRIMARY KEY[^)]*[)]', ''), 'DATETIME(6)', 'DATETIME(3)'), 'utf8mb4', 'latin1')"
+    )
+    texts = ddl.target_ddl(tasks, columns).filter("ddl IS NOT NULL").select(
+        "task", F.when(F.col("task").endswith("/changed"), changed).otherwise(F.col("ddl")).alias("ddl")
+    )
+    path = scratch_path(spark, "ddl-texts")
+    texts.write.parquet(path)
+    texts = spark.read.parquet(path)
+    read = ddl_reader.read_columns(texts)
+    known = texts.select("task")
+    issues = mapping_audit.mapping_issues(
+        tasks.join(known, "task", "left_semi"), columns.join(known, "task", "left_semi"), read, ddl_reader.read_keys(texts)
+    )
+    rules = issues.groupBy("task", "rule").agg(F.count("*").alias("n")).groupBy("task").agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "rule", F.col("n").cast("string")))), ",").alias("rules")
+    )
+    counted = read.groupBy("task").agg(F.count("*").alias("columns"))
+    return counted.join(rules, "task", "left").select(
+        F.split_part("task", F.lit("/"), F.lit(1)).alias("task"), F.split_part("task", F.lit("/"), F.lit(2)).alias("variant"),
+        "columns", F.coalesce("rules", F.lit("")).alias("rules"),
+    )
+
+
 @job
 def staging_ddl(spark, sf):
     run_id = F.lit("20240102030405_0a1b2c")

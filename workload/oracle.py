@@ -279,6 +279,15 @@ oracle(
         message=MESSAGE.format("rejection"),
     ),
 )
+oracle(
+    "ddl_round_trip",
+    """WITH c AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY task, name_key ORDER BY ordinal) AS nth FROM shape_texts WHERE rejection IS NULL),
+       n AS (SELECT task, COUNT(*) AS columns, COUNT(*) FILTER (t = 'TIMESTAMP') AS times, COUNT(*) FILTER (family = 'varchar') AS texts
+               FROM c WHERE nth = 1 GROUP BY task HAVING COUNT(*) FILTER (name_key = 'C1') > 0)
+       SELECT task, 'made' AS variant, columns, '' AS rules FROM n
+       UNION ALL SELECT task, 'changed', columns, concat_ws(',', 'KEY_NOT_UNIQUE:1', CASE WHEN texts > 0 THEN 'TEXT_CHARSET:' || texts END,
+              CASE WHEN times > 0 THEN 'TIME_FRACTION:' || times END) FROM n""",
+)
 oracle(
     "staging_ddl",
     """SELECT task, 'CREATE TABLE `T_' || task || '__stg_20240102030405_0a1b2c` (' || chr(10) || string_agg(
