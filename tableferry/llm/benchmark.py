@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableferry.llm.tables import kept, let, named, same
+from tableferry.llm.tables import fresh, kept, let, named, same
 
 WINDOW, SIMILARITY = 5, 0.8
 #: Windows with fewer words that are no placeholders say too little.
@@ -194,8 +194,13 @@ def _slots(texts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that hold no item, with all their columns."""
-    found = leaks(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("_leak_id"), F.col("text_hash").alias("_leak_hash")).distinct()
+    """The rows of `docs` that hold no item, with all their columns.
+
+    Null and empty texts hold none, so their rows stay; rows equal in id and text stay or go together, also with a
+    null id. With no items at all every row stays. Columns of `docs` may have any names.
+    """
+    at, mark = fresh(docs, "leak_id"), fresh(docs, "leak_hash")
+    found = leaks(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias(at), F.col("text_hash").alias(mark)).distinct()
     found = kept(found, "leaks")
-    own = docs[f"`{id_col}`"].eqNullSafe(F.col("_leak_id")) & (F.xxhash64(docs[f"`{text_col}`"]) == F.col("_leak_hash"))
+    own = docs[f"`{id_col}`"].eqNullSafe(found[at]) & (F.xxhash64(docs[f"`{text_col}`"]) == found[mark])
     return docs.join(found, own, "left_anti")

@@ -92,21 +92,30 @@ def _inflated(data: bytes, at: int) -> tuple[bytes | None, int]:
     return b"".join(members), at
 
 
-def _unpack(data: bytes, depth: int = 64) -> Iterator[tuple[str | None, bool]]:
-    """Texts of plain bytes and of compressed data anywhere in them; None and True for what is too large to open."""
-    at, plain = 0, 0
-    while depth and (m := _MAGIC.search(data, at)):
-        inner, end = _inflated(data, m.start())
-        if inner is None:
-            yield None, True
-        elif inner:
-            yield from _unpack(inner, depth - 1)
-        at = m.start() + 1
-        if end > m.start():
-            # Only whole members are left out of what is read as it is.
-            yield from ((t, False) for t in _views(data[plain : m.start()]))
-            at = plain = end
-    yield from ((t, False) for t in _views(data[plain:]))
+def _unpack(data: bytes) -> Iterator[tuple[str | None, bool]]:
+    """Texts of plain bytes and of compressed data anywhere in them; None and True for what is too large to open.
+
+    Compressed data in compressed data is opened however deep it is; bytes that were seen before are not opened again.
+    """
+    work, seen = [data], set()
+    while work:
+        data, at, plain = work.pop(), 0, 0
+        mark = hashlib.blake2b(data, digest_size=16).digest()
+        if mark in seen:
+            continue
+        seen.add(mark)
+        while m := _MAGIC.search(data, at):
+            inner, end = _inflated(data, m.start())
+            if inner is None:
+                yield None, True
+            elif inner:
+                work.append(inner)
+            at = m.start() + 1
+            if end > m.start():
+                # Only whole members are left out of what is read as it is.
+                yield from ((t, False) for t in _views(data[plain : m.start()]))
+                at = plain = end
+        yield from ((t, False) for t in _views(data[plain:]))
 
 
 def _decoded(token: str) -> Iterator[tuple[str | None, bool]]:

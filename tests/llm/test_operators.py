@@ -297,6 +297,9 @@ def test_leaks_cases(spark, docs, empty):
     found = rows(benchmark.leaks(df, bench), "doc_id", "item_id", "kind")
     assert found == sorted([(1, 1, "copy"), (2, 1, "variant"), (None, 1, "copy"), (4, 4, "copy"), (9, None, "copy")], key=repr)
     assert rows(benchmark.drop_leaks(df, bench), "doc_id") == sorted([(3,), (5,), (6,), (7,), (8,), (10,)], key=repr)
+    clash = df.withColumnsRenamed({"item_id": "leak_id"}).selectExpr("*", "1 AS _leak_id", "2 AS leak_hash", "3 AS _leak_hash")
+    left = benchmark.drop_leaks(clash, bench)
+    assert left.columns == clash.columns and rows(left, "doc_id") == sorted([(3,), (5,), (6,), (7,), (8,), (10,)], key=repr)
     assert benchmark.leaks(df, bench.limit(0)).count() == 0 and benchmark.leaks(df.limit(0), bench).count() == 0
 
 
@@ -381,6 +384,17 @@ def test_equal_encoded_parts_are_opened_at_each_place():
         assert secrets.find(text) == ([], [(a, 1, b) for a, b in places], 0) and len(places) == 4
 
 
+def test_compressed_layers_have_no_depth_limit_and_equal_bytes_end():
+    inner = f"key {SECRET} end".encode()
+    for _ in range(200):
+        inner = gzip.compress(inner)
+    assert [t for t, _ in secrets._unpack(inner)][-1] == f"key {SECRET} end"
+    token = base64.b64encode(inner).decode()
+    assert secrets.find(f"x {token} y") == ([], [(2, 1, 2 + len(token))], 0)
+    same = gzip.compress(b"plain text")
+    assert [t for t, _ in secrets._unpack(same + b"|" + same)].count("plain text") == 1
+
+
 def test_members_bytes_lines_and_alignments_are_opened():
     key = f" key {SECRET} end"
     b64 = lambda b: base64.b64encode(b).decode()
