@@ -51,7 +51,7 @@ SELECT {columns} FROM (SELECT doc_id, domain, lang_given AS lang, source_given A
 def line_dedup() -> str:
     return """
 WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
-starts AS (SELECT doc_id, lines, list_transform(lines, x -> len(trim(x))) AS sizes, unnest(range(1, len(lines) + 1)) AS pos FROM docs),
+starts AS (SELECT doc_id, lines, [len(trim(x)) for x in lines] AS sizes, unnest(range(1, len(lines) + 1)) AS pos FROM docs),
 runs AS (SELECT doc_id, pos, 1 << k AS n, list_sum(sizes[pos:pos + (1 << k) - 1]) >= 40 AS counts,
   md5(array_to_string(lines[pos:pos + (1 << k) - 1], chr(10))) AS run
   FROM starts CROSS JOIN (SELECT unnest(range(0, 14)) AS k) WHERE pos + (1 << k) - 1 <= len(lines)),
