@@ -11,6 +11,7 @@ lines of other run ids are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -98,6 +99,24 @@ FOLD_MEMBERS = ("last_line", "started", "staged", "opened", "pushed", "told", "f
 _SUMS = ("rows_pushed", "bytes", "ms", "mapping_issue_count")
 
 
+def _merged() -> list[Column]:
+    return [
+        *[F.max(c).alias(c) for c in FOLD_MEMBERS],
+        F.min("implied").alias("implied"),
+        *[F.sum(c).alias(c) for c in _SUMS],
+    ]
+
+
+def merge_states(states: DataFrame, *keys: str, last: Sequence[str] = ()) -> DataFrame:
+    """States of parts of a log, each line in one part, merged into those of the whole, apart by ``keys``.
+
+    Of the columns ``last`` the greatest value stays.
+    """
+    return states.groupBy("run_record_id", "run_id", *keys).agg(
+        F.min("first_pos").alias("first_pos"), *_merged(), *[F.max(c).alias(c) for c in last]
+    )
+
+
 def owning_run_ids(states: DataFrame) -> DataFrame:
     """The first non-null run id of every record."""
     named = F.when(F.col("run_id").isNotNull(), F.struct("first_pos", F.col("run_id").alias("r")))
@@ -109,11 +128,7 @@ def combine_states(states: DataFrame) -> DataFrame:
     accepted = states.join(owning_run_ids(states), "run_record_id").filter(
         F.col("run_id").isNull() | (F.col("run_id") == F.col("owner_run_id"))
     )
-    folded = accepted.groupBy("run_record_id", F.col("owner_run_id").alias("run_id")).agg(
-        *[F.max(c).alias(c) for c in FOLD_MEMBERS],
-        F.min("implied").alias("implied"),
-        *[F.sum(c).alias(c) for c in _SUMS],
-    )
+    folded = accepted.groupBy("run_record_id", F.col("owner_run_id").alias("run_id")).agg(*_merged())
     fin, ref = F.col("finished"), F.col("refused")
     by_config = ref.isNotNull() & (fin.isNull() | (ref["pos"] > fin["pos"]))
     shared = {"message", "value", "failure_kind"}

@@ -967,3 +967,14 @@ def live_runs_stream(spark, sf):
     lines = live.log_stream(spark, f"{root}/log", log.schema)
     live.start_live_runs(lines, f"{root}/states", f"{root}/checkpoint").awaitTermination()
     return _shown(live.live_runs(spark, f"{root}/states", _accepted(spark, sf)))
+
+
+@job
+def live_runs_folded(spark, sf):
+    """Lines of each run dealt over twelve micro-batches, out of order; the written states are merged three at a time."""
+    root = scratch_path(spark, "live-folded")
+    log = _log(spark, sf)
+    log.repartition(12, "pos").write.json(f"{root}/log")
+    lines = live.log_stream(spark, f"{root}/log", log.schema, max_files=1)
+    live.start_live_runs(lines, f"{root}/states", f"{root}/checkpoint", fan=3).awaitTermination()
+    return _shown(live.live_runs(spark, f"{root}/states", _accepted(spark, sf)))

@@ -664,6 +664,7 @@ def history_oracle(name: str, select: str) -> None:
 
 history_oracle("run_history", "SELECT * EXCLUDE (segment) FROM hist")
 history_oracle("live_runs_stream", "SELECT * EXCLUDE (segment) FROM hist")
+history_oracle("live_runs_folded", "SELECT * EXCLUDE (segment) FROM hist")
 history_oracle(
     "mapping_issue_lines",
     'SELECT run_record_id, pos, column_name AS "column", source, target, rule, message, suggestion FROM a WHERE event = \'mapping_precheck_failed\'',
