@@ -16,12 +16,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableferry.sources.files import exists
+from tableferry.streaming.epochs import EpochFolders
 
 # What runs on executors is sent by value: they need numpy and pandas but not this library.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GATE_SCHEMA = "run_id string, expected bigint, got bigint, intervals bigint"
+_HELD_SCHEMA = f"{GATE_SCHEMA}, received bigint"
 STATE_SCHEMA = "starts array<bigint>, stops array<bigint>"
 
 
@@ -52,25 +53,37 @@ def _gate(key: tuple, pieces: Iterable[pd.DataFrame], state) -> Iterator[pd.Data
     for piece in pieces:
         starts, stops = with_numbers(starts, stops, piece["batch_no"].to_numpy(np.int64))
     state.update((starts.tolist(), stops.tolist()))
-    rows = [(key[0], expected, got, len(starts)) for expected, got in refusals(starts, stops)]
-    yield pd.DataFrame(rows, columns=["run_id", "expected", "got", "intervals"]).astype({"got": "Int64"})
+    received = int((stops - starts + 1).sum())
+    rows = [(key[0], expected, got, len(starts), received) for expected, got in refusals(starts, stops)]
+    yield pd.DataFrame(rows, columns=["run_id", "expected", "got", "intervals", "received"]).astype({"got": "Int64"})
 
 
-def start_gate(batches: DataFrame, path: str, checkpoint: str):
+def _latest(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows that an epoch wrote for a run when it had received most; what a query has received only grows."""
+    version = F.struct("received", "epoch", "query")
+    last = rows.groupBy("run_id", *keys).agg(F.max(version).alias("version"))
+    return rows.withColumn("version", version).join(last, ["run_id", *keys, "version"], "left_semi").drop("version")
+
+
+def start_gate(batches: DataFrame, path: str, checkpoint: str, fan: int = 10):
     """Follow a stream of (run_id, batch_no); ends once all that is there has been taken in.
 
     After each micro-batch, the runs that received something are written to a folder of the epoch: one row with the
     number expected next and no `got`, and one row for each gap with the number expected there and the one that came.
-    Numbers sent again change nothing, and an epoch that is run again replaces its folder.
+    Numbers sent again change nothing, and an epoch that is run again replaces its folder. Folders are merged as
+    `EpochFolders` does. A query with a new checkpoint replaces nothing and counts where it has received more.
     """
+    folders = EpochFolders(path, fan)
 
     def save(changed: DataFrame, epoch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        query = changed.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        stamped = changed.withColumns({"epoch": F.lit(epoch).cast("bigint"), "query": F.lit(query)})
+        folders.write(stamped, query, epoch, lambda rows: _latest(rows, "query"))
 
     return (
         batches.select("run_id", "batch_no").filter("run_id IS NOT NULL AND batch_no > 0")
         .groupBy("run_id")
-        .applyInPandasWithState(_gate, GATE_SCHEMA, STATE_SCHEMA, "update", "NoTimeout")
+        .applyInPandasWithState(_gate, _HELD_SCHEMA, STATE_SCHEMA, "update", "NoTimeout")
         .writeStream.outputMode("update")
         .foreachBatch(save)
         .option("checkpointLocation", checkpoint)
@@ -80,9 +93,8 @@ def start_gate(batches: DataFrame, path: str, checkpoint: str):
 
 
 def gate_state(spark: SparkSession, path: str) -> DataFrame:
-    """(run_id, expected, got, intervals) of every run as of its last micro-batch."""
-    if not exists(spark, path):
+    """(run_id, expected, got, intervals) of every run as of its last micro-batch; no rows before the first has ended."""
+    folders = EpochFolders(path)
+    if not folders.pieces(spark):
         return spark.createDataFrame([], GATE_SCHEMA)
-    rows = spark.read.schema(f"{GATE_SCHEMA}, epoch bigint").parquet(path)
-    last = rows.groupBy("run_id").agg(F.max("epoch").alias("epoch"))
-    return rows.join(last, ["run_id", "epoch"], "left_semi").drop("epoch")
+    return _latest(folders.read(spark)).select("run_id", "expected", "got", "intervals")

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tableferry.streaming import sequence
+from tableferry.streaming import epochs, sequence
 
 
 def plain(numbers):
@@ -64,3 +64,33 @@ def test_gate_over_several_deliveries(spark, tmp_path):
             assert r["intervals"] == plain(held[r["run_id"]])[1]
         assert {run: sorted(x, key=repr) for run, x in found.items()} == {run: plain(x)[0] for run, x in held.items()}
     assert sequence.gate_state(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_gate_folds_its_epochs_and_starts_over(spark, tmp_path):
+    """Seven micro-batches are folded two at a time; a query with a new checkpoint that is behind hides nothing."""
+    schema = "run_id string, batch_no bigint"
+    numbers = [1, 3, 2, 7, 9, 4, 5]
+
+    def send(folder, n):
+        spark.createDataFrame([("a", n), ("b", n + 1)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{folder}")
+
+    def follow(folder, checkpoint):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{folder}")
+        sequence.start_gate(stream, f"{tmp_path}/gate", f"{tmp_path}/{checkpoint}", fan=2).awaitTermination()
+        found = {}
+        for r in sequence.gate_state(spark, f"{tmp_path}/gate").collect():
+            found.setdefault(r["run_id"], []).append((r["expected"], r["got"]))
+        return {run: sorted(x, key=repr) for run, x in found.items()}
+
+    for n in numbers:
+        send("sent", n)
+    whole = {"a": plain(numbers)[0], "b": plain([n + 1 for n in numbers])[0]}
+    assert follow("sent", "first") == whole
+    names = [p.name for p in epochs.uncovered(epochs.EpochFolders(f"{tmp_path}/gate").pieces(spark))]
+    assert len(names) == 3 and sum(n.startswith("fold=") for n in names) == 2
+    send("again", 1)
+    assert follow("again", "second") == whole
+    for n in numbers[1:] + [6]:
+        send("again", n)
+    more = numbers + [6]
+    assert follow("again", "second") == {"a": plain(more)[0], "b": plain([n + 1 for n in more])[0]}
