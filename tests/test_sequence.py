@@ -94,3 +94,27 @@ def test_gate_folds_its_epochs_and_starts_over(spark, tmp_path):
         send("again", n)
     more = numbers + [6]
     assert follow("again", "second") == {"a": plain(more)[0], "b": plain([n + 1 for n in more])[0]}
+
+
+def test_gate_joins_blocks_and_bounds_each_state(spark, tmp_path):
+    """One run over several blocks, in two deliveries: no written row outgrows its block, and intervals go on where blocks meet."""
+    schema, block = "run_id string, batch_no bigint", sequence.BLOCK
+    numbers = {*range(1, 40), *range(block - 5, block + 6), *range(2 * block + 1, 2 * block + 4), *range(5 * block - 2, 5 * block + 1)}
+    late = {*range(40, block - 5), 2 * block, 5 * block + 2}
+    held = set()
+    for part in (numbers, late):
+        held |= part
+        spark.createDataFrame([(run, n) for run in "ab" for n in part if run == "a" or n > 2], schema).write.mode("append").parquet(f"{tmp_path}/sent")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/sent")
+        sequence.start_gate(stream, f"{tmp_path}/gate", f"{tmp_path}/checkpoint").awaitTermination()
+        found = {}
+        for r in sequence.gate_state(spark, f"{tmp_path}/gate").collect():
+            found.setdefault((r["run_id"], r["intervals"]), []).append((r["expected"], r["got"]))
+        starts, stops = sequence.with_numbers(np.zeros(0, np.int64), np.zeros(0, np.int64), np.array(sorted(held)))
+        whole = sorted(sequence.refusals(starts, stops), key=repr)
+        starts[0] = 3
+        behind = sorted(sequence.refusals(starts, stops), key=repr)
+        assert {key: sorted(x, key=repr) for key, x in found.items()} == {("a", len(starts)): whole, ("b", len(starts)): behind}
+    rows = epochs.EpochFolders(f"{tmp_path}/gate").read(spark).collect()
+    assert len({(r["run_id"], r["block"]) for r in rows}) == 2 * 6 - 2 and all(r["received"] <= block for r in rows)
+    assert all((min(r["starts"]) - 1) // block == (max(r["stops"]) - 1) // block == r["block"] for r in rows)
