@@ -138,7 +138,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marked = docs.drop(*added).withColumn(mark, F.xxhash64(docs[f"`{text_col}`"]))
     runs = runs.select(*[F.col(c).alias(fresh(marked, f"runs_{c}")) for c in ("doc_id", "text_hash", "spans")], "longest_run")
     own_id, own_hash, spans = (runs.columns[k] for k in range(3))
-    joined = marked.join(runs, marked[f"`{id_col}`"].eqNullSafe(runs[own_id]) & (marked[mark] == runs[own_hash]), "left")
+    # Texts and spans meet by a shuffle at any size, so what goes to disk grows in proportion: spans grow with the texts.
+    joined = marked.join(runs.hint("merge"), marked[f"`{id_col}`"].eqNullSafe(runs[own_id]) & (marked[mark] == runs[own_hash]), "left")
     text = marked[f"`{text_col}`"]
     result = joined.select(
         *[without(text, runs[spans]).alias(c) if c == text_col else marked[f"`{c}`"] for c in marked.columns if c != mark],

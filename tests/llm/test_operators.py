@@ -206,6 +206,15 @@ def test_blank_lines_and_short_headings_are_no_repeated_run(spark):
         assert (found[d].n_removed, found[d].n_spans, found[d].longest_run) == (4, 1, 4)
 
 
+def test_texts_meet_their_spans_by_a_shuffle_at_any_size(spark):
+    """With few spans the join was a broadcast, with many a shuffle: disk grew much faster than the input."""
+    df = spark.createDataFrame([(d, "a line that comes back in every text of these\nown %d" % d) for d in range(5)], "doc_id int, text string")
+    found = lines.drop_repeated_lines(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(r.n_removed for r in found.collect()) == [0, 1, 1, 1, 1]
+
+
 def test_paragraph_versions_cases(docs, empty):
     split = re.compile(r"\n+|(?<=[.!?])[\x20\t]+")
     parts = lambda t: {p for p in split.split(t) if p}
