@@ -2,12 +2,13 @@
 
 Every distinct set of shingles gets labels, one an order of the forest: the first minima of its
 hashes under that order's hash functions. Sorted by label, sets with a common prefix lie side by
-side; a run of equal prefixes is a region, and its members are candidates. The prefix is adapted to
-each region: where a region has many members of several components, these members go on to a
-level of deeper prefixes and more orders. At each level there are so many orders that a pair of the
-least likeness shares no prefix with a chance of less than one in a million. Candidates whose first
-level's minima agree too seldom for such a pair, by the same chance, go; the others are confirmed on
-their full sets.
+side; a run of equal prefixes is a region, and its members are candidates. Where a region has many
+members of several components, it is compared block against block, and only links that join
+components leave a task. The prefix is adapted to each region: members of a region of too many
+blocks go on to a level of deeper prefixes and more orders. At each level there are so many orders
+that a pair of the least likeness shares no prefix with a chance of less than one in a million.
+Candidates whose first level's minima agree too seldom for such a pair, by the same chance, go; the
+others are confirmed on their full sets.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from tableferry.llm.tables import components, kept, named, steps, utf8
 #: Prefix lengths of the levels; chance with which a pair may share no prefix; members up to which
 #: all pairs of a region are candidates; members of one block of a region that stays crowded.
 DEPTHS, MISS, CROWD, BLOCK = (4, 8, 16), 1e-6, 32, 1024
+#: Blocks of members up to which a crowded region needs no deeper level; bytes of the sets of one block.
+BLOCKS, BLOCK_BYTES = 4, 32 << 20
 #: Hash values of one step of the minima.
 HASHES_AT_ONCE = 1 << 18
 
@@ -270,13 +273,71 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
 
 
-def _across(members: DataFrame, regions: DataFrame) -> DataFrame:
-    """Pairs (a, a_n, b, b_n) of different components in regions that stay crowded, block against block."""
-    blocks = regions.withColumn("blocks", F.expr(f"cast((members + {BLOCK - 1}) div {BLOCK} as int)"))
-    rows = members.join(blocks, ["ord", "label"]).withColumn("block", F.expr("cast(pmod(xxhash64(key), blocks) as int)"))
-    left = rows.select("ord", "label", F.col("key").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"), F.col("block").alias("i"), F.expr("explode(sequence(block, blocks - 1)) j"))
-    right = rows.select("ord", "label", F.col("key").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"), F.col("block").alias("j"), F.expr("explode(sequence(0, block)) i"))
-    return left.join(right, ["ord", "label", "i", "j"]).filter("a_comp <> b_comp AND (i < j OR a < b)").select("a", "a_n", "b", "b_n")
+def _likely_rows(table: pa.Table, root: np.ndarray, percent: int, orders: int, first: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a block, each with those rows of the block it meets that are of another component and can be alike.
+
+    `root` has the rows' components and may change meanwhile. On the first level a pair is left to the first
+    region it shares: there it is compared too, or goes on to the next level.
+    """
+    block, n = table.column("block").to_numpy(), table.column("n").to_numpy()
+    i, j, order = (table.column(c)[0].as_py() for c in ("i", "j", "ord"))
+    found = np.frombuffer(b"".join(table.column("labels").to_pylist()), np.uint16).reshape(table.num_rows, orders, -1)
+    least = agreements_needed(percent, found[0].size)
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    for place, a in enumerate(left.tolist()):
+        rest = right[place + 1 :] if i == j else right
+        rest = rest[(root[rest] != root[a]) & (100 * np.minimum(n[rest], n[a]) >= percent * np.maximum(n[rest], n[a]))]
+        same = found[rest] == found[a]
+        likely = same.sum(axis=(1, 2)) >= least
+        if first:
+            likely &= ~same[:, :order].all(axis=2).any(axis=1)
+        if likely.any():
+            yield a, rest[likely]
+
+
+def _components_of(table: pa.Table) -> np.ndarray:
+    return table.column("comp").combine_chunks().dictionary_encode().indices.to_numpy().copy()
+
+
+def _across(members: DataFrame, regions: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, orders: int, first: bool) -> DataFrame:
+    """Links (a, b) that join the components in crowded regions, block against block.
+
+    A task gets two blocks of a region and looks at all their likely pairs; of the links it finds, those
+    within a component that earlier ones have joined stay out, so it makes fewer rows than it reads. Sets
+    go only where their minima leave them a likely pair.
+    """
+
+    def likely(table: pa.Table) -> pa.Table:
+        stays = np.zeros(table.num_rows, bool)
+        for a, rest in _likely_rows(table, _components_of(table), percent, orders, first):
+            stays[a] = stays[rest] = True
+        return table.filter(pa.array(stays))
+
+    def linked(table: pa.Table) -> pa.Table:
+        root, n, links = _components_of(table), table.column("n").to_numpy(), []
+        _, ids = np.unique(np.frombuffer(b"".join(table.column("shingles").to_pylist()), np.uint64), return_inverse=True)
+        each = np.split(ids, np.cumsum(n)[:-1])
+        marked = np.zeros(len(ids), np.int64)
+        for a, rest in _likely_rows(table, root, percent, orders, first):
+            marked[each[a]] = 1
+            starts = np.cumsum(n[rest]) - n[rest]
+            both = np.add.reduceat(marked[np.concatenate([each[b] for b in rest])], starts)
+            marked[each[a]] = 0
+            for b in rest[100 * both >= percent * (n[a] + n[rest] - both)].tolist():
+                if root[a] != root[b]:
+                    links.append((a, b))
+                    root[root == root[b]] = root[a]
+        keys = table.column("key").combine_chunks()
+        return pa.table({c: keys.take(pa.array([x[k] for x in links], pa.int64())) for k, c in enumerate("ab")})
+
+    parts = f"greatest((members + {BLOCK - 1}) div {BLOCK}, (8 * held + {BLOCK_BYTES - 1}) div {BLOCK_BYTES})"
+    rows = members.join(regions.selectExpr("ord", "label", f"cast({parts} as int) blocks"), ["ord", "label"])
+    rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(key), blocks) as int)"))
+    rows = rows.withColumn("other", F.expr("explode(sequence(0, blocks - 1))")).join(classes.select("key", "labels"), "key")
+    rows = rows.selectExpr("ord", "label", "least(block, other) i", "greatest(block, other) j", "block", "key", "n", "comp", "labels")
+    place = ["ord", "label", "i", "j"]
+    needed = rows.groupBy(*place).applyInArrow(likely, rows.schema)
+    return needed.join(sets, "key").groupBy(*place).applyInArrow(linked, "a binary, b binary")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85) -> DataFrame:
@@ -288,9 +349,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     Repeated rows and equal sets are one entry of the forest and always linked. Rows with a null id
     belong to their component but never name it; without another its id is null, and `kept` false.
 
-    Links within a component that is known already aren't looked for; regions of more than CROWD
-    sets in several components go on to the next level, and past the last level all their pairs
-    across components are compared, so no crowd is cut short.
+    Links within a component that is known already aren't looked for; in regions of more than CROWD
+    sets in several components all likely pairs across these are compared in blocks. Those of more
+    than BLOCKS blocks of sets go on to the next level first, but past the last level are compared
+    at any size, so no crowd is cut short.
     """
     source = named(docs, doc_id=id_col, text=text_col)
     first_orders = orders_needed(percent, DEPTHS[0])
@@ -301,13 +363,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     )
     classes = kept(classes.select("key", "first.doc_id", "first.text_hash", "n", "labels", "copies"), "classes")
     minima = DEPTHS[0] * first_orders
-    entries, sets, links, comps = _entries(classes, DEPTHS[0], first_orders), None, None, None
+    entries, sets, comps = _entries(classes, DEPTHS[0], first_orders), None, None
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Distinct pairs (a, b) that can be alike and lie in different components."""
         pairs = pairs.filter(_alike(percent)).select("a", "b").distinct()
         return kept(_agreeing(pairs if comps is None else _apart(pairs, comps), classes, percent, minima), "pairs")
 
+    def joined(links: DataFrame) -> DataFrame:
+        """The components with these links added."""
+        stars = links if comps is None else links.unionByName(comps.selectExpr("node a", "component b"))
+        return kept(components(stars), "components")
+
     for depth in DEPTHS:
         members = kept(_neighbours(entries), "members")
         sizes = members.groupBy("ord", "label").agg(F.count("*").alias("members")).filter("members > 1")
@@ -317,22 +384,24 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
             needed = crowd.unionByName(pairs.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
             wanted = kept(classes.join(needed, "key", "left_semi").select("doc_id", "text_hash"), "wanted")
             sets = kept(_read_again(source, wanted, words), "sets")
-        found = kept(_confirmed(pairs, sets, percent), "links")
-        links = found if links is None else kept(links.unionByName(found), "links", links)
-        comps = kept(components(links), "components")
+        comps = joined(kept(_confirmed(pairs, sets, percent), "links"))
         placed = members.join(comps.withColumnsRenamed({"node": "key", "component": "comp"}), "key", "left")
         placed = placed.withColumn("comp", F.coalesce("comp", "key"))
-        regions = placed.groupBy("ord", "label").agg(F.count("*").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        crowded = kept(regions.filter(f"members > {CROWD} AND low < high").select("ord", "label", "members"), "crowded")
+        regions = placed.groupBy("ord", "label").agg(
+            F.count("*").alias("members"), F.sum("n").alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high")
+        )
+        crowded = kept(regions.filter(f"members > {CROWD} AND low < high").select("ord", "label", "members", "held"), "crowded")
         if crowded.isEmpty():
             break
-        if depth != DEPTHS[-1]:
-            keys = placed.join(crowded, ["ord", "label"], "left_semi").select("key").distinct()
-            deeper = DEPTHS[DEPTHS.index(depth) + 1]
-            entries = _deeper(sets.join(keys, "key", "left_semi"), deeper, orders_needed(percent, deeper))
-    else:
-        found = _confirmed(likely(_across(placed, crowded)), sets, percent)
-        comps = kept(components(links.unionByName(found)), "components")
+        last = depth == DEPTHS[-1]
+        here = crowded if last else crowded.filter(f"members <= {BLOCKS * BLOCK}")
+        comps = joined(kept(_across(placed, here, classes, sets, percent, first_orders, depth == DEPTHS[0]), "links"))
+        larger = crowded.filter(f"members > {BLOCKS * BLOCK}")
+        if last or larger.isEmpty():
+            break
+        keys = placed.join(larger, ["ord", "label"], "left_semi").select("key").distinct()
+        deeper = DEPTHS[DEPTHS.index(depth) + 1]
+        entries = _deeper(sets.join(keys, "key", "left_semi"), deeper, orders_needed(percent, deeper))
     placed = classes.join(comps, classes.key == comps.node, "left").select("key", "doc_id", F.coalesce("component", "key").alias("centre"), "copies", F.col("node").isNotNull().alias("linked"))
     least = placed.groupBy("centre").agg(F.min("doc_id").alias("component_id"))
     shared = placed.filter("linked OR copies > 1").join(least, "centre").select("key", "component_id", F.lit(True).alias("shared"))

@@ -95,3 +95,42 @@ def test_orders_miss_one_in_a_million():
 def test_query_keeps_one_of_each_group(spark, sf_dir):
     found = QUERIES["op13_minhash_near_dedup"](spark, sf_dir)
     assert found.filter("kept").count() == found.select("component_id").distinct().count()
+
+
+def crowd(seed, members, words):
+    """Texts of a crowded region: half keep near a common one, the others are too far from it and each other."""
+    return [*family(seed, members // 2, words, 4), *family(seed, members // 2, words, 14)]
+
+
+def test_crowded_regions_need_no_deeper_labels(spark, monkeypatch):
+    # Deeper labels are 224 rows a set; a region that a few tasks can compare needs none.
+    monkeypatch.setattr(forest, "_deeper", lambda *_: pytest.fail("labels of a deeper level"))
+    check(spark, list(enumerate(crowd(7, 160, 150))))
+
+
+@pytest.mark.parametrize("blocks", [1, 50])
+def test_crowded_regions_are_compared_in_blocks(spark, monkeypatch, blocks):
+    monkeypatch.setattr(forest, "CROWD", 4)
+    monkeypatch.setattr(forest, "BLOCK", 6)
+    monkeypatch.setattr(forest, "BLOCKS", blocks)
+    monkeypatch.setattr(forest, "DEPTHS", (1, 2, 3))
+    check(spark, list(enumerate([*crowd(8, 80, 120), *crowd(9, 30, 90)])))
+
+
+def test_blocks_are_small_for_large_sets(spark, monkeypatch):
+    monkeypatch.setattr(forest, "BLOCK_BYTES", 8 * 146 * 10)
+    check(spark, list(enumerate(crowd(10, 100, 150))))
+
+
+def test_a_crowded_region_makes_fewer_links_than_it_has_sets(spark, monkeypatch):
+    made = []
+    across = forest._across
+
+    def counted(members, regions, *rest):
+        found = across(members, regions, *rest)
+        made.append((found.count(), members.join(regions, ["ord", "label"]).count()))
+        return found
+
+    monkeypatch.setattr(forest, "_across", counted)
+    check(spark, list(enumerate(crowd(11, 300, 60))))
+    assert made and all(links < sets for links, sets in made)
